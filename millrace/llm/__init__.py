@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("embedding_join", "pii", "html_template", "secret_scan", "sharding", "quality", "suffix_dedup", "jaccard_join", "packing", "decontaminate")
+MODULES = ("sharding", "quality", "packing", "decontaminate")
 
 
 def queries() -> dict:
