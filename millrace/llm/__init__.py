@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "quality", "packing", "decontaminate")
+MODULES = ("pii", "html_template", "secret_scan", "sharding", "quality", "packing", "decontaminate")
 
 
 def queries() -> dict:
