@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pii", "html_template", "secret_scan", "sharding", "quality", "packing", "decontaminate")
+MODULES = ("embedding_join", "pii", "html_template", "secret_scan", "sharding", "quality", "jaccard_join", "packing", "decontaminate")
 
 
 def queries() -> dict:
