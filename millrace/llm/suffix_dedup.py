@@ -15,15 +15,18 @@ from .exchange import block_columns, pack_hashes, range_bits, unpack_hashes
 #: Bytes of a string that is removed where it repeats; bytes of an anchor in it.
 LENGTH, GRAM = 50, 18
 #: Windows that are worked on at once; a longer text is cut into pieces of as many, which share LENGTH - 1 bytes.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Bytes of a suffix array, and of all those of a task.
 ARRAY_BYTES, TASK_BYTES = 1 << 20, 3 << 20
+#: Runs that a range gathers, about.
+RANGE_ITEMS = 900_000
 #: Contexts of an anchor that are compared in one block; more are compared by pairs of blocks.
 BLOCK = 20_000
 #: Bits of the map that tells which documents may have something to look up (2 MB, whatever the input; a wrong bit only costs a shuffle of that text).
 MAP_BITS = 1 << 24
 _VALUE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xB7E151628AED2A6B
+_NAME = np.dtype([("id", "<i8"), ("print", "<u4")])
 _POWERS: list[np.ndarray] = []
 
 
@@ -106,7 +109,9 @@ def _send(bits: int, salts: int):
                 h, c, doc, first, size = h[left], c[left], doc[left], first[left], size[left]
                 order = np.lexsort((first, doc))
                 h, c, doc, first, size = h[order], c[order], doc[order], first[order], size[order]
-                name = np.ascontiguousarray(np.stack([ids, prints], 1).astype("<i8")).view(np.uint8).reshape(-1, 16)
+                name = np.zeros(len(ids), _NAME)
+                name["id"], name["print"] = ids, prints
+                name = name.view(np.uint8).reshape(-1, _NAME.itemsize)
                 context = np.ascontiguousarray(pack_hashes(c).reshape(-1, 6)).view("V6").reshape(-1)
                 block = block_columns(h, doc, name, bits, context, first.astype(np.uint32), size.astype(np.uint8))
                 m = len(block[0])
@@ -129,14 +134,16 @@ def _meet(bits: int):
         if key[0].as_py() < 0:
             none = pa.nulls(len(found), pa.binary())
             return pa.table([*found.select(["doc_id", "print", "firsts", "sizes"]).columns, none, none], names=names)
-        who = np.frombuffer(unpack(found.column("names"), np.uint8)[0].tobytes(), "<i8").reshape(-1, 2)
-        ids, prints = np.ascontiguousarray(who[:, 0]), np.ascontiguousarray(who[:, 1])
-        doc = np.repeat(np.arange(len(who)), unpack(found.column("counts"), np.uint32)[0])
+        who = unpack(found.column("names"), _NAME)[0]
+        ids, prints = who["id"].astype(np.int64), who["print"].astype(np.int64)
+        doc = np.repeat(np.arange(len(who), dtype=np.int32), unpack(found.column("counts"), np.uint32)[0])
         h = unpack_hashes(unpack(found.column("hashes"), np.uint8)[0], key[0].as_py(), bits)
         c = unpack_hashes(unpack(found.column("contexts"), np.uint8)[0], 0, bits)
         first, size = unpack(found.column("firsts"), np.uint32)[0], unpack(found.column("sizes"), np.uint8)[0]
+        del found
         order = np.lexsort((ids[doc], c, h))
         h, c, doc, first, size = h[order], c[order], doc[order], first[order], size[order]
+        del order
         at = np.arange(len(h))
         new_h = np.append(True, h[1:] != h[:-1])
         new_c = new_h | np.append(True, c[1:] != c[:-1])
@@ -325,9 +332,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     fetched from the texts and compared, in tasks that hold all contexts of an anchor: suffix arrays, common prefixes
     and a merge by binary search (least_owner()).  An anchor with over BLOCK contexts is compared by pairs of blocks.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("print", F.pmod(F.xxhash64("text"), F.lit(1 << 32)))
     usable = own.where("doc_id is not null")
-    bits = range_bits(usable, "text", 0.065, 3_000_000)
+    bits = range_bits(usable, "text", 0.065, RANGE_ITEMS)
     found = written(usable.mapInArrow(_send(bits, 1 << bits), _SENT).groupBy("key").applyInArrow(_meet(bits), _FOUND))
     done = found.where("alike is null").select("doc_id", "print", "firsts", "sizes")
     todo = found.where("alike is not null")
