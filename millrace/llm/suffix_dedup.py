@@ -71,7 +71,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     change = np.flatnonzero(np.append((at[1:] != at[:-1]) | ~valid[1:], True) & valid)
     size = change - first + 1
     last = first + size + LENGTH - 1
-    return gram[at[first]], mix((total[last] - total[first]) * inverse[first] + size.astype(np.uint64)), first, size
+    # An anchor's hash is small, being the least of many; mixed again, anchors spread evenly over the ranges.
+    return mix(gram[at[first]] ^ np.uint64(_BASE)), mix((total[last] - total[first]) * inverse[first] + size.astype(np.uint64)), first, size
 
 
 _SENT = "key int, doc_id long, print long, names binary, counts binary, hashes binary, contexts binary, firsts binary, sizes binary"
