@@ -59,9 +59,10 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", vnodes:
     after the overflow of full shards has gone clockwise every shard is full: row counts are at
     most one apart.  Rows of one arc are ranked by place, key and a hash of the row; ties are equal
     rows, of which any order gives the same result.  An empty table gives an empty result; extra
-    columns stay (arc_, rank_, place_ and the two new names must be free).  Each arc is ranked in a
+    columns stay (arc_, rank_, place_, part_ and parts_ must be free; columns named shard or slot are replaced).  Each arc is ranked in a
     window of its own, of which there are n_shards * vnodes; the driver sees a count for each arc.
     """
+    docs = docs.drop("shard", "slot")
     spark, places = docs.sparkSession, ring(n_shards, vnodes)
     ends = [p for p, _ in places]
     text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
