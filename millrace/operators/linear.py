@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,19 +43,34 @@ class LeastSquares:
     alpha: float = 0.0
     intercept: float | None = None
     coefficients: np.ndarray | None = None
+    n: int = 0
+    mean: np.ndarray | None = None
+    inverse: np.ndarray | None = None
+    residual_variance: float | None = None
 
     def fit(self, df: DataFrame) -> LeastSquares:
         complete(df, [*self.features, self.label])
-        _, mean, s = moments(df, [*self.features, self.label])
+        self.n, mean, s = moments(df, [*self.features, self.label])
         k = len(self.features)
         gram = s[:k, :k] + self.alpha * np.eye(k)
         self.coefficients = np.linalg.lstsq(gram, s[:k, k], rcond=None)[0] if np.linalg.cond(gram) > 1e14 else np.linalg.solve(gram, s[:k, k])
         self.intercept = float(mean[k] - mean[:k] @ self.coefficients)
+        self.mean, self.inverse, left = mean[:k], np.linalg.pinv(gram), self.n - k - 1
+        self.residual_variance = max(float(s[k, k] - 2 * self.coefficients @ s[:k, k] + self.coefficients @ s[:k, :k] @ self.coefficients), 0.0) / left if left > 0 else None
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
         return df.withColumn("prediction", F.expr(dot(self.features, self.coefficients, self.intercept)))
 
+    def interval(self, df: DataFrame, z: float = 1.96, new_row: bool = True) -> DataFrame:
+        """df with prediction, error (standard error of a new row, or of the mean), lower and upper; alpha must be 0."""
+        if self.alpha or self.residual_variance is None:
+            raise ValueError("intervals need alpha 0 and more rows than coefficients")
+        x = [f"({f} - {num(m)})" for f, m in zip(self.features, self.mean)]
+        lever = " + ".join([num(1 / self.n + new_row), *(f"{num(v)} * {x[i]} * {x[j]}" for (i, j), v in np.ndenumerate(self.inverse))])
+        out = self.predict(df).withColumn("error", F.expr(f"sqrt({num(self.residual_variance)} * ({lever}))"))
+        return out.withColumns({"lower": F.col("prediction") - z * F.col("error"), "upper": F.col("prediction") + z * F.col("error")})
+
     def get_coefficients(self) -> dict:
         return {"intercept": self.intercept, "coefficients": list(self.coefficients), "slope": float(self.coefficients[0]), "alpha": self.alpha}
 
@@ -242,6 +257,17 @@ class AdditiveForecast:
             raise ValueError(f"unknown freq {freq!r}")
         return spark.range(1, periods + 1).select(F.expr(f"date_add(date'{self.last}', cast(id * {step[freq]} as int))").alias("ds"))
 
+    def cross_validate(self, df: DataFrame, n_folds: int = 5, test_days: int = 30) -> list[tuple[int, float | None]]:
+        """(training rows, mean absolute error) by fold: windows of test_days before the last date, each after all it is fitted on."""
+        days = df.withColumn("day_", F.to_date("ds"))
+        last, out = metrics.first(days.agg(F.max("day_"))), []
+        for fold in range(n_folds, 0, -1):
+            cut, end = (last - dt.timedelta(days=test_days * k) for k in (fold, fold - 1))
+            train = days.where(F.col("day_") <= F.lit(cut)).drop("day_")
+            test = days.where((F.col("day_") > F.lit(cut)) & (F.col("day_") <= F.lit(end))).drop("day_")
+            out.append((train.count(), replace(self).fit(train).mae(test)))
+        return out
+
     def score(self, df: DataFrame) -> float | None:
         return metrics.r2(self.predict(df), "y", "yhat")
 
