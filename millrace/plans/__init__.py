@@ -1,10 +1,10 @@
-"""Registered queries of the estimators, with their SQL."""
+"""Registered queries of estimators and preparation, with their SQL."""
 
 from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("estimators",)
+MODULES: tuple[str, ...] = ("estimators", "preparation")
 
 
 def queries() -> dict:
