@@ -69,8 +69,10 @@ class ByteCnn:
     def probability(self, *args) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(*args).astype(np.float64), -60, 60)))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 1, decay: float = 1e-4) -> ByteCnn:
-        """Adam on the log loss; the gradient passes each maximum to the window that gave it."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 1, decay: float = 1e-4, steps: int = 0) -> ByteCnn:
+        """Adam on the log loss; the gradient passes each maximum to the window that gave it.  Few texts get more epochs, until
+        there are `steps` steps."""
+        epochs = max(epochs, -(-steps // max(1, -(-len(texts) // batch))))
         rng, width, s, n_f = np.random.default_rng(seed), len(self.filters), self.stride, self.filters.shape[2]
         weights = [self.filters, self.bias, self.out, np.zeros(1, np.float32)]
         moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]

@@ -14,6 +14,8 @@ from .common import string_buffer, table, text_chunks
 
 #: Labelled texts that the network is fitted on, at most: those least by a hash of the id.
 FIT_ROWS = 2000
+#: Steps of the fit at least, so that a small labelled table trains the network as long as a large one.
+STEPS = 378
 #: Every row whose crc32 (id as text) is a multiple of this is held out.
 FOLDS = 5
 #: Scores from here on predict 1.
@@ -37,7 +39,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "do
     found = own.orderBy(key).toPandas()
     net = ByteCnn.new()
     if len(found):
-        net.fit([t.encode() for t in found["text_"]], found["label_"].to_numpy())
+        net.fit([t.encode() for t in found["text_"]], found["label_"].to_numpy(), steps=STEPS)
     else:
         net.out[:] = 0
     return net
