@@ -116,9 +116,10 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over links (u, v: long, no nulls); only nodes that have a link.
 
     Alternating large-star and small-star rounds; each is a few joins and partial aggregates, written
-    to the shared folder, until the links no longer change.  Links met in one batch are contracted first.
+    to the shared folder, until the links no longer change.  Links are dealt by both ends, so that the
+    links of a hub do not meet in one task, and those of a batch are contracted first.
     """
-    edges = written(links.select("u", "v").where("u <> v").repartition("v").mapInArrow(_contract, "u long, v long").distinct())
+    edges = written(links.select("u", "v").where("u <> v").repartition("u", "v").mapInArrow(_contract, "u long, v long").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
