@@ -30,6 +30,10 @@ NAMES = re.compile(
 MAIN = frozenset("article main".split())
 #: A token is of the template if it stands on at least this share of a host's pages, and on two.
 SUPPORT = 0.5
+#: A slot is furniture with a larger share of its characters in links, or with the same text on so many pages
+#: and this share of the host's; in article or main it takes more.
+LINKED, REPEATED, REPEATED_SHARE = 0.5, 3, SUPPORT
+LINKED_INSIDE, REPEATED_INSIDE, REPEATED_SHARE_INSIDE = 0.75, 5, 0.9
 #: Template tokens kept for a host; those on most pages come first.
 TEMPLATE_TOKENS = 500
 #: Templates of this measured size at most go to the pages by broadcast, larger ones by a join on the host.
@@ -145,20 +149,17 @@ _BLOCK = pa.list_(pa.struct([("slot", pa.string()), ("text", pa.string())]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of each page that are not furniture; only those inside article or main, where there are any."""
+    """Blocks of each page that are not furniture, and sums of each slot; slots inside article or main begin with '='."""
     for batch in text_chunks(batches, "html"):
         data, ends, starts = string_buffer(batch.column("html"))
         data = data.tobytes()
         rows, stats = [], []
         for template, s, e in zip(batch.column("template").to_pylist(), starts.tolist(), ends.tolist()):
             found = list(blocks(data[s:e].decode(), frozenset(template or ())))
-            inside = any(b[4] and not b[3] for b in found)
-            own = [b for b in found if not b[3] and (b[4] or not inside)]
-            if inside:  # marked as such: sums of slots don't judge the blocks of an article
-                own = [("=" + b[0], *b[1:]) for b in own]
+            own = [("=" * b[4] + b[0], *b[1:]) for b in found if not b[3]]
             rows.append([{"slot": b[0], "text": b[1]} for b in own])
             sums: dict[str, list[int]] = {}
-            for slot, text, linked, *_ in () if inside else own:
+            for slot, text, linked, *_ in own:
                 x = sums.setdefault(slot, [0, 0, 0])
                 x[0] += len(text)
                 x[1] += linked
@@ -172,9 +173,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html), extra columns ignored.
 
     A null html is empty; a page without main text gives ''; a null url counts as the host ''.  Each
-    host's template is deduced from all its pages.  A slot is kept unless it is page furniture (by the
+    host's template is deduced from all its pages.  A slot is dropped if it is page furniture (by the
     elements around it, or their names), holds mostly links, or holds the same text on every one of
-    several pages; what stands in an article or main element is judged by furniture alone.  A host with one page has no template, and furniture alone decides.  Pages of a large
+    several pages.  Article and main elements are a prior: judging a slot in one takes more, and one
+    outside stays if its text differs between pages; where no other page tells, it stays unless
+    article and main hold half of the page's text or more.  Pages of a large
     host are spread over tasks: only token counts and slot sums are grouped by host.
     """
     own = pages.select(F.col("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("row_", F.xxhash64("page_id", "url", "html"))
@@ -187,11 +190,16 @@ def extract(pages: DataFrame) -> DataFrame:
     cut = written(cut)
     sums = cut.select("host", F.explode("stats").alias("s")).groupBy("host", "s.slot").agg(F.count("*").alias("n"), F.sum("s.chars").alias("chars"), F.sum("s.linked").alias("linked"), F.min("s.print").alias("lo"), F.max("s.print").alias("hi"))
     # A slot that says the same everywhere is furniture, unless nearly all pages lack it (copies of an article).
-    repeated = (F.col("n") >= 3) & (F.col("lo") == F.col("hi")) & (F.col("n") >= SUPPORT * F.col("pages"))
-    bad = sums.join(known.select("host", "pages"), "host").where((2 * F.col("linked") > F.col("chars")) | repeated).groupBy("host").agg(F.collect_list("slot").alias("bad"))
-    bad = written(bad)
-    size = bad.agg(F.sum(F.length(F.array_join("bad", ",")) + F.length("host") + 64)).first()[0] or 0
-    texts = cut.join(F.broadcast(bad) if size <= BROADCAST_BYTES else bad, "host", "left").select("page_id", "url", F.array_join(F.transform(F.filter("blocks", lambda b: F.coalesce(~F.array_contains("bad", b["slot"]), F.lit(True))), lambda b: b["text"]), " ").alias("text"))
+    inside = F.startswith("slot", F.lit("="))
+    by_prior = lambda out, own: F.when(inside, own).otherwise(out)
+    repeated = (F.col("lo") == F.col("hi")) & (F.col("n") >= by_prior(REPEATED, REPEATED_INSIDE)) & (F.col("n") >= F.col("pages") * by_prior(REPEATED_SHARE, REPEATED_SHARE_INSIDE))
+    bad = (F.col("linked") > F.col("chars") * by_prior(LINKED, LINKED_INSIDE)) | repeated
+    judged = sums.join(known.select("host", "pages"), "host").where(bad | (F.col("lo") != F.col("hi"))).groupBy("host")
+    judged = written(judged.agg(F.collect_list(F.when(bad, F.col("slot"))).alias("bad"), F.collect_list(F.when(~bad & ~inside, F.col("slot"))).alias("good")))
+    size = judged.agg(F.sum(F.length(F.array_join("bad", ",")) + F.length(F.array_join("good", ",")) + F.length("host") + 64)).first()[0] or 0
+    texts = cut.join(F.broadcast(judged) if size <= BROADCAST_BYTES else judged, "host", "left").select("page_id", "url", "good", F.expr("filter(blocks, b -> not coalesce(array_contains(bad, b.slot), false))").alias("own"))
+    texts = texts.withColumn("outside", F.expr("aggregate(own, 0L, (n, b) -> n + length(b.text) * if(startswith(b.slot, '='), -1, 1)) > 0"))
+    texts = texts.select("page_id", "url", F.expr("array_join(transform(filter(own, b -> outside or startswith(b.slot, '=') or coalesce(array_contains(good, b.slot), false)), b -> b.text), ' ')").alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 

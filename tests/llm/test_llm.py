@@ -221,6 +221,22 @@ def test_pages(spark):
     assert html_template.extract(spark.createDataFrame(rows[:0], "page_id long, url string, html string")).count() == 0
 
 
+def pages_text(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_beside_an_article(spark):
+    page = "<body><article><p>Teaser {0}</p></article><section><p>Long main text of page {0} and more of it</p></section><div id=x><p>Same words on all</p></div></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(5)] + [(9, "http://b.example/", page.format(9))]
+    got = pages_text(spark, rows)
+    assert all(got[i] == f"Teaser {i} Long main text of page {i} and more of it" for i in range(5))
+    assert "Long main text of page 9" in got[9]
+    page = "<body><div><p>{0}</p></div><article><h1>Head {0}</h1><p>Body text number {0} of this host</p><h6>Rate this now</h6></article></body>"
+    got = pages_text(spark, [(i, f"http://c.example/{i}", page.format(i)) for i in range(5)] + [(9, "http://d.example/", page.format(9))])
+    assert all(got[i] == f"{i} Head {i} Body text number {i} of this host" for i in range(5))
+    assert got[9] == "Head 9 Body text number 9 of this host Rate this now"
+
+
 def test_digest_of_kept(spark):
     df = spark.createDataFrame([(1, "x" * 10)], "doc_id long, text string")
     r = suffix_dedup.remove_repeats(df).first()
