@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from .common import binaries, per_process, string_buffer, table, text_chunks
 LENGTH = 1024
 #: Ranks of the same vocabulary as byte_bpe_50k.json: equal ids, several times the speed.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The tokenizer's own file, of which the added tokens are read.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Id that ends a document.
 END = 0
 #: What a cut costs in padding tokens: after a document, after a sentence, inside one.
@@ -29,13 +32,18 @@ INNER_STEP = 64
 SEGMENT_TOKENS = 1 << 20
 
 
-def _load(path: str):
+def _load(path: str, tokenizer: str = TOKENIZER):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    ends = np.zeros(max(ranks.values()) + 1, bool)
+    with open(tokenizer, "rb") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("an added token takes the text around it into account")
+    special = {t["content"]: t["id"] for t in added}
+    ends = np.zeros(max([*ranks.values(), *special.values()]) + 1, bool)
     for token, i in ranks.items():
         ends[i] = token.rstrip(b" ").endswith((b".", b"!", b"?", b"\n"))
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ends
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), ends
 
 
 _tokenizer = per_process(_load)
@@ -100,19 +108,19 @@ def pieces(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, leng
     return doc, first - np.concatenate([[0], doc_ends])[doc], stop - first, seq, first - np.concatenate([[0], ends])[seq], first
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """Pieces of documents in sequences of at most `length` tokens: key, start, length, doc_tokens,
     sequence_id, offset and ids (little-endian unsigned 32-bit).
 
     Each partition is a stream of its own, in its order; its sequences are numbered from
-    partition * 2 ** 33.  A null or empty text is the end id alone; special tokens in a text are
-    ordinary text; an empty table gives no pieces; rows with equal or null keys stay apart in the
+    partition * 2 ** 33.  A null or empty text is the end id alone; an added token of the
+    tokenizer in a text is its one id; an empty table gives no pieces; rows with equal or null keys stay apart in the
     stream and keep their key.  Extra columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, sentence_end = _tokenizer(vocabulary, vocabulary)
+        encoding, sentence_end = _tokenizer((vocabulary, tokenizer), vocabulary, tokenizer)
         at = TaskContext.get().partitionId() << 33
         keys, held, size = [], [], 0
 
@@ -131,7 +139,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, ke
             data, ends, starts = string_buffer(batch.column(text))
             data = data.tobytes()
             for s, e in zip(starts.tolist(), ends.tolist()):
-                held.append(np.array([*encoding.encode_ordinary(data[s:e].decode()), END], np.uint32))
+                held.append(np.array([*encoding.encode(data[s:e].decode(), allowed_special="all"), END], np.uint32))
                 size += len(held[-1])
             keys.append(batch.column(key))
             if size >= SEGMENT_TOKENS:

@@ -63,6 +63,19 @@ def test_vocabularies_agree():
         assert t.encode(text, add_special_tokens=False).ids == encoding.encode_ordinary(text)
 
 
+def test_added_tokens_in_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n  y", "<|endoftext| >", "  <|endoftext|>  's", "don<|endoftext|>'t <|ENDOFTEXT|>"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "start").collect()
+    for i, text in enumerate(texts):
+        own = [r for r in rows if r["doc_id"] == i]
+        want = [*t.encode(text, add_special_tokens=False).ids, packing.END]
+        assert np.frombuffer(b"".join(r["ids"] for r in own), np.uint32).tolist() == want and {r["doc_tokens"] for r in own} == {len(want)}
+
+
 def test_cuts_are_optimal():
     rng = np.random.default_rng(3)
     for _ in range(20):
