@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -118,8 +119,12 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         data, ends, starts = string_buffer(batch.column("html"))
         data = data.tobytes()
         out: list[list] = [[], [], [], []]
+        done = set()
         for i, url, s, e in zip(batch.column("row_").to_pylist(), batch.column("url").to_pylist(), starts.tolist(), ends.tolist()):
             h = host(url)
+            if (h, i) in done:
+                continue
+            done.add((h, i))
             for token, n in Counter(t for t, *_ in tokens(data[s:e].decode()) if t).items():
                 for col, v in zip(out, (h, token, i, n)):
                     col.append(v)
@@ -127,7 +132,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, template): the tokens of each host's template.
+    """(host, pages, template): the tokens of each host's template; row_ tells distinct pages, copies count once.
 
     Tokens that stand equally often on every page of a host share an occurrence vector, of which a sum
     of hashes of (page, count) is a fingerprint, and so are of one equivalence class.  A class is valid if it stands on
@@ -135,7 +140,7 @@ def templates(pages: DataFrame) -> DataFrame:
     lies between two of them is a slot.  Smaller valid classes nest in the slots of larger ones, so the
     union of all of them, on each page in page order, is the nested template.
     """
-    seen = pages.mapInArrow(_count_tokens, "host string, token string, row_ long, n long")
+    seen = pages.mapInArrow(_count_tokens, "host string, token string, row_ long, n long").distinct()
     vectors = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.sum(F.pmod(F.xxhash64("row_", "n"), F.lit(1 << 40))).alias("vector"))
     vectors = written(vectors)
     total = vectors.groupBy("host").agg(F.max("pages").alias("all"))
@@ -149,11 +154,13 @@ _BLOCK = pa.list_(pa.struct([("slot", pa.string()), ("text", pa.string())]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of each page that are not furniture, and sums of each slot; slots inside article or main begin with '='."""
+    """Blocks of each page that are not furniture, and sums of each slot; slots inside article or main begin with '='.
+
+    Pages of equal blocks have an equal fingerprint `page`."""
     for batch in text_chunks(batches, "html"):
         data, ends, starts = string_buffer(batch.column("html"))
         data = data.tobytes()
-        rows, stats = [], []
+        rows, stats, page = [], [], []
         for template, s, e in zip(batch.column("template").to_pylist(), starts.tolist(), ends.tolist()):
             found = list(blocks(data[s:e].decode(), frozenset(template or ())))
             own = [("=" * b[4] + b[0], *b[1:]) for b in found if not b[3]]
@@ -164,9 +171,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x[0] += len(text)
                 x[1] += linked
                 x[2] = (x[2] * 31 + zlib.crc32(text.encode())) % (1 << 40)
+            whole = zlib.crc32(repr([(k, x[0], x[2]) for k, x in sums.items()]).encode())
+            page.append(int.from_bytes(hashlib.blake2b(repr([b[:2] for b in own]).encode(), digest_size=8).digest(), "little", signed=True))
             stats.append([{"slot": k, "chars": a, "linked": b, "print": c} for k, (a, b, c) in sums.items()])
         kind = pa.list_(pa.struct([("slot", pa.string()), ("chars", pa.int64()), ("linked", pa.int64()), ("print", pa.int64())]))
-        yield pa.record_batch([*(batch.column(c) for c in ("row_", "host", "page_id", "url")), pa.array(rows, _BLOCK), pa.array(stats, kind)], names=["row_", "host", "page_id", "url", "blocks", "stats"])
+        yield pa.record_batch([*(batch.column(c) for c in ("host", "page_id", "url")), pa.array(page, pa.int64()), pa.array(rows, _BLOCK), pa.array(stats, kind)], names=["host", "page_id", "url", "page", "blocks", "stats"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -175,26 +184,29 @@ def extract(pages: DataFrame) -> DataFrame:
     A null html is empty; a page without main text gives ''; a null url counts as the host ''.  Each
     host's template is deduced from all its pages.  A slot is dropped if it is page furniture (by the
     elements around it, or their names), holds mostly links, or holds the same text on every one of
-    several pages.  Article and main elements are a prior: judging a slot in one takes more, and one
+    several pages that differ elsewhere.  Article and main elements are a prior: judging a slot in one takes more, and one
     outside stays if its text differs between pages; where no other page tells, it stays unless
     article and main hold half of the page's text or more.  Pages of a large
     host are spread over tasks: only token counts and slot sums are grouped by host.
     """
-    own = pages.select(F.col("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("row_", F.xxhash64("page_id", "url", "html"))
+    own = pages.select(F.col("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("row_", F.xxhash64("html"))
     found = templates(own.select("row_", "url", "html"))
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     known = written(found)
     size = known.agg(F.sum(F.length(F.array_join("template", ",")) + F.length("host") + 64)).first()[0] or 0
     side = known.select("host", "template")
-    cut = own.withColumn("host", name).join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "host", "left").mapInArrow(_cut, f"row_ long, host string, page_id {own.schema['page_id'].dataType.simpleString()}, url string, blocks array<struct<slot:string,text:string>>, stats array<struct<slot:string,chars:long,linked:long,print:long>>")
+    cut = own.withColumn("host", name).join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "host", "left").mapInArrow(_cut, f"host string, page_id {own.schema['page_id'].dataType.simpleString()}, url string, page long, blocks array<struct<slot:string,text:string>>, stats array<struct<slot:string,chars:long,linked:long,print:long>>")
     cut = written(cut)
-    sums = cut.select("host", F.explode("stats").alias("s")).groupBy("host", "s.slot").agg(F.count("*").alias("n"), F.sum("s.chars").alias("chars"), F.sum("s.linked").alias("linked"), F.min("s.print").alias("lo"), F.max("s.print").alias("hi"))
-    # A slot that says the same everywhere is furniture, unless nearly all pages lack it (copies of an article).
+    # Copies count once, so where a slot says the same on several pages, other slots of them differ.
+    single = cut.select("host", "page", F.explode("stats").alias("s")).groupBy("host", "s.slot", "page").agg(*(F.max(f"s.{c}").alias(c) for c in ("chars", "linked", "print")))
+    sums = single.groupBy("host", "slot").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("print").alias("lo"), F.max("print").alias("hi"))
+    # A slot that says the same everywhere is furniture, unless nearly all pages lack it.
+    distinct = cut.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     inside = F.startswith("slot", F.lit("="))
     by_prior = lambda out, own: F.when(inside, own).otherwise(out)
     repeated = (F.col("lo") == F.col("hi")) & (F.col("n") >= by_prior(REPEATED, REPEATED_INSIDE)) & (F.col("n") >= F.col("pages") * by_prior(REPEATED_SHARE, REPEATED_SHARE_INSIDE))
     bad = (F.col("linked") > F.col("chars") * by_prior(LINKED, LINKED_INSIDE)) | repeated
-    judged = sums.join(known.select("host", "pages"), "host").where(bad | (F.col("lo") != F.col("hi"))).groupBy("host")
+    judged = sums.join(distinct, "host").where(bad | (F.col("lo") != F.col("hi"))).groupBy("host")
     judged = written(judged.agg(F.collect_list(F.when(bad, F.col("slot"))).alias("bad"), F.collect_list(F.when(~bad & ~inside, F.col("slot"))).alias("good")))
     size = judged.agg(F.sum(F.length(F.array_join("bad", ",")) + F.length(F.array_join("good", ",")) + F.length("host") + 64)).first()[0] or 0
     texts = cut.join(F.broadcast(judged) if size <= BROADCAST_BYTES else judged, "host", "left").select("page_id", "url", "good", F.expr("filter(blocks, b -> not coalesce(array_contains(bad, b.slot), false))").alias("own"))

@@ -250,6 +250,17 @@ def test_pages_beside_an_article(spark):
     assert got[9] == "Head 9 Body text number 9 of this host Rate this now"
 
 
+def test_pages_that_are_copies(spark):
+    page = "<body><div><h1>Head {0}</h1><p>Text number {0}</p></div><section><p>Follow us</p></section></body>"
+    article = "<body><article><h1>Head</h1><p>Text</p></article><script>{0}</script></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(0)) for i in range(6)]  # nothing but copies
+    rows += [(10 + i, f"http://b.example/{i}", article.format(i)) for i in range(6)]  # copies but for a script
+    rows += [(20 + i, f"http://c.example/{i}", page.format(max(0, i - 8))) for i in range(12)]  # nine copies and three others
+    got = pages_text(spark, rows)
+    assert all(got[i] == "Head 0 Text number 0 Follow us" and got[10 + i] == "Head Text" for i in range(6))
+    assert all(got[20 + i] == f"Head {max(0, i - 8)} Text number {max(0, i - 8)}" for i in range(12))
+
+
 def test_digest_of_kept(spark):
     df = spark.createDataFrame([(1, "x" * 10)], "doc_id long, text string")
     r = suffix_dedup.remove_repeats(df).first()
