@@ -6,7 +6,7 @@ import hashlib
 import html as entities
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +35,6 @@ SUPPORT = 0.5
 #: and this share of the host's; in article or main it takes more.
 LINKED, REPEATED, REPEATED_SHARE = 0.5, 3, SUPPORT
 LINKED_INSIDE, REPEATED_INSIDE, REPEATED_SHARE_INSIDE = 0.75, 5, 0.9
-#: Template tokens kept for a host; those on most pages come first.
-TEMPLATE_TOKENS = 500
 #: Templates of this measured size at most go to the pages by broadcast, larger ones by a join on the host.
 BROADCAST_BYTES = 32 << 20
 
@@ -72,46 +70,62 @@ def blocks(page: str, template: frozenset[str]) -> Iterator[tuple[str, str, int,
 
     A slot is named by the last template token before it.  Text is decoded, white space is one space.
     """
-    stack: list[tuple[str, bool]] = []
+    stack = _Open()
     slot, parts, linked = "", [], 0
     for token, tag, text, closes in tokens(page):
         if text.strip():
             plain = entities.unescape(text)
             parts.append(plain)
-            if any(t == "a" for t, _ in stack):
+            if stack.places["a"]:
                 linked += len(plain.strip())
         elif text:
             parts.append(" ")
         if tag in INLINE and tag not in FURNITURE:
             if tag == "a":
-                _move(stack, tag, closes, False)
+                stack.move(tag, closes, False)
             continue
         joined = " ".join("".join(parts).split())
         if joined:
-            yield slot, joined, linked, any(f for _, f in stack), any(t in MAIN for t, _ in stack)
+            yield slot, joined, linked, stack.bad > 0, any(stack.places[t] for t in MAIN)
         parts, linked = [], 0
         if token in template:
             slot = token
         if tag and tag not in VOID:
             names = token.partition(" ")[2]
             bad = tag in FURNITURE or any(NAMES.search(v) for v in re.findall(r"=([^=]*?)(?= \w+=|$)", f" {names}")) if not closes else False
-            _move(stack, tag, closes, bad and tag not in ("html", "body"))
+            stack.move(tag, closes, bad and tag not in ("html", "body"))
 
 
-def _move(stack: list[tuple[str, bool]], tag: str, closes: bool, bad: bool) -> None:
-    """Opens or closes an element; a closing tag without its opening one is passed over, and a paragraph,
-    list item or cell closes the one that is open in the same parent."""
-    if closes:
-        for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                break
-            if stack[i][0] in MAIN | {"body"} and tag in ("p", "li", "a"):
-                break
-    elif tag not in VOID:
-        if tag in ("p", "li", "td", "tr", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
-        stack.append((tag, bad))
+class _Open:
+    """The open elements of a page, the places of each tag among them, and how many are furniture.
+
+    Each is opened and closed once, whatever the depth.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.bad = 0
+
+    def pop(self) -> None:
+        tag, bad = self.stack.pop()
+        self.places[tag].pop()
+        self.bad -= bad
+
+    def move(self, tag: str, closes: bool, bad: bool) -> None:
+        """Opens or closes an element; a closing tag without its opening one is passed over, and a paragraph,
+        list item or cell closes the one that is open in the same parent."""
+        if closes:
+            own = self.places[tag]
+            if own and not (tag in ("p", "li", "a") and any(self.places[t] and self.places[t][-1] > own[-1] for t in (*MAIN, "body"))):
+                for _ in range(len(self.stack) - own[-1]):
+                    self.pop()
+        elif tag not in VOID:
+            if tag in ("p", "li", "td", "tr", "option") and self.stack and self.stack[-1][0] == tag:
+                self.pop()
+            self.places[tag].append(len(self.stack))
+            self.stack.append((tag, bool(bad)))
+            self.bad += bool(bad)
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +152,8 @@ def templates(pages: DataFrame) -> DataFrame:
     of hashes of (page, count) is a fingerprint, and so are of one equivalence class.  A class is valid if it stands on
     enough pages and each of its tokens once on each: then its tokens part every page alike, and what
     lies between two of them is a slot.  Smaller valid classes nest in the slots of larger ones, so the
-    union of all of them, on each page in page order, is the nested template.
+    union of all of them, on each page in page order, is the nested template.  As each is on at least
+    SUPPORT of the pages, they are at most 1 / SUPPORT times the distinct tokens of a mean page.
     """
     seen = pages.mapInArrow(_count_tokens, "host string, token string, row_ long, n long").distinct()
     vectors = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.sum(F.pmod(F.xxhash64("row_", "n"), F.lit(1 << 40))).alias("vector"))
@@ -146,7 +161,7 @@ def templates(pages: DataFrame) -> DataFrame:
     total = vectors.groupBy("host").agg(F.max("pages").alias("all"))
     classes = vectors.join(total, "host").where((F.col("pages") >= 2) & (F.col("pages") >= SUPPORT * F.col("all")) & (F.col("most") == 1))
     grouped = classes.groupBy("host", "vector", "pages").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    kept = grouped.groupBy("host").agg(F.expr(f"slice(flatten(transform(array_sort(collect_list(struct(-pages as p, tokens as t))), x -> x.t)), 1, {TEMPLATE_TOKENS})").alias("template"))
+    kept = grouped.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
     return total.join(kept, "host", "left").select("host", F.col("all").alias("pages"), F.coalesce("template", F.expr("cast(array() as array<string>)")).alias("template"))
 
 

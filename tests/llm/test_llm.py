@@ -261,6 +261,16 @@ def test_pages_that_are_copies(spark):
     assert all(got[20 + i] == f"Head {max(0, i - 8)} Text number {max(0, i - 8)}" for i in range(12))
 
 
+def test_deep_pages_and_long_templates(spark):
+    page = "<body><nav>" + "<dt>x" * 1000 + "</nav><p>Main</p>" + "<div>" * 1000 + "<article><p>Own</article>"
+    assert [b[1] for b in html_template.blocks(page, frozenset()) if not b[3]] == ["Main", "Own"]
+    assert [b[4] for b in html_template.blocks(page + "</body>" + "<p>after", frozenset()) if not b[3]] == [False, True, False]
+    body = "".join(f"<div id=s{k}>{{own{k % 2}}}</div>" for k in range(1200))  # own and repeated text in turn
+    rows = [(i, f"http://a.example/{i}", body.replace("{own0}", f"own {i}").replace("{own1}", "same")) for i in range(4)]
+    got = pages_text(spark, rows)
+    assert all(got[i] == " ".join([f"own {i}"] * 600) for i in range(4))
+
+
 def test_digest_of_kept(spark):
     df = spark.createDataFrame([(1, "x" * 10)], "doc_id long, text string")
     r = suffix_dedup.remove_repeats(df).first()
