@@ -1,4 +1,4 @@
-"""Main text of web pages: equivalence-class template deduction over the pages of a host."""
+"""Main text of web pages: a template of each host from the tags that stand once on many of its pages."""
 
 from __future__ import annotations
 
@@ -148,11 +148,11 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def templates(pages: DataFrame) -> DataFrame:
     """(host, pages, template): the tokens of each host's template; row_ tells distinct pages, copies count once.
 
-    Tokens that stand equally often on every page of a host share an occurrence vector, of which a sum
-    of hashes of (page, count) is a fingerprint, and so are of one equivalence class.  A class is valid if it stands on
-    enough pages and each of its tokens once on each: then its tokens part every page alike, and what
-    lies between two of them is a slot.  Smaller valid classes nest in the slots of larger ones, so the
-    union of all of them, on each page in page order, is the nested template.  As each is on at least
+    A token is of the template if it stands on enough pages and once on each of them; what follows it
+    there, up to the next, is a slot.  This is a simplification of template deduction by equivalence
+    classes: tokens are grouped by occurrence vectors (a sum of hashes of (page, count) is the
+    fingerprint), but then the union of all groups is taken.  Order and nesting of classes are not
+    tested, and words and tags that stand more than once on a page are left out.  As each is on at least
     SUPPORT of the pages, they are at most 1 / SUPPORT times the distinct tokens of a mean page.
     """
     seen = pages.mapInArrow(_count_tokens, "host string, token string, row_ long, n long").distinct()
