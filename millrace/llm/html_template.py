@@ -1,233 +1,437 @@
-"""Main text of web pages: a template of each host from the tags that stand once on many of its pages."""
+"""Main text of web pages: a template of each host, deduced from equivalence classes of tokens, and its slots."""
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import string_buffer, table, text_chunks, written
+from .common import binaries, string_buffer, table, text_chunks, written
 
-#: Tokens of a page: a comment, an element whose content is not markup, a tag; text is what lies between.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|template|iframe|svg)\b.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|<[!?/a-zA-Z][^>]*+>""", re.S | re.I)
+#: Pieces of a page: a comment, an element whose content is not markup, a tag; text is what lies between.
+_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|template|iframe|svg)\b.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|<[!?/a-zA-Z][^>]*+>""", re.S | re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_DIGITS = re.compile(r"[0-9]+")
 
 # Fixed values of HTML, and of the names that page furniture usually has.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+LEAF = frozenset("html body article main p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre".split())
 FURNITURE = frozenset("nav header footer aside form button select option menu dialog head title fieldset".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ad|ads|adv|advert|adverts|advertisement|advertising|banner|promo|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|comment|comments|disqus|reply|replies|respond|pagination|pager|widget|login|signin|signup|form|toolbar|skip|search)(?:$|[\s_-])",
-    re.I,
-)
+NAMES = frozenset("nav navbar navigation menu header masthead footer sidebar aside related recommended search form reply replies respond skip login signin signup toolbar overlay".split())
+PARTS = frozenset("nav navbar menu footer sidebar ad ads adv advert adverts advertisement advertising banner promo sponsor sponsored cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription share sharing social breadcrumb breadcrumbs comment comments disqus pagination pager widget".split())
 MAIN = frozenset("article main".split())
-#: A token is of the template if it stands on at least this share of a host's pages, and on two.
-SUPPORT = 0.5
-#: A slot is furniture with a larger share of its characters in links, or with the same text on so many pages
-#: and this share of the host's; in article or main it takes more.
-LINKED, REPEATED, REPEATED_SHARE = 0.5, 3, SUPPORT
-LINKED_INSIDE, REPEATED_INSIDE, REPEATED_SHARE_INSIDE = 0.75, 5, 0.9
+
+#: Tags of the template stand on at least this share of a host's distinct pages, and on two of them (one, if it has one).
+SUPPORT = 0.05
+#: Tokens of a class at least.
+CLASS_TOKENS = 2
+#: A text is of the template, or a slot's only text, on so many distinct pages and this share of the host's; in article
+#: or main it takes more.  Texts are left to the slots if they would hold more than half of the host's text.
+REPEATED, REPEATED_SHARE = 3, 0.5
+REPEATED_INSIDE, REPEATED_SHARE_INSIDE = 5, 0.9
+#: A slot outside article and main is furniture if it draws from few texts: this share of its pages, of so many.
+POOL_SHARE, POOL_PAGES = 0.1, 20
+#: A slot is furniture with a larger share of its characters in links, or in elements that are named as furniture.
+LINKED, LINKED_INSIDE, NAMED = 0.5, 0.75, 0.5
 #: Templates of this measured size at most go to the pages by broadcast, larger ones by a join on the host.
 BROADCAST_BYTES = 32 << 20
+_HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def host(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
-
+@lru_cache(1 << 16)
+def _id(parent: int, token: str) -> int:
+    """64-bit number of a token at a path."""
+    return int.from_bytes(hashlib.blake2b(f"{parent} {token}".encode(), digest_size=8).digest(), "little", signed=True)
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(token, element name, text before it, whether it closes); the last has no token.
-
-    A token is a tag with its class, id and role; comments and scripts give none.
-    """
-    at, text = 0, []
-    for m in _TOKEN.finditer(page):
-        text.append(page[at : m.start()])
-        at = m.end()
-        name = _NAME.match(m[0])
-        if not name or m[1]:
-            continue
-        tag = name[1].lower()
-        closes = m[0].startswith("</")
-        marks = "" if closes else "".join(f" {a.lower()}={v.strip(chr(34) + chr(39)).lower()}" for a, v in _ATTRIBUTE.findall(m[0]))
-        yield ("/" if closes else "") + tag + marks, tag, "".join(text), closes
-        text = []
-    text.append(page[at:])
-    yield "", "", "".join(text), False
 
+#: Tokens before and after each page; they put whole pages into one slot where there is no other template.
+BEGIN, END = _id(0, "^"), _id(0, "$")
 
-def blocks(page: str, template: frozenset[str]) -> Iterator[tuple[str, str, int, bool, bool]]:
-    """(slot, text, characters in links, furniture, inside article or main) of every block of text.
 
-    A slot is named by the last template token before it.  Text is decoded, white space is one space.
-    """
-    stack = _Open()
-    slot, parts, linked = "", [], 0
-    for token, tag, text, closes in tokens(page):
-        if text.strip():
-            plain = entities.unescape(text)
-            parts.append(plain)
-            if stack.places["a"]:
-                linked += len(plain.strip())
-        elif text:
-            parts.append(" ")
-        if tag in INLINE and tag not in FURNITURE:
-            if tag == "a":
-                stack.move(tag, closes, False)
-            continue
-        joined = " ".join("".join(parts).split())
-        if joined:
-            yield slot, joined, linked, stack.bad > 0, any(stack.places[t] for t in MAIN)
-        parts, linked = [], 0
-        if token in template:
-            slot = token
-        if tag and tag not in VOID:
-            names = token.partition(" ")[2]
-            bad = tag in FURNITURE or any(NAMES.search(v) for v in re.findall(r"=([^=]*?)(?= \w+=|$)", f" {names}")) if not closes else False
-            stack.move(tag, closes, bad and tag not in ("html", "body"))
+@lru_cache(1 << 14)
+def _named(names: str) -> bool:
+    """Whether a class, id or role names furniture: by a whole name, or a part between - and _."""
+    for name in names.lower().split():
+        if re.sub(r"^(?:site|page|global|top|main)[-_]", "", name) in NAMES or any(p in PARTS for p in re.split("[-_]+", name)):
+            return True
+    return False
 
 
 class _Open:
-    """The open elements of a page, the places of each tag among them, and how many are furniture.
+    """The open elements of a page, the places of each tag among them, and how many are furniture by their names.
 
     Each is opened and closed once, whatever the depth.
     """
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool]] = []
+        self.stack: list[tuple[str, bool, int]] = []
         self.places: dict[str, list[int]] = defaultdict(list)
         self.bad = 0
 
-    def pop(self) -> None:
-        tag, bad = self.stack.pop()
+    def path(self) -> int:
+        return self.stack[-1][2] if self.stack else 0
+
+    def pop(self) -> int:
+        tag, bad, path = self.stack.pop()
         self.places[tag].pop()
         self.bad -= bad
+        return path
+
+    def inside(self) -> bool:
+        return bool(self.places["article"] or self.places["main"])
+
+    def close(self, tag: str) -> int:
+        """The closing token; a closing tag without its opening one closes nothing."""
+        own = self.places[tag]
+        if own and not (tag in ("p", "li", "a") and any(self.places[t] and self.places[t][-1] > own[-1] for t in (*MAIN, "body"))):
+            for _ in range(len(self.stack) - own[-1]):
+                path = self.pop()
+            return _id(path, "/")
+        return _id(self.path(), "/" + tag)
+
+    def open(self, tag: str, marks: str, bad: bool) -> int:
+        """The opening token; a paragraph, list item or cell closes the one that is open in the same parent."""
+        if tag in ("p", "li", "td", "tr", "option") and self.stack and self.stack[-1][0] == tag:
+            self.pop()
+        parent = self.path()
+        if tag not in VOID:
+            self.places[tag].append(len(self.stack))
+            self.stack.append((tag, bad, _id(parent, f"{tag} {_DIGITS.sub('0', marks)}")))
+            self.bad += bad
+        return _id(parent, f"<{tag} {marks}")
+
+
+def tokens(page: str) -> Iterator[tuple[int, str, int, bool, bool]]:
+    """(token, text, characters in links, named as furniture, inside article or main) in page order; tags have no text.
 
-    def move(self, tag: str, closes: bool, bad: bool) -> None:
-        """Opens or closes an element; a closing tag without its opening one is passed over, and a paragraph,
-        list item or cell closes the one that is open in the same parent."""
+    A tag is told by its class, id and role, and its path: the open elements with theirs (any number in these is 0).
+    A text is all between two tags that are not inline, decoded, white space as one space; comments and scripts
+    give nothing.
+    """
+    yield BEGIN, "", 0, False, False
+    held, at, parts, linked = _Open(), 0, [], 0
+    for m in (*_PIECE.finditer(page), None):
+        text = page[at : m.start()] if m else page[at:]
+        if text:
+            if text.isspace():
+                parts.append(" ")
+            else:
+                plain = entities.unescape(text)
+                parts.append(plain)
+                if held.places["a"]:
+                    linked += len(plain.strip())
+        name = None
+        if m:
+            at = m.end()
+            name = _NAME.match(m[0])
+            if not name or m[1]:
+                continue
+        tag = name[1].lower() if name else ""
+        closes = bool(m) and m[0].startswith("</")
+        if tag in INLINE:
+            if tag == "a":
+                held.close(tag) if closes else held.open(tag, "", False)
+            continue
+        if parts:
+            joined = " ".join("".join(parts).split())
+            if joined:
+                yield _id(held.path(), "=" + joined), joined, linked, held.bad > 0, held.inside()
+            parts, linked = [], 0
+        if not tag:
+            continue
         if closes:
-            own = self.places[tag]
-            if own and not (tag in ("p", "li", "a") and any(self.places[t] and self.places[t][-1] > own[-1] for t in (*MAIN, "body"))):
-                for _ in range(len(self.stack) - own[-1]):
-                    self.pop()
-        elif tag not in VOID:
-            if tag in ("p", "li", "td", "tr", "option") and self.stack and self.stack[-1][0] == tag:
-                self.pop()
-            self.places[tag].append(len(self.stack))
-            self.stack.append((tag, bool(bad)))
-            self.bad += bool(bad)
+            yield held.close(tag), "", 0, False, False
+        else:
+            found = [(a.lower(), v.strip("\"'")) for a, v in _ATTRIBUTE.findall(m[0])] if "=" in m[0] else []
+            bad = tag in FURNITURE and not (tag == "header" and held.inside()) or tag not in LEAF and any(_named(v) for _, v in found)
+            yield held.open(tag, " ".join(f"{a}={v.lower()}" for a, v in found), bad), "", 0, False, False
+    yield END, "", 0, False, False
 
 
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in text_chunks(batches, "html"):
         data, ends, starts = string_buffer(batch.column("html"))
         data = data.tobytes()
-        out: list[list] = [[], [], [], []]
+        yield batch, [data[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]
+
+
+def _print(found: list[tuple]) -> int:
+    """Tells distinct pages: copies have the same tokens."""
+    return int.from_bytes(hashlib.blake2b(np.array([t[0] for t in found], np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page: its tokens, how often each stands on it, the characters of texts (tags: -1), whether inside."""
+    for batch, pages in _pages(batches):
+        out: list[list] = [[], [], [], [], [], []]
         done = set()
-        for i, url, s, e in zip(batch.column("row_").to_pylist(), batch.column("url").to_pylist(), starts.tolist(), ends.tolist()):
-            h = host(url)
-            if (h, i) in done:
+        for site, page in zip(batch.column("site").to_pylist(), pages):
+            found = list(tokens(page))
+            row = _print(found)
+            if (site, row) in done:
                 continue
-            done.add((h, i))
-            for token, n in Counter(t for t, *_ in tokens(data[s:e].decode()) if t).items():
-                for col, v in zip(out, (h, token, i, n)):
+            done.add((site, row))
+            kinds = {t: (len(text) or -1, inside) for t, text, _, _, inside in found}
+            for token, n in Counter(t[0] for t in found).items():
+                for col, v in zip(out, (site, row, token, n, *kinds[token])):
                     col.append(v)
-        yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["host", "token", "row_", "n"])
+        yield pa.record_batch([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.bool_())], names=["site", "row_", "token", "n", "chars", "inside"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, template): the tokens of each host's template; row_ tells distinct pages, copies count once.
-
-    A token is of the template if it stands on enough pages and once on each of them; what follows it
-    there, up to the next, is a slot.  This is a simplification of template deduction by equivalence
-    classes: tokens are grouped by occurrence vectors (a sum of hashes of (page, count) is the
-    fingerprint), but then the union of all groups is taken.  Order and nesting of classes are not
-    tested, and words and tags that stand more than once on a page are left out.  As each is on at least
-    SUPPORT of the pages, they are at most 1 / SUPPORT times the distinct tokens of a mean page.
+def candidate_classes(pages: DataFrame) -> DataFrame:
+    """(site, classes): tokens of equal occurrence vectors, as packed pairs (number of the class, token).
+
+    The vector of a token is how often it stands on each distinct page; its fingerprint is a sum of hashes of
+    (page, count), so vectors are compared without gathering them.
     """
-    seen = pages.mapInArrow(_count_tokens, "host string, token string, row_ long, n long").distinct()
-    vectors = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.sum(F.pmod(F.xxhash64("row_", "n"), F.lit(1 << 40))).alias("vector"))
+    seen = pages.mapInArrow(_count, "site long, row_ long, token long, n long, chars long, inside boolean").distinct()
+    vectors = seen.groupBy("site", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("times"), F.max("chars").alias("chars"), F.min("inside").alias("inside"), F.sum(F.xxhash64("row_", "n").cast("decimal(38,0)")).alias("vector"))
     vectors = written(vectors)
-    total = vectors.groupBy("host").agg(F.max("pages").alias("all"))
-    classes = vectors.join(total, "host").where((F.col("pages") >= 2) & (F.col("pages") >= SUPPORT * F.col("all")) & (F.col("most") == 1))
-    grouped = classes.groupBy("host", "vector", "pages").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    kept = grouped.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
-    return total.join(kept, "host", "left").select("host", F.col("all").alias("pages"), F.coalesce("template", F.expr("cast(array() as array<string>)")).alias("template"))
+    total = vectors.groupBy("site").agg(F.max("pages").alias("all"), F.sum(F.when(F.col("chars") > 0, F.col("chars") * F.col("times"))).alias("text"))
+    text, share = F.col("chars") > 0, F.col("pages") / F.col("all")
+    steady = (F.col("pages") >= F.when(F.col("inside"), REPEATED_INSIDE).otherwise(REPEATED)) & (share >= F.when(F.col("inside"), REPEATED_SHARE_INSIDE).otherwise(REPEATED_SHARE))
+    tags = (F.col("pages") >= F.least(F.lit(2), F.col("all"))) & (share >= SUPPORT)
+    kept = vectors.join(total, "site").where(F.when(text, steady).otherwise(tags))
+    kept = kept.groupBy("site", "vector", "pages").agg(F.collect_list("token").alias("tags"), F.collect_list(F.when(text, F.col("token"))).alias("texts"), F.coalesce(F.sum(F.when(text, F.col("chars") * F.col("times"))), F.lit(0)).alias("held"), F.first("text").alias("text"))
+    # The whole size: a class that needs its texts to be large enough counts them, too.
+    kept = kept.where(F.size("tags") >= CLASS_TOKENS)
+    return kept.groupBy("site").agg(F.collect_list(F.struct("tags", "texts", "held")).alias("classes"), F.max("text").alias("text"))
+
+
+def _candidates(classes: list[dict], text: int | None) -> dict[int, int]:
+    """Token -> class, without the texts if these would hold more than half of the host's text."""
+    classes = sorted(classes, key=lambda c: min(c["tags"]))
+    drop = 2 * sum(c["held"] for c in classes) > (text or 0)
+    out: dict[int, int] = {}
+    for i, c in enumerate(classes):
+        own = set(c["tags"]) - (set(c["texts"]) if drop else set())
+        if len(own) >= CLASS_TOKENS:
+            out |= dict.fromkeys(own, i)
+    return out
+
+
+def check_page(sequence: list[int], known: dict[int, int], size: dict[int, int], ranks: dict[int, list[int]], crossed: Counter) -> None:
+    """Adds what a page says on order and nesting: the least and greatest rank of each token among those of its class,
+    and pairs of classes whose instances overlap without one being in one gap of the other."""
+    seen: dict[int, int] = defaultdict(int)
+    last: dict[int, int] = {}
+    held: list[list[int]] = []  # (class, place of its first token) of open instances, in order
+    for place, token in enumerate(sequence):
+        c = known.get(token)
+        if c is None:
+            continue
+        rank = seen[c] % size[c]
+        seen[c] += 1
+        own = ranks.setdefault(token, [rank, rank])
+        own[0], own[1] = min(own[0], rank), max(own[1], rank)
+        if rank:
+            for other, begin in reversed(held):
+                if begin < last[c]:
+                    break
+                if other != c:
+                    crossed[min(c, other), max(c, other)] += 1
+        else:
+            held.append([c, place])
+        last[c] = place
+        if rank == size[c] - 1:
+            del held[next(k for k in range(len(held) - 1, -1, -1) if held[k][0] == c)]
 
 
-_BLOCK = pa.list_(pa.struct([("slot", pa.string()), ("text", pa.string())]))
+def _pairs(packed: bytes | None) -> dict[int, int]:
+    flat = np.frombuffer(packed or b"", np.int64).tolist()
+    return dict(zip(flat[::2], flat[1::2]))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of each page that are not furniture, and sums of each slot; slots inside article or main begin with '='.
+def _packed(rows: list[dict[int, int]]) -> pa.Array:
+    return binaries(np.array([v for r in rows for kv in r.items() for v in kv], np.int64), [2 * len(r) for r in rows])
 
-    Pages of equal blocks have an equal fingerprint `page`."""
-    for batch in text_chunks(batches, "html"):
-        data, ends, starts = string_buffer(batch.column("html"))
-        data = data.tobytes()
-        rows, stats, page = [], [], []
-        for template, s, e in zip(batch.column("template").to_pylist(), starts.tolist(), ends.tolist()):
-            found = list(blocks(data[s:e].decode(), frozenset(template or ())))
-            own = [("=" * b[4] + b[0], *b[1:]) for b in found if not b[3]]
-            rows.append([{"slot": b[0], "text": b[1]} for b in own])
-            sums: dict[str, list[int]] = {}
-            for slot, text, linked, *_ in own:
-                x = sums.setdefault(slot, [0, 0, 0])
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column("site"), _packed([_candidates(c, t) for c, t in zip(batch.column("classes").to_pylist(), batch.column("text").to_pylist())])], names=["site", "known"])
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each host in a batch: ranks lo to hi of token a (b null), or classes a and b that overlap."""
+    for batch, pages in _pages(batches):
+        sums: dict[int, tuple] = {}
+        for site, packed, page in zip(batch.column("site").to_pylist(), batch.column("known").to_pylist(), pages):
+            if site not in sums:
+                known = _pairs(packed)
+                sums[site] = known, Counter(known.values()), {}, Counter()
+            known, size, ranks, crossed = sums[site]
+            check_page([t[0] for t in tokens(page)], known, size, ranks, crossed)
+        rows = [(s, t, None, *r) for s, (_, _, ranks, _) in sums.items() for t, r in ranks.items()] + [(s, a, b, None, None) for s, (_, _, _, x) in sums.items() for a, b in x]
+        yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["site", "a", "b", "lo", "hi"])
+
+
+#: What a template token does: begins its class, goes on with it, ends it.
+FIRST, INNER, LAST = 0, 1, 2
+
+
+def valid_template(known: dict[int, int], ranks: dict[int, tuple[int, int]], crossed: set[tuple[int, int]]) -> dict[int, int]:
+    """The tokens of all valid classes, and what each does.
+
+    A class keeps the tokens that have the same rank on all pages, and is valid with CLASS_TOKENS of them or more.
+    Of two classes that overlap, the one with fewer tokens goes.
+    """
+    members: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for token, c in known.items():
+        lo, hi = ranks.get(token, (0, 1))
+        if lo == hi:
+            members[c].append((lo, token))
+    gone = {min(pair, key=lambda c: (len(members.get(c, ())), -c)) for pair in crossed}
+    out: dict[int, int] = {}
+    for c, own in members.items():
+        if c not in gone and len(own) >= CLASS_TOKENS:
+            own.sort()
+            out |= {token: FIRST if k == 0 else LAST if k == len(own) - 1 else INNER for k, (_, token) in enumerate(own)}
+    return out
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for known, found in zip(batch.column("known").to_pylist(), batch.column("found").to_pylist()):
+            rows.append(valid_template(_pairs(known), {r["a"]: (r["lo"], r["hi"]) for r in found if r["b"] is None}, {(r["a"], r["b"]) for r in found if r["b"] is not None}))
+        yield pa.record_batch([batch.column("site"), _packed(rows)], names=["site", "template"])
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(site, template): packed pairs (token, FIRST, INNER or LAST) of each host's valid classes.
+
+    Candidates are the classes of equal occurrence vectors; a look at all pages then tests order and nesting.  As
+    tags of a template are on at least SUPPORT of a host's pages and texts on more, they are at most 1 / SUPPORT
+    times the distinct tokens of a mean page, so a host's template fits a task.
+    """
+    known = written(candidate_classes(pages).mapInArrow(_known, "site long, known binary"))
+    found = _beside(pages, known, "known").mapInArrow(_check, "site long, a long, b long, lo long, hi long")
+    found = found.groupBy("site", "a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("site").agg(F.collect_list(F.struct("a", "b", "lo", "hi")).alias("found"))
+    return known.join(found, "site").mapInArrow(_settle, "site long, template binary")
+
+
+def _beside(pages: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
+    """pages with the columns of their host; side is broadcast if its measured size allows it."""
+    size = side.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in columns) + 64)).first()[0] or 0
+    return pages.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "site", "left")
+
+
+def slots(found: list[tuple[int, str, int, bool, bool]], template: dict[int, int]) -> Iterator[tuple[int, str, int, bool, bool]]:
+    """(slot, text, characters in links, named, inside) of every text that is not of the template.
+
+    A slot is named by the template token that it follows; after the last token of a nested class it is that of
+    the class around it again.  Texts that no class is around are in no slot and left out.
+    """
+    held: list[int] = []
+    for token, text, *more in found:
+        does = template.get(token)
+        if does is None:
+            if text and held:
+                yield held[-1], text, *more
+        elif does == FIRST:
+            held.append(token)
+        elif held and does == LAST:
+            held.pop()
+        elif held:
+            held[-1] = token
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each slot of each distinct page: characters, those in links, named, inside; a fingerprint of the texts."""
+    for batch, pages in _pages(batches):
+        templates, done, rows = {}, set(), []
+        for site, packed, page in zip(batch.column("site").to_pylist(), batch.column("template").to_pylist(), pages):
+            if site not in templates:
+                templates[site] = _pairs(packed)
+            found = list(tokens(page))
+            row = _print(found)
+            if (site, row) in done:
+                continue
+            done.add((site, row))
+            sums: dict[int, list] = {}
+            for slot, text, linked, named, inside in slots(found, templates[site]):
+                x = sums.setdefault(slot, [0, 0, 0, 0, 0])
                 x[0] += len(text)
                 x[1] += linked
-                x[2] = (x[2] * 31 + zlib.crc32(text.encode())) % (1 << 40)
-            whole = zlib.crc32(repr([(k, x[0], x[2]) for k, x in sums.items()]).encode())
-            page.append(int.from_bytes(hashlib.blake2b(repr([b[:2] for b in own]).encode(), digest_size=8).digest(), "little", signed=True))
-            stats.append([{"slot": k, "chars": a, "linked": b, "print": c} for k, (a, b, c) in sums.items()])
-        kind = pa.list_(pa.struct([("slot", pa.string()), ("chars", pa.int64()), ("linked", pa.int64()), ("print", pa.int64())]))
-        yield pa.record_batch([*(batch.column(c) for c in ("host", "page_id", "url")), pa.array(page, pa.int64()), pa.array(rows, _BLOCK), pa.array(stats, kind)], names=["host", "page_id", "url", "page", "blocks", "stats"])
+                x[2] += len(text) * named
+                x[3] += len(text) * inside
+                x[4] = _id(x[4], text)
+            rows += [(site, row, slot, *x) for slot, x in sums.items()]
+        yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(8)], names=_SUMS)
+
+
+_SUMS = ["site", "row_", "slot", "chars", "linked", "named", "inside", "print"]
+
+
+def judge(pages: DataFrame) -> DataFrame:
+    """(site, bad): the slots of each host that are not main text, packed; pages have their host's template.
+
+    Bad is a slot that holds mostly links; one with the same text on all of several pages; one outside article and
+    main that draws many pages' texts from few; one most of whose text stands in elements named as furniture; and,
+    where a host has no other page to tell by, one outside article and main, if these hold half of its text.  If all that would leave a host nothing, only links count.
+    """
+    seen = pages.mapInArrow(_sum, ", ".join(f"{c} long" for c in _SUMS)).distinct()
+    texts = seen.groupBy("site", "slot", "print").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("chars", "linked", "named", "inside")))
+    sums = texts.groupBy("site", "slot").agg(F.count("*").alias("texts"), *(F.sum(c).alias(c) for c in ("n", "chars", "linked", "named", "inside")))
+    total = seen.groupBy("site", "row_").agg(F.sum("chars").alias("c"), F.sum("inside").alias("i")).groupBy("site").agg(F.count("*").alias("all"), (2 * F.sum("i") >= F.sum("c")).alias("mostly"))
+    inside = 2 * F.col("inside") > F.col("chars")
+    by_prior = lambda out, own: F.when(inside, own).otherwise(out)
+    linked = F.col("linked") > F.col("chars") * by_prior(LINKED, LINKED_INSIDE)
+    same = (F.col("texts") == 1) & (F.col("n") >= by_prior(REPEATED, REPEATED_INSIDE)) & (F.col("n") >= F.col("all") * by_prior(REPEATED_SHARE, REPEATED_SHARE_INSIDE))
+    pool = ~inside & (F.col("n") >= POOL_PAGES) & (F.col("texts") <= F.col("n") * POOL_SHARE)
+    named = F.col("named") > F.col("chars") * NAMED
+    alone = ~inside & (F.col("all") == 1) & F.col("mostly")
+    judged = sums.join(total, "site").select("site", "slot", linked.alias("linked"), (linked | same | pool | named | alone).alias("bad"))
+    judged = judged.groupBy("site").agg(F.collect_list(F.when(F.col("linked"), F.col("slot"))).alias("linked"), F.collect_list(F.when(F.col("bad"), F.col("slot"))).alias("bad"), F.min("bad").alias("none"))
+    return judged.select("site", F.when(F.col("none"), F.col("linked")).otherwise(F.col("bad")).alias("bad")).mapInArrow(_pack_bad, "site long, bad binary")
+
+
+def _pack_bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.column("bad").to_pylist()
+        yield pa.record_batch([batch.column("site"), binaries(np.array([v for r in rows for v in r], np.int64), [len(r) for r in rows])], names=["site", "bad"])
+
+
+def _text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, pages in _pages(batches):
+        own: dict[int, tuple] = {}
+        out = []
+        for site, packed, bad, page in zip(*(batch.column(k).to_pylist() for k in ("site", "template", "bad")), pages):
+            if site not in own:
+                own[site] = _pairs(packed), frozenset(np.frombuffer(bad or b"", np.int64).tolist())
+            template, bad = own[site]
+            out.append(" ".join(text for slot, text, *_ in slots(tokens(page), template) if slot not in bad))
+        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html), extra columns ignored.
 
-    A null html is empty; a page without main text gives ''; a null url counts as the host ''.  Each
-    host's template is deduced from all its pages.  A slot is dropped if it is page furniture (by the
-    elements around it, or their names), holds mostly links, or holds the same text on every one of
-    several pages that differ elsewhere.  Article and main elements are a prior: judging a slot in one takes more, and one
-    outside stays if its text differs between pages; where no other page tells, it stays unless
-    article and main hold half of the page's text or more.  Pages of a large
-    host are spread over tasks: only token counts and slot sums are grouped by host.
+    A null html is empty; a page without main text gives ''; a null url counts as the host ''; repeated rows stay,
+    and copies of a page count once in all that is judged.  Each host's template is deduced from all its pages
+    (templates()), and what is not of the template fills slots, which are judged by their texts on all pages
+    (judge()).  The text of a page is that of its good slots; nothing within a slot is dropped.  Names of tags,
+    classes and ids count only as shares of a slot's text, article and main elements as a prior.  Pages of a large
+    host are spread over tasks: only counts and sums are grouped by host.
     """
-    own = pages.select(F.col("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("row_", F.xxhash64("html"))
-    found = templates(own.select("row_", "url", "html"))
-    name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    known = written(found)
-    size = known.agg(F.sum(F.length(F.array_join("template", ",")) + F.length("host") + 64)).first()[0] or 0
-    side = known.select("host", "template")
-    cut = own.withColumn("host", name).join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "host", "left").mapInArrow(_cut, f"host string, page_id {own.schema['page_id'].dataType.simpleString()}, url string, page long, blocks array<struct<slot:string,text:string>>, stats array<struct<slot:string,chars:long,linked:long,print:long>>")
-    cut = written(cut)
-    # Copies count once, so where a slot says the same on several pages, other slots of them differ.
-    single = cut.select("host", "page", F.explode("stats").alias("s")).groupBy("host", "s.slot", "page").agg(*(F.max(f"s.{c}").alias(c) for c in ("chars", "linked", "print")))
-    sums = single.groupBy("host", "slot").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("print").alias("lo"), F.max("print").alias("hi"))
-    # A slot that says the same everywhere is furniture, unless nearly all pages lack it.
-    distinct = cut.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    inside = F.startswith("slot", F.lit("="))
-    by_prior = lambda out, own: F.when(inside, own).otherwise(out)
-    repeated = (F.col("lo") == F.col("hi")) & (F.col("n") >= by_prior(REPEATED, REPEATED_INSIDE)) & (F.col("n") >= F.col("pages") * by_prior(REPEATED_SHARE, REPEATED_SHARE_INSIDE))
-    bad = (F.col("linked") > F.col("chars") * by_prior(LINKED, LINKED_INSIDE)) | repeated
-    judged = sums.join(distinct, "host").where(bad | (F.col("lo") != F.col("hi"))).groupBy("host")
-    judged = written(judged.agg(F.collect_list(F.when(bad, F.col("slot"))).alias("bad"), F.collect_list(F.when(~bad & ~inside, F.col("slot"))).alias("good")))
-    size = judged.agg(F.sum(F.length(F.array_join("bad", ",")) + F.length(F.array_join("good", ",")) + F.length("host") + 64)).first()[0] or 0
-    texts = cut.join(F.broadcast(judged) if size <= BROADCAST_BYTES else judged, "host", "left").select("page_id", "url", "good", F.expr("filter(blocks, b -> not coalesce(array_contains(bad, b.slot), false))").alias("own"))
-    texts = texts.withColumn("outside", F.expr("aggregate(own, 0L, (n, b) -> n + length(b.text) * if(startswith(b.slot, '='), -1, 1)) > 0"))
-    texts = texts.select("page_id", "url", F.expr("array_join(transform(filter(own, b -> outside or startswith(b.slot, '=') or coalesce(array_contains(good, b.slot), false)), b -> b.text), ' ')").alias("text"))
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    site = F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)))
+    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), site.alias("site"))
+    thin = own.select("site", "html")
+    found = written(templates(thin))
+    bad = judge(_beside(thin, found, "template"))
+    side = written(found.join(bad, "site", "left"))
+    kind = own.schema["page_id"].dataType.simpleString()
+    return _beside(own, side, "template", "bad").mapInArrow(_text, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

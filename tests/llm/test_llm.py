@@ -1,7 +1,10 @@
 import hashlib
+import html
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,14 +266,151 @@ def test_pages_that_are_copies(spark):
 
 def test_deep_pages_and_long_templates(spark):
     page = "<body><nav>" + "<dt>x" * 1000 + "</nav><p>Main</p>" + "<div>" * 1000 + "<article><p>Own</article>"
-    assert [b[1] for b in html_template.blocks(page, frozenset()) if not b[3]] == ["Main", "Own"]
-    assert [b[4] for b in html_template.blocks(page + "</body>" + "<p>after", frozenset()) if not b[3]] == [False, True, False]
+    plain = lambda p: [t for t in html_template.tokens(p) if t[1] and not t[3]]
+    assert [t[1] for t in plain(page)] == ["Main", "Own"]
+    assert [t[4] for t in plain(page + "</body>" + "<p>after")] == [False, True, False]
     body = "".join(f"<div id=s{k}>{{own{k % 2}}}</div>" for k in range(1200))  # own and repeated text in turn
     rows = [(i, f"http://a.example/{i}", body.replace("{own0}", f"own {i}").replace("{own1}", "same")) for i in range(4)]
     got = pages_text(spark, rows)
     assert all(got[i] == " ".join([f"own {i}"] * 600) for i in range(4))
 
 
+def test_template_decides(spark, monkeypatch):
+    # Nothing here is named, and the texts of the first block differ: links tell it; the last is on all pages.
+    page = "<body><div><a href=a>Page {0}</a> <a href=b>Link {0}</a></div><section><h1>Head {0}</h1><p>Text of page {0}</p></section><section><p>Follow us</p></section></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(4)]
+    assert pages_text(spark, rows) == {i: f"Head {i} Text of page {i}" for i in range(4)}
+    plain = lambda batches: (pa.record_batch([b.column("site"), html_template._packed([{html_template.BEGIN: 0, html_template.END: 2}] * b.num_rows)], names=["site", "template"]) for b in batches)
+    given = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    whole = pages_text(spark, given)
+    monkeypatch.setattr(html_template, "_settle", plain)  # templates of nothing but the two ends: one slot a page
+    emptied = pages_text(spark, given + rows)
+    assert all(emptied[i] != whole[i] for i in whole if i >= 4) and all("Follow us" in emptied[i] for i in range(4))
+
+
+def test_names_of_article_parts(spark):
+    head = ["<header><h1>Title {0}</h1></header>", '<div class="article-header"><h1>Title {0}</h1></div>', "<h1>Title {0}</h1>"]
+    page = '<body><header><p>Site {0}</p></header><article>%s<p class="related work">Work {0}</p><div class="comments"><p>Nice {0}</p></div></article><div id="ad-3"><p>Buy {0}</p></div></body>'
+    for k, h in enumerate(head):
+        got = pages_text(spark, [(i, f"http://h{k}.example/{i}", (page % h).format(i)) for i in range(3)])
+        assert got == {i: f"Title {i} Work {i}" for i in range(3)}
+
+
+def test_nested_and_disordered_classes():
+    known = {1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: 2}
+    ranks, crossed = {}, Counter()
+    size = Counter(known.values())
+    html_template.check_page([1, 3, 9, 4, 3, 4, 5, 2, 6], known, size, ranks, crossed)
+    assert crossed == {(0, 2): 1} and ranks == {1: [0, 0], 2: [1, 1], 3: [0, 0], 4: [1, 1], 5: [0, 0], 6: [1, 1]}
+    found = html_template.valid_template(known, {k: tuple(v) for k, v in ranks.items()}, set(crossed))
+    assert found == {1: 0, 2: 2, 3: 0, 4: 2}
+    texts = [(t, "x" if t > 6 else "", 0, False, False) for t in (7, 1, 8, 3, 9, 4, 10, 2, 11)]
+    assert [s[0] for s in html_template.slots(texts, found)] == [1, 3, 1]
+    html_template.check_page([2, 1], known, size, ranks, crossed)  # another order: neither token of class 0 keeps a rank
+    assert html_template.valid_template(known, {k: tuple(v) for k, v in ranks.items()}, set()) == {3: 0, 4: 2, 5: 0, 6: 2}
+
+
+def brute_pages(rows):
+    """Template and slots of all pages of a host by explicit vectors and sequences, for hosts whose pages differ."""
+    hosts, out = {}, {}
+    for i, url, page in rows:
+        hosts.setdefault(re.sub(r"^\w+://([^/?#:]*).*$", r"\1", url or "", flags=re.S).lower(), []).append((i, list(html_template.tokens(page or ""))))
+    for pages in hosts.values():
+        kinds = {tuple(t[0] for t in p): p for _, p in pages}
+        every = list(kinds.values())
+        text = {t[0]: t for p in every for t in p}
+        vector = {t: tuple(sum(x[0] == t for x in p) for p in every) for t in text}
+        n = len(every)
+        alike = {}
+        for t, v in vector.items():
+            on = sum(c > 0 for c in v)
+            inside = text[t][4] and all(x[4] for p in every for x in p if x[0] == t)
+            if (on >= (5 if inside else 3) and on >= (0.9 if inside else 0.5) * n) if text[t][1] else (on >= min(2, n) and on >= 0.05 * n):
+                alike.setdefault(v, []).append(t)
+        classes = [c for c in alike.values() if len(c) >= 2]
+        held = sum(len(text[t][1]) * sum(vector[t]) for c in classes for t in c)
+        if 2 * held > sum(len(x[1]) for p in every for x in p):
+            classes = [[t for t in c if not text[t][1]] for c in classes]
+        valid = []
+        for c in classes:
+            orders = set()
+            for p in every:
+                own = [x[0] for x in p if x[0] in c]
+                orders |= {tuple(own[k : k + len(c)]) for k in range(0, len(own), len(c))}
+            stable = [t for k, t in enumerate(next(iter(orders))) if all(o[k] == t for o in orders)]
+            if len(c) >= 2 and len(stable) >= 2:
+                valid.append((stable, len(c), c))
+
+        def spans(p, c, size):
+            at = [k for k, x in enumerate(p) if x[0] in c]
+            return [at[k : k + size] for k in range(0, len(at), size)]
+
+        bad = set()
+        for a in range(len(valid)):
+            for b in range(a):
+                for p in every:
+                    for x in spans(p, valid[a][2], valid[a][1]):
+                        for y in spans(p, valid[b][2], valid[b][1]):
+                            if x[0] < y[-1] and y[0] < x[-1] and len({sum(u < v for u in x) for v in y}) > 1 and len({sum(u < v for u in y) for v in x}) > 1:
+                                bad.add(min((a, b), key=lambda k: (len(valid[k][0]), -min(valid[k][2]))))
+        valid = [v[0] for k, v in enumerate(valid) if k not in bad]
+        role = {t: (k, len(c)) for c in valid for k, t in enumerate(c)}
+
+        def cut(p):
+            stack = []
+            for t, words, linked, named, inside in p:
+                if t not in role:
+                    if words and stack:
+                        yield stack[-1], words, linked, named, inside
+                elif role[t][0] == 0:
+                    stack.append(t)
+                elif role[t][0] == role[t][1] - 1:
+                    stack.pop()
+                else:
+                    stack[-1] = t
+
+        own = {}
+        for k, p in enumerate(every):
+            for slot, words, linked, named, inside in cut(p):
+                own.setdefault(slot, []).append((k, words, linked, named, inside))
+        everything = sum(len(w) for x in own.values() for _, w, *_ in x)
+        mostly = 2 * sum(len(w) * i for x in own.values() for _, w, _, _, i in x) >= everything
+        out_slots, links = set(), set()
+        for slot, found in own.items():
+            chars = sum(len(f[1]) for f in found)
+            inside = 2 * sum(len(f[1]) * f[4] for f in found) > chars
+            by_page = {}
+            for f in found:
+                by_page.setdefault(f[0], []).append(f[1])
+            texts = {tuple(v) for v in by_page.values()}
+            if sum(f[2] for f in found) > (0.75 if inside else 0.5) * chars:
+                links.add(slot)
+            same = len(texts) == 1 and len(by_page) >= (5 if inside else 3) and len(by_page) >= (0.9 if inside else 0.5) * n
+            pool = not inside and len(by_page) >= 20 and len(texts) <= 0.1 * len(by_page)
+            if slot in links or same or pool or sum(len(f[1]) * f[3] for f in found) > 0.5 * chars or (not inside and n == 1 and mostly):
+                out_slots.add(slot)
+        if out_slots == set(own):
+            out_slots = links
+        for i, p in pages:
+            out[i] = " ".join(words for slot, words, *_ in cut(p) if slot not in out_slots)
+    return out
+
+
+def test_pages_against_brute_force(spark):
+    given = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    rng = np.random.default_rng(8)
+    parts = ["<div class=x><p>Own {0}</p></div>", "<section><p>Same</p></section>", "<ul><li><a href=a>L{0}</a></li><li>two</li></ul>", "<article><h2>A{0}</h2><p>text {0}</article>", "<p>loose {1}", "<div class=ad>Buy {1}</div>", "<table><tr><td>1<td>{0}</table>"]
+    made = []
+    for i in range(120):
+        body = "".join(parts[k].format(i, i % 3) for k in (rng.permutation(7) if i % 4 == 0 else np.arange(7)) if rng.random() < 0.8)
+        made.append((10_000 + i, f"http://made{i % 4 if i > 30 else 9}.example/{i}", f"<html><body>{body}</body></html>"))
+    rows = given + made + made[:5]
+    got = pages_text(spark, rows)
+    assert got == brute_pages(rows)
+    articles = {i: re.search(r"<article>(.*)</article>", h, re.S)[1] for i, _, h in given}
+    assert all(got[i] == " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", a))).split()) for i, a in articles.items())
+
+
 def test_digest_of_kept(spark):
     df = spark.createDataFrame([(1, "x" * 10)], "doc_id long, text string")
     r = suffix_dedup.remove_repeats(df).first()
