@@ -49,16 +49,29 @@ def _load(path: str, tokenizer: str = TOKENIZER):
 _tokenizer = per_process(_load)
 
 
+def _powers(places: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """Pairs of places (from, to) a power of two apart, at most `length`, by the later one, longest first."""
+    froms, tos, size = [], [], 1
+    while size <= length:
+        at = np.searchsorted(places, places - size)
+        hit = np.flatnonzero(places[np.minimum(at, len(places) - 1)] == places - size)
+        froms.append(at[hit])
+        tos.append(hit)
+        size *= 2
+    froms, tos = np.concatenate(froms[::-1]), np.concatenate(tos[::-1])
+    order = np.argsort(tos, kind="stable")
+    return froms[order].tolist(), [*tos[order].tolist(), -1]
+
+
 def cuts(sentence_ends: np.ndarray, doc_ends: np.ndarray, n: int, length: int = LENGTH) -> np.ndarray:
     """Where the stream of n tokens is cut (ends of sequences, the last is n), at the least sum of padding
     and cut costs.
 
     Places are document ends, sentence ends, and every INNER_STEP tokens where neither comes.
     best[j] = cost[j] + length - place[j] + min(best[i] + place[i]) over places i at most `length`
-    before j: a sliding minimum, kept in a monotone queue.  A sequence of length / 2 is a power of two
-    and needs no padding where `length` is one, which is one more transition.
+    before j: a sliding minimum, kept in a monotone queue.  A sequence of a power of two tokens needs no
+    padding: from each place that far before j there is one more transition.  Ties take the longer sequence.
     """
-    cost_at = {}
     places = np.unique(np.concatenate([sentence_ends, doc_ends, [0, n]]))
     gaps = np.diff(places)
     wide = np.flatnonzero(gaps > INNER_STEP)
@@ -69,20 +82,20 @@ def cuts(sentence_ends: np.ndarray, doc_ends: np.ndarray, n: int, length: int =
     cost[n] = 0
     places = np.unique(np.concatenate([places, inner]))
     cost_at = cost[places].tolist()
-    half = length // 2
-    at_half = np.searchsorted(places, places - half)
-    at_half = np.where((places >= half) & (places[np.minimum(at_half, len(places) - 1)] == places - half), at_half, -1).tolist()
+    free_from, free_to = _powers(places, length)
     p = places.tolist()
-    best, came, queue_v, queue_i, head = [0] * len(p), [0] * len(p), [0], [0], 0
+    best, came, queue_v, queue_i, head, free = [0] * len(p), [0] * len(p), [0], [0], 0, 0
     for j in range(1, len(p)):
         at = p[j]
         while at - p[queue_i[head]] > length:
             head += 1
         i = queue_i[head]
         low = queue_v[head] + length - at
-        h = at_half[j]
-        if h >= 0 and best[h] < low:
-            low, i = best[h], h
+        while free_to[free] == j:
+            h = free_from[free]
+            free += 1
+            if best[h] < low:
+                low, i = best[h], h
         low += cost_at[j]
         best[j], came[j] = low, i
         v = low + at

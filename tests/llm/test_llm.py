@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import html
 import re
@@ -45,32 +46,33 @@ def test_every_operator_takes_odd_rows(spark, docs):
         assert r["text"][r["spans"][0]["start"] : r["spans"][0]["end"]] == BASE.strip(". ")
 
 
+@functools.cache
+def contract_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_packing_round_trip(spark, docs):
     rows = packing.pack(docs).toPandas()
     ends = rows.groupby("sequence_id")["length"].sum()
     assert len(rows) == 0 or ends.max() <= packing.LENGTH
-    encoding, _ = packing._load(packing.VOCABULARY)
-    whole = [np.array([*encoding.encode_ordinary(r["text"] or ""), 0], np.uint32) for r in docs.where("doc_id is not null and doc_id <> 3").orderBy("doc_id").collect()]
+    whole = [np.array([*contract_tokenizer().encode(r["text"] or "", add_special_tokens=False).ids, 0], np.uint32) for r in docs.where("doc_id is not null and doc_id <> 3").orderBy("doc_id").collect()]
     own = rows[rows["doc_id"].notna() & (rows["doc_id"] != 3)].sort_values(["doc_id", "start"])
     got = [np.frombuffer(b"".join(g["ids"]), np.uint32) for _, g in own.groupby("doc_id")]
     assert len(got) == len(whole) and all(np.array_equal(a, b) for a, b in zip(got, whole))
 
 
 def test_vocabularies_agree():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t = contract_tokenizer()
     encoding, _ = packing._load(packing.VOCABULARY)
     for text in (BASE, "éàü ñ\n\n  x\t1234567", "日本 😀  ", LONG[:999]):
         assert t.encode(text, add_special_tokens=False).ids == encoding.encode_ordinary(text)
 
 
 def test_added_tokens_in_texts(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t = contract_tokenizer()
     texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n  y", "<|endoftext| >", "  <|endoftext|>  's", "don<|endoftext|>'t <|ENDOFTEXT|>"]
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "start").collect()
     for i, text in enumerate(texts):
@@ -79,10 +81,13 @@ def test_added_tokens_in_texts(spark):
         assert np.frombuffer(b"".join(r["ids"] for r in own), np.uint32).tolist() == want and {r["doc_tokens"] for r in own} == {len(want)}
 
 
+def padding(size, length):
+    return 0 if size & (size - 1) == 0 else length - size
+
+
 def test_cuts_are_optimal():
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        n, length = 60, 16
+    for n, length in [(60, 16)] * 20 + [(90, 32)] * 20:
         docs = np.unique(np.append(rng.integers(1, n, 3), n))
         sentences = np.unique(rng.integers(1, n, 12))
         cost = np.full(n + 1, packing.INNER_CUT)
@@ -92,10 +97,26 @@ def test_cuts_are_optimal():
             continue
         best = {0: 0}
         for j in places[1:]:
-            best[j] = min(best[i] + (0 if j - i == length // 2 else length - (j - i)) + cost[j] for i in places if i < j and j - i <= length)
+            best[j] = min(best[i] + padding(j - i, length) + cost[j] for i in places if i < j and j - i <= length)
         found = packing.cuts(sentences, docs, n, length)
         sizes = np.diff(np.append(0, found))
-        assert sum(0 if s == length // 2 else length - s for s in sizes) + cost[found].sum() == best[n]
+        assert sum(padding(int(s), length) for s in sizes) + cost[found].sum() == best[n]
+
+
+def test_cuts_at_powers_of_two():
+    none = np.zeros(0, np.int64)
+    assert packing.cuts(none, np.array([256, 1280]), 1280).tolist() == [256, 1280]
+    assert packing.cuts(none, np.array([2, 10, 42]), 42).tolist() == [2, 10, 42]
+    assert packing.cuts(none, np.array([1000]), 1000).tolist() == [1000]
+    # Every way to cut at any place, costs as in the contract: padding to the length, except at a power of two.
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        ends = np.unique(np.append(rng.integers(1, 14, 4), 14))
+        ways = [[k + 1 for k in range(13) if mask >> k & 1] + [14] for mask in range(1 << 13)]
+        ways = [w for w in ways if set(w) <= set(ends.tolist()) and np.diff([0, *w]).max() <= 8]
+        if ways:
+            least = min(sum(padding(int(s), 8) for s in np.diff([0, *w])) for w in ways)
+            assert sum(padding(int(s), 8) for s in np.diff(np.append(0, packing.cuts(none, ends, 14, 8)))) == least
 
 
 def brute_repeats(rows):

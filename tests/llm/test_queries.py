@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from millrace import llm
@@ -175,10 +176,10 @@ def test_benchmark_windows(spark, docs):
 
 
 def whole_pieces(rows, texts, ids_of):
-    encoding, _ = packing._load(packing.VOCABULARY)
+    tokenizer = Tokenizer.from_file(packing.TOKENIZER)
     seqs = {}
     for i, t in texts.items():
-        ids = np.array([*encoding.encode_ordinary(t), 0], "<u4")
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
         own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
         at = 0
         for r in own:
