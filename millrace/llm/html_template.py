@@ -201,7 +201,7 @@ def candidate_classes(pages: DataFrame) -> DataFrame:
     text, share = F.col("chars") > 0, F.col("pages") / F.col("all")
     steady = (F.col("pages") >= F.when(F.col("inside"), REPEATED_INSIDE).otherwise(REPEATED)) & (share >= F.when(F.col("inside"), REPEATED_SHARE_INSIDE).otherwise(REPEATED_SHARE))
     tags = (F.col("pages") >= F.least(F.lit(2), F.col("all"))) & (share >= SUPPORT)
-    kept = vectors.join(total, "site").where(F.when(text, steady).otherwise(tags))
+    kept = _beside(vectors, written(total), "all", "text").where(F.when(text, steady).otherwise(tags))
     kept = kept.groupBy("site", "vector", "pages").agg(F.collect_list("token").alias("tags"), F.collect_list(F.when(text, F.col("token"))).alias("texts"), F.coalesce(F.sum(F.when(text, F.col("chars") * F.col("times"))), F.lit(0)).alias("held"), F.first("text").alias("text"))
     # The whole size: a class that needs its texts to be large enough counts them, too.
     kept = kept.where(F.size("tags") >= CLASS_TOKENS)
@@ -321,8 +321,8 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def _beside(pages: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
-    """pages with the columns of their host; side is broadcast if its measured size allows it."""
-    size = side.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in columns) + 64)).first()[0] or 0
+    """Rows with the columns of their host; side, a written table, is broadcast if its measured size allows it."""
+    size = side.agg(F.sum(sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns) + 64)).first()[0] or 0
     return pages.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "site", "left")
 
 
@@ -391,7 +391,7 @@ def judge(pages: DataFrame) -> DataFrame:
     pool = ~inside & (F.col("n") >= POOL_PAGES) & (F.col("texts") <= F.col("n") * POOL_SHARE)
     named = F.col("named") > F.col("chars") * NAMED
     alone = ~inside & (F.col("all") == 1) & F.col("mostly")
-    judged = sums.join(total, "site").select("site", "slot", linked.alias("linked"), (linked | same | pool | named | alone).alias("bad"))
+    judged = _beside(sums, written(total), "all").select("site", "slot", linked.alias("linked"), (linked | same | pool | named | alone).alias("bad"))
     judged = judged.groupBy("site").agg(F.collect_list(F.when(F.col("linked"), F.col("slot"))).alias("linked"), F.collect_list(F.when(F.col("bad"), F.col("slot"))).alias("bad"), F.min("bad").alias("none"))
     return judged.select("site", F.when(F.col("none"), F.col("linked")).otherwise(F.col("bad")).alias("bad")).mapInArrow(_pack_bad, "site long, bad binary")
 
