@@ -31,8 +31,9 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked; n_chars follows the text."""
-    found = secret_scan.redact(secret_scan.scan(docs.select(*COLUMNS), secret_scan.fit()))
+    """All documents, their secrets masked; n_chars follows the text (null for a null text)."""
+    scanner = secret_scan.fit(documents=secret_scan.sample(docs))
+    found = secret_scan.redact(secret_scan.scan(docs.select(*COLUMNS), scanner))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
