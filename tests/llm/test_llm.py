@@ -241,7 +241,7 @@ def test_plain_patterns():
 def test_field_and_network_learn():
     crf = pii.fit()
     held = pii.labelled_sentences(100, 99)
-    got = crf.viterbi([[w for w, _ in s] for s in held])
+    got = pii.Field(crf).states([" ".join(w for w, _ in s) for s in held])
     assert np.mean([a == b for s, r in zip(held, got) for (_, a), b in zip(s, r)]) > 0.97
     scanner = secret_scan.fit()
     assert scanner.figures["recall"] >= secret_scan.RECALL
@@ -252,6 +252,72 @@ def test_field_and_network_learn():
     assert (p[y == 1] >= scanner.threshold).mean() > 0.9 and (p[y == 0] >= scanner.threshold).mean() < 0.002
 
 
+def test_blocks_decode_like_one_text_at_a_time():
+    rng = np.random.default_rng(12)
+    sizes = [1, 63, 64, 65, 1, 200, 7, 500]
+    scores, step = rng.normal(size=(sum(sizes), 5)).astype(np.float32), rng.normal(size=(5, 5))
+    first = np.zeros(len(scores), bool)
+    first[np.cumsum([0, *sizes[:-1]])] = True
+    want = []
+    for e in np.split(scores.astype(float), np.cumsum(sizes)[:-1]):
+        best, back = e[0], []
+        for row in e[1:]:
+            reach = best[:, None] + step
+            back.append(reach.argmax(0))
+            best = reach.max(0) + row
+        path = [int(best.argmax())]
+        for came in reversed(back):
+            path.append(int(came[path[-1]]))
+        want += path[::-1]
+    assert pii.viterbi(scores, first, step).tolist() == want
+    assert len(pii.viterbi(scores[:0], first[:0], step)) == 0
+    crf = pii.fit(pii.labelled_sentences(40), 3)
+    texts = ["call 555 now", "", "x", "mail a.b at c dot com\n\n" * 40, " 1 "]
+    field, feats = pii.Field(crf), [pii.features(t.split()) for t in texts]
+    for t, f, got in zip(texts, feats, field.states(texts)):
+        assert len(got) == len(t.split()) and np.array_equal(got, field.states([t])[0])
+        if f:
+            own = np.array([crf.weights[i].sum(0) for i in f])
+            assert np.array_equal(pii.viterbi(own, np.arange(len(f)) == 0, crf.step), got)
+
+
+def test_tagged_spans_pass_their_test():
+    kinds = {k: i + 1 for i, k in enumerate(pii.KINDS)}
+    run = lambda text, *states: pii.tagged(text, np.array([kinds.get(s, 0) for s in states]))
+    assert run("see 4111 1111 1111 1111### x", None, "card", "card", "card", "card", None) == [(4, 23, "card")]
+    assert run("4111 1111 1111 1112", "card", "card", "card", "card") == [] and run("At At At", "email", "email", "email") == []
+    assert run("(bob at web dot org)", "email", "email", "email", "email", "email") == [(0, 20, "email")]
+    assert run("1.2.3.4 4.0", "ip", "ip") == [(0, 11, "ip")] and run("4.0", "ip") == [] and run("+1 23", "phone", "phone") == []
+    long = "9" * 10_000
+    assert pii._own(pii.signatures(pa.array([long])).to_pylist()[0])[0] == "ld9" and pii.signatures(pa.array(["x" * 70 + "7"])).to_pylist() == ["x0"]
+
+
+def test_planted_personal_data(spark):
+    rng = np.random.default_rng(31)
+    num = lambda n: "".join(rng.choice(list("0123456789"), n))
+    name = lambda: "".join(rng.choice(["mar", "lo", "ki", "ten", "sa", "bru"], 2))
+
+    def card(n):
+        own = num(n - 1)
+        return next(own + d for d in "0123456789" if luhn_ok(own + d))
+
+    amex = lambda: (lambda c: f"{c[:4]} {c[4:10]} {c[10:]}")(card(15))
+    kinds = [lambda: f"{name()} at {name()} dot com", lambda: f"{name()}.{name()} [at] {name()} [dot] org", lambda: f"{name()} (at) {name()}.net", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"2001:db8::{num(4)}", amex]
+    made = [("contact " if i % 2 else "", kinds[i % len(kinds)](), " ") for i in range(300)]
+    docs, want = plant(spark, lambda k: made[k])
+    found = pii.find(docs, pii.fit()).collect()
+    added = [(r["doc_id"], f["start"], f["end"]) for r in found for f in r["findings"] if not f["base"]]
+    hit = sum(any(d == i and s < b and a < e for i, s, e in added) for d, (a, b) in want.items())
+    good = sum(i in want and s < want[i][1] and want[i][0] < e for i, s, e in added)
+    print("personal data: recall", hit / len(want), "precision", good / len(added))
+    assert hit >= 0.9 * len(want) and good >= 0.9 * len(added)
+
+
+def luhn_ok(digits):
+    d = [int(c) for c in digits][::-1]
+    return (sum(d[0::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
+
+
 def test_every_candidate_is_scored():
     net = secret_scan.SpanCnn.new()
     raw = ["a bc, dé=1 x", "", "z", "--"]
