@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import binaries, string_buffer, table, text_chunks, written
 
 #: Pieces of a page: a comment, an element whose content is not markup, a tag; text is what lies between.
-_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|template|iframe|svg)\b.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|<[!?/a-zA-Z][^>]*+>""", re.S | re.I)
+_PIECE = re.compile(r"""<(?:!--.*?(?:-->|\Z)|((?i:script|style|noscript|textarea|template|iframe|svg))\b.*?(?:</(?i:\1)\s*>|\Z)|/?[a-zA-Z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|[!?/a-zA-Z][^>]*+>)""", re.S)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _DIGITS = re.compile(r"[0-9]+")
@@ -54,6 +54,23 @@ def _id(parent: int, token: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{parent} {token}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
+@lru_cache(1 << 15)
+def _opened(parent: int, tag: str, marks: str) -> tuple[int, int]:
+    """(path, token) of an element."""
+    return _id(parent, f"{tag} {_DIGITS.sub('0', marks)}"), _id(parent, f"<{tag} {marks}")
+
+
+@lru_cache(1 << 14)
+def _tag(raw: str) -> tuple[str, bool, str, bool] | None:
+    """(name, whether it closes, its class, id and role, whether these name furniture) of a tag."""
+    name = _NAME.match(raw)
+    if not name:
+        return None
+    tag, closes = name[1].lower(), raw.startswith("</")
+    found = [(a.lower(), v.strip("\"'")) for a, v in _ATTRIBUTE.findall(raw)] if "=" in raw and not closes else []
+    return tag, closes, " ".join(f"{a}={v.lower()}" for a, v in found), tag not in LEAF and any(_named(v) for _, v in found)
+
+
 #: Tokens before and after each page; they put whole pages into one slot where there is no other template.
 BEGIN, END = _id(0, "^"), _id(0, "$")
 
@@ -103,12 +120,12 @@ class _Open:
         """The opening token; a paragraph, list item or cell closes the one that is open in the same parent."""
         if tag in ("p", "li", "td", "tr", "option") and self.stack and self.stack[-1][0] == tag:
             self.pop()
-        parent = self.path()
+        path, token = _opened(self.path(), tag, marks)
         if tag not in VOID:
             self.places[tag].append(len(self.stack))
-            self.stack.append((tag, bad, _id(parent, f"{tag} {_DIGITS.sub('0', marks)}")))
+            self.stack.append((tag, bad, path))
             self.bad += bad
-        return _id(parent, f"<{tag} {marks}")
+        return token
 
 
 def tokens(page: str) -> Iterator[tuple[int, str, int, bool, bool]]:
@@ -120,41 +137,41 @@ def tokens(page: str) -> Iterator[tuple[int, str, int, bool, bool]]:
     """
     yield BEGIN, "", 0, False, False
     held, at, parts, linked = _Open(), 0, [], 0
+    links = held.places["a"]
     for m in (*_PIECE.finditer(page), None):
-        text = page[at : m.start()] if m else page[at:]
-        if text:
-            if text.isspace():
-                parts.append(" ")
-            else:
-                plain = entities.unescape(text)
-                parts.append(plain)
-                if held.places["a"]:
-                    linked += len(plain.strip())
-        name = None
+        start = m.start() if m else len(page)
+        if start > at:
+            text = page[at:start]
+            if "&" in text:
+                text = entities.unescape(text)
+            parts.append(text)
+            if links:
+                linked += len(text.strip())
+        known = None
         if m:
             at = m.end()
-            name = _NAME.match(m[0])
-            if not name or m[1]:
+            if m[1]:
+                continue
+            known = ("a", False, "", False) if m[0].startswith("<a ") else _tag(m[0])
+            if not known:
+                continue
+            if known[0] in INLINE:
+                if known[0] == "a":
+                    held.close("a") if known[1] else held.open("a", "", False)
                 continue
-        tag = name[1].lower() if name else ""
-        closes = bool(m) and m[0].startswith("</")
-        if tag in INLINE:
-            if tag == "a":
-                held.close(tag) if closes else held.open(tag, "", False)
-            continue
         if parts:
             joined = " ".join("".join(parts).split())
             if joined:
-                yield _id(held.path(), "=" + joined), joined, linked, held.bad > 0, held.inside()
+                print_ = hashlib.blake2b(joined.encode(), digest_size=8, salt=held.path().to_bytes(8, "little", signed=True))
+                yield int.from_bytes(print_.digest(), "little", signed=True), joined, linked, held.bad > 0, held.inside()
             parts, linked = [], 0
-        if not tag:
+        if not known:
             continue
+        tag, closes, marks, bad = known
         if closes:
             yield held.close(tag), "", 0, False, False
         else:
-            found = [(a.lower(), v.strip("\"'")) for a, v in _ATTRIBUTE.findall(m[0])] if "=" in m[0] else []
-            bad = tag in FURNITURE and not (tag == "header" and held.inside()) or tag not in LEAF and any(_named(v) for _, v in found)
-            yield held.open(tag, " ".join(f"{a}={v.lower()}" for a, v in found), bad), "", 0, False, False
+            yield held.open(tag, marks, bad or tag in FURNITURE and not (tag == "header" and held.inside())), "", 0, False, False
     yield END, "", 0, False, False
 
 
