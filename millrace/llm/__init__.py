@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import decontaminate, embedding_join, html_template, jaccard_join, packing, pii, quality, secret_scan, sharding, suffix_dedup
 
-MODULES = ("embedding_join", "pii", "html_template", "secret_scan", "sharding", "quality", "suffix_dedup", "jaccard_join", "packing", "decontaminate")
+MODULES = (embedding_join, pii, html_template, secret_scan, sharding, quality, suffix_dedup, jaccard_join, packing, decontaminate)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"{__name__}.{m}").QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in import_module(f"{__name__}.{m}").ORACLE.items()}
+    return {k: s for m in MODULES for k, s in m.ORACLE.items()}

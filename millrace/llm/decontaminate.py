@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_process, string_buffer, table, text_chunks
+from .common import free, per_process, string_buffer, table, text_chunks
 
 #: Words in a window; a shorter item is one window.
 WINDOW = 13
@@ -103,7 +103,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     broadcast; blocks are cut by measured size (AUTOMATON_CHARS), so this stays bounded.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*_NAMES, "flags_", "items_")
+    docs = docs.drop(*_NAMES)
+    held = free(docs.columns, "flags", "found")
     size = benchmark.agg(F.sum(F.length(item_text) * WINDOW)).first()[0] or 0
     blocks = 1 + int(size) // AUTOMATON_CHARS
     columns = docs.columns
@@ -112,34 +113,35 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     for k in range(blocks):
         own = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == k)
         items = sorted((str(r[0]) if r[0] is not None else "null", r[1] or "") for r in own.select(item_id, item_text).collect())
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(windows(items)), text, columns, k == 0, k == blocks - 1), f"{ddl}, {_ADDED if k == blocks - 1 else 'flags_ binary, items_ array<string>'}")
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(windows(items)), text, columns, k == 0, k == blocks - 1, held), f"{ddl}, {_ADDED if k == blocks - 1 else f'{held[0]} binary, {held[1]} array<string>'}")
     return out
 
 
-def _pass(shared, text: str, columns: list[str], first: bool, last: bool):
-    """The scan for one block; flags and items of earlier blocks come in flags_ and items_."""
+def _pass(shared, text: str, columns: list[str], first: bool, last: bool, held: list[str]):
+    """The scan for one block; flags and items of earlier blocks come in the columns `held`."""
+    flags_, items_ = held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _built(shared.id if hasattr(shared, "id") else id(shared), shared.value)
         for batch in text_chunks(batches, text, 8 << 20):
             data, ends, starts = string_buffer(batch.column(text))
             data = data.tobytes()
-            rows: dict[str, list] = {k: [] for k in (*_NAMES, "flags_", "items_")}
+            rows: dict[str, list] = {k: [] for k in (*_NAMES, flags_, items_)}
             for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
                 n, hit, items = _hits(data[s:e], automaton)
                 if not first:
-                    was = np.frombuffer(batch.column("flags_")[i].as_py(), np.uint8).astype(bool)
+                    was = np.frombuffer(batch.column(flags_)[i].as_py(), np.uint8).astype(bool)
                     hit = was if hit is None else hit | was if len(was) else hit
-                    items |= set(batch.column("items_")[i].as_py())
+                    items |= set(batch.column(items_)[i].as_py())
                     hit = hit if hit is not None and hit.any() else None
                 if last:
                     n_hit = int(hit.sum()) if hit is not None else 0
                     for k, v in zip(_NAMES, (n, n_hit, sorted(items), _spans(data[s:e].decode(), hit) if n_hit else [], 20 * n_hit >= n and n_hit > 0)):
                         rows[k].append(v)
                 else:
-                    rows["flags_"].append(b"" if hit is None else hit.astype(np.uint8).tobytes())
-                    rows["items_"].append(sorted(items))
-            kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "contaminated": pa.bool_()} if last else {"flags_": pa.binary(), "items_": pa.list_(pa.string())}
+                    rows[flags_].append(b"" if hit is None else hit.astype(np.uint8).tobytes())
+                    rows[items_].append(sorted(items))
+            kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "contaminated": pa.bool_()} if last else {flags_: pa.binary(), items_: pa.list_(pa.string())}
             yield pa.record_batch([batch.column(c) for c in columns] + [pa.array(rows[k], t) for k, t in kinds.items()], names=[*columns, *kinds])
 
     return run

@@ -17,7 +17,7 @@ COSINE = 0.9
 #: Pivots for each dimension: those least by a hash of the id, so a bounded sample that only steers the work.
 PIVOTS = 8
 #: Bytes of vectors in a block; a cell with more is joined block by block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
 #: Rounding that bounds and single-precision products may have.
 SLACK = 1e-5
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, string_buffer, table, text_chunks, written
+from .common import binaries, removed, string_buffer, table, text_chunks, written
 
 #: Pieces of a page: a comment, an element whose content is not markup, a tag; text is what lies between.
 _PIECE = re.compile(r"""<(?:!--.*?(?:-->|\Z)|((?i:script|style|noscript|textarea|template|iframe|svg))\b.*?(?:</(?i:\1)\s*>|\Z)|/?[a-zA-Z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|[!?/a-zA-Z][^>]*+>)""", re.S)
@@ -205,15 +205,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.bool_())], names=["site", "row_", "token", "n", "chars", "inside"])
 
 
-def candidate_classes(pages: DataFrame) -> DataFrame:
-    """(site, classes): tokens of equal occurrence vectors, as packed pairs (number of the class, token).
+def _vectors(pages: DataFrame) -> DataFrame:
+    """Of each token of a host: its pages, its number there, the fingerprint of its occurrence vector.
 
     The vector of a token is how often it stands on each distinct page; its fingerprint is a sum of hashes of
     (page, count), so vectors are compared without gathering them.
     """
     seen = pages.mapInArrow(_count, "site long, row_ long, token long, n long, chars long, inside boolean").distinct()
-    vectors = seen.groupBy("site", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("times"), F.max("chars").alias("chars"), F.min("inside").alias("inside"), F.sum(F.xxhash64("row_", "n").cast("decimal(38,0)")).alias("vector"))
-    vectors = written(vectors)
+    return seen.groupBy("site", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("times"), F.max("chars").alias("chars"), F.min("inside").alias("inside"), F.sum(F.xxhash64("row_", "n").cast("decimal(38,0)")).alias("vector"))
+
+
+def candidate_classes(vectors: DataFrame) -> DataFrame:
+    """(site, classes, text): tokens of equal occurrence vectors, and characters of all texts of the host."""
     total = vectors.groupBy("site").agg(F.max("pages").alias("all"), F.sum(F.when(F.col("chars") > 0, F.col("chars") * F.col("times"))).alias("text"))
     text, share = F.col("chars") > 0, F.col("pages") / F.col("all")
     steady = (F.col("pages") >= F.when(F.col("inside"), REPEATED_INSIDE).otherwise(REPEATED)) & (share >= F.when(F.col("inside"), REPEATED_SHARE_INSIDE).otherwise(REPEATED_SHARE))
@@ -331,7 +334,9 @@ def templates(pages: DataFrame) -> DataFrame:
     tags of a template are on at least SUPPORT of a host's pages and texts on more, they are at most 1 / SUPPORT
     times the distinct tokens of a mean page, so a host's template fits a task.
     """
-    known = written(candidate_classes(pages).mapInArrow(_known, "site long, known binary"))
+    vectors = written(_vectors(pages))
+    known = written(candidate_classes(vectors).mapInArrow(_known, "site long, known binary"))
+    removed(vectors)
     found = _beside(pages, known, "known").mapInArrow(_check, "site long, a long, b long, lo long, hi long")
     found = found.groupBy("site", "a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("site").agg(F.collect_list(F.struct("a", "b", "lo", "hi")).alias("found"))
     return known.join(found, "site").mapInArrow(_settle, "site long, template binary")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binaries, components, mix, string_buffer, table, text_chunks, unpack, written
+from .common import binaries, components, free, mix, string_buffer, table, text_chunks, unpack, written
 from .exchange import block_columns, range_bits, unpack_hashes
 
 #: Words of a shingle, and the least similarity in percent.
@@ -86,7 +86,8 @@ def _send(bits: int, salts: int, words: int):
             n = np.array([len(s) for s in sets], np.int64)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             parts = np.stack([np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for s in sets]).astype(np.uint32)
-            key = -1 - (np.frombuffer(b"".join((p or b"\0" * 16)[:4] for p in prints), np.uint32) % salts).astype(np.int32)
+            # Rows of documents only pass; their place in the table deals them, as copies have one print.
+            key = -1 - ((np.arange(len(sets)) + int(parts.sum() % (1 << 30))) % salts).astype(np.int32)
             none = pa.nulls(len(sets), pa.binary())
             yield pa.record_batch([pa.array(key), batch.column("doc_id"), pa.array(n), pa.array(prints, pa.binary()), binaries(parts.reshape(-1), np.full(len(sets), PARTS)), none, none, none], names=list(kinds))
             full = np.flatnonzero(n)
@@ -290,8 +291,9 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     Rows without doc_id stay.
     """
     found = join(docs, percent, words).where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(*[F.xxhash64(c) for c in docs.columns])
-    kept = docs.join(found, "doc_id", "left_semi").withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_")
+    (rank,) = free(docs.columns, "rank")
+    order = Window.partitionBy("doc_id").orderBy(*[F.xxhash64(F.col(f"`{c}`")) for c in docs.columns])
+    kept = docs.join(found, "doc_id", "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 #: The ring has 2 ** 32 places.
 RING_BITS = 32
@@ -59,10 +59,11 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", vnodes:
     after the overflow of full shards has gone clockwise every shard is full: row counts are at
     most one apart.  Rows of one arc are ranked by place, key and a hash of the row; ties are equal
     rows, of which any order gives the same result.  An empty table gives an empty result; extra
-    columns stay (arc_, rank_, place_, part_ and parts_ must be free; columns named shard or slot are replaced).  Each arc is ranked in a
+    columns stay, whatever their names (columns named shard or slot are replaced).  Each arc is ranked in a
     window of its own, of which there are n_shards * vnodes; the driver sees a count for each arc.
     """
     docs = docs.drop("shard", "slot")
+    place_, cell_, before_, ends_, arc_, parts_, rank_, part_ = free(docs.columns, "place", "cell", "before", "ends", "arc", "parts", "rank", "part")
     spark, places = docs.sparkSession, ring(n_shards, vnodes)
     ends = [p for p, _ in places]
     text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
@@ -77,19 +78,19 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", vnodes:
     for c in range(1 << 10):
         rows.append((c, before, cells[c]))
         before += len(cells[c])
-    lookup = spark.createDataFrame(rows, "cell_ int, before_ int, ends_ array<long>")
-    placed = docs.withColumn("place_", place).withColumn("cell_", F.shiftright("place_", shift).cast("int")).join(F.broadcast(lookup), "cell_")
-    arc = (F.col("before_") + F.size(F.filter("ends_", lambda e: e < F.col("place_")))) % len(places)
-    placed = placed.withColumn("arc_", arc.cast("int")).drop("cell_", "before_", "ends_")
-    counts = {r["arc_"]: r["n"] for r in placed.groupBy("arc_").agg(F.count("*").alias("n")).collect()}
+    lookup = spark.createDataFrame(rows, f"{cell_} int, {before_} int, {ends_} array<long>")
+    placed = docs.withColumn(place_, place).withColumn(cell_, F.shiftright(place_, shift).cast("int")).join(F.broadcast(lookup), cell_)
+    arc = (F.col(before_) + F.size(F.filter(ends_, lambda e: e < F.col(place_)))) % len(places)
+    placed = placed.withColumn(arc_, arc.cast("int")).drop(cell_, before_, ends_)
+    counts = {r[0]: r[1] for r in placed.groupBy(arc_).agg(F.count("*")).collect()}
     total = sum(counts.values())
     capacity = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     parts = allot(counts, places, capacity)
-    quota = spark.createDataFrame([(a, [(s, lo, hi, at) for b, s, lo, hi, at in own]) for a, own in _by_arc(parts)], "arc_ int, parts_ array<struct<shard:int,lo:long,hi:long,at:long>>")
-    order = Window.partitionBy("arc_").orderBy("place_", key, *[F.xxhash64(c) for c in docs.columns if c != key])
-    ranked = placed.withColumn("rank_", F.row_number().over(order).cast("long") - 1).join(F.broadcast(quota), "arc_")
-    part = F.filter("parts_", lambda p: (p["lo"] <= F.col("rank_")) & (F.col("rank_") < p["hi"]))[0]
-    return ranked.withColumn("part_", part).select(*docs.columns, F.col("part_.shard").alias("shard"), (F.col("part_.at") + F.col("rank_") - F.col("part_.lo")).alias("slot"))
+    quota = spark.createDataFrame([(a, [(s, lo, hi, at) for b, s, lo, hi, at in own]) for a, own in _by_arc(parts)], f"{arc_} int, {parts_} array<struct<shard:int,lo:long,hi:long,at:long>>")
+    order = Window.partitionBy(arc_).orderBy(place_, F.col(f"`{key}`"), *[F.xxhash64(F.col(f"`{c}`")) for c in docs.columns if c != key])
+    ranked = placed.withColumn(rank_, F.row_number().over(order).cast("long") - 1).join(F.broadcast(quota), arc_)
+    part = F.filter(parts_, lambda p: (p["lo"] <= F.col(rank_)) & (F.col(rank_) < p["hi"]))[0]
+    return ranked.withColumn(part_, part).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{part_}.shard").alias("shard"), (F.col(f"{part_}.at") + F.col(rank_) - F.col(f"{part_}.lo")).alias("slot"))
 
 
 def _by_arc(parts):

@@ -22,6 +22,8 @@ ARRAY_BYTES, TASK_BYTES = 1 << 20, 3 << 20
 RANGE_ITEMS = 900_000
 #: Contexts of an anchor that are compared in one block; more are compared by pairs of blocks.
 BLOCK = 20_000
+#: Repeated runs that a task remembers from chunk to chunk, so that a common passage is sent about once a task.
+CARRY = 1 << 18
 #: Bits of the map that tells which documents may have something to look up (2 MB, whatever the input; a wrong bit only costs a shuffle of that text).
 MAP_BITS = 1 << 24
 _VALUE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,12 +81,43 @@ _SENT = "key int, doc_id long, print long, names binary, counts binary, hashes b
 _FOUND = "doc_id long, print long, firsts binary, sizes binary, hashes binary, alike binary"
 
 
+class _Seen:
+    """Contexts that repeat in a task, and the least document that has each; forgets all when it is full."""
+
+    def __init__(self) -> None:
+        self.h, self.c, self.least = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def lower(self, h: np.ndarray, c: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The least document of each context in the chunk or before it."""
+        if not len(self.h) or not len(h):
+            return least
+        lo, hi = np.searchsorted(self.h, h), np.searchsorted(self.h, h, side="right")
+        out = least.copy()
+        while len(live := np.flatnonzero(lo < hi)):
+            at = lo[live]
+            same = self.c[at] == c[live]
+            out[live[same]] = np.minimum(out[live[same]], self.least[at[same]])
+            lo[live] += 1
+        return out
+
+    def add(self, h: np.ndarray, c: np.ndarray, least: np.ndarray) -> None:
+        h, c, least = np.concatenate([self.h, h]), np.concatenate([self.c, c]), np.concatenate([self.least, least])
+        order = np.lexsort((least, c, h))
+        h, c, least = h[order], c[order], least[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if len(h) else np.zeros(0, bool)
+        if new.sum() > CARRY:
+            self.__init__()
+        else:
+            self.h, self.c, self.least = h[new], c[new], least[new]
+
+
 def _send(bits: int, salts: int):
     """Of every chunk: blocks of its anchors by range; and, as rows of a document, runs of windows whose whole
-    context stands in the chunk in a document with a smaller id too, which need no further look."""
+    context stands in the chunk, or before it in the task, in a document with a smaller id too, which need no further look."""
     names = [c.split()[0] for c in _SENT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in text_chunks(batches, "text", PIECE):
             data, ends, starts = string_buffer(batch.column("text"))
             ids, prints = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "print"))
@@ -95,14 +128,20 @@ def _send(bits: int, salts: int):
                 first = first + lo - starts[doc]
                 order = np.lexsort((ids[doc], c, h))
                 h, c, doc, first, size = h[order], c[order], doc[order], first[order], size[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if len(h) else np.zeros(0, bool)
-                least = ids[doc][np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else ids[:0]
+                begins = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))) if len(h) else np.zeros(0, np.int64)
+                width = np.diff(np.append(begins, len(h)))
+                here = ids[doc[begins]]
+                known = seen.lower(h[begins], c[begins], here)
+                again = (known < here) | (ids[doc[begins + width - 1]] > here) if len(begins) else np.zeros(0, bool)
+                seen.add(h[begins][again], c[begins][again], known[again])
+                least = np.repeat(known, width)
                 done = np.flatnonzero(ids[doc] > least)
                 if len(done):
                     done = done[np.argsort(doc[done], kind="stable")]
                     own, count = np.unique(doc[done], return_counts=True)
                     none = pa.nulls(len(own), pa.binary())
-                    key = -1 - (prints[own] % salts).astype(np.int32)
+                    # Copies have one print, so the id deals them, too.
+                    key = -1 - (mix(prints[own].view(np.uint64) ^ mix(ids[own].view(np.uint64))) % np.uint64(salts)).astype(np.int32)
                     yield pa.record_batch([pa.array(key), pa.array(ids[own]), pa.array(prints[own]), none, none, none, none, binaries(first[done].astype(np.uint32), count), binaries(size[done].astype(np.uint8), count)], names=names)
                 left = ids[doc] <= least
                 if not left.any():

@@ -135,16 +135,28 @@ def brute_repeats(rows):
     return out
 
 
-def test_repeats_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("records", [10_000, 4])
+def test_repeats_against_brute_force(spark, monkeypatch, records):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)  # with few, a task has many chunks
     rng = np.random.default_rng(1)
     passages = ["".join(rng.choice(list("abcd \0é"), rng.integers(30, 140))) for _ in range(8)]
     rows = [(i, "".join(passages[k] if k < 8 else "".join(rng.choice(list("abcd "), 40)) for k in rng.integers(0, 12, 6))) for i in range(60)]
     monkeypatch.setattr(suffix_dedup, "BLOCK", 4)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute_repeats(rows)
 
 
+def test_common_passages_are_sent_once_a_task():
+    text = "".join(chr(97 + k % 23) * (1 + k % 3) for k in range(300))
+    batches = [pa.record_batch([pa.array(ids), pa.array([f"{i} {text}" for i in ids]), pa.array(ids)], names=["doc_id", "text", "print"]) for ids in ([5, 9], [7, 3], [8, 6])]
+    sent = list(suffix_dedup._send(4, 16)(iter(batches)))
+    done = [i for b in sent if not b.column("doc_id").null_count for i in b.column("doc_id").to_pylist()]
+    runs = sum(len(x) for b in sent if b.column("doc_id").null_count for x in b.column("sizes").to_pylist())
+    assert done == [9, 7, 6, 8] and runs < 2.5 * len(suffix_dedup.anchors(np.frombuffer(f"5 {text}".encode(), np.uint8), np.array([len(text) + 2]))[0])
+
+
 def test_suffix_array_and_merge():
     rng = np.random.default_rng(2)
     s = rng.integers(1, 4, 400).astype(np.int16)
@@ -201,6 +213,22 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905))
 
 
+def test_vectors_odd_rows(spark):
+    schema = "vec_id long, embedding array<float>, rep long, n long, cell int"
+    got = embedding_join.link(spark.createDataFrame([], schema))
+    assert got.count() == 0 and got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    rows = [(3, [1.0, 0.0], 1, 1, 1), (3, [1.0, 0.0], 2, 2, 2), (1, [1.0, 0.0], 3, 3, 3), (None, [1.0, 0.0], 4, 4, 4), (7, [0.0, 1.0], 5, 5, 5), (8, [1.0, 0.0, 0.0], 6, 6, 6), (9, [3.0, 1.0], 7, 7, 7), (10, [float("inf"), 1.0], 8, 8, 8)]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_join.link(spark.createDataFrame(rows, schema)).collect()), key=str)
+    want = [(3, 3, 1, False), (3, 3, 1, False), (1, 3, 1, True), (None, 0, None, False), (7, 0, 7, True), (8, 0, 8, True), (9, 3, 1, False), (10, 0, 10, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(i, BASE + str(i), i, i, i, i, i, i, i, i) for i in range(6)], "doc_id long, text string, rank long, arc int, place int, PARTS int, part int, flags int, found int, ends int")
+    for out in (sharding.shard(docs, 3), jaccard_join.deduplicate(docs), decontaminate.scan(docs, docs.selectExpr("doc_id as item_id", "text"))):
+        assert set(docs.columns) <= set(out.columns) and all(r["rank"] == r["doc_id"] == r["part"] == r["found"] for r in out.collect())
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(7, 139)]
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(links, "u long, v long")).collect()}
