@@ -92,7 +92,7 @@ def vocabulary(counts: DataFrame, key: str, n_docs: int, min_df: int = 1, max_df
     return out.orderBy(F.desc("cnt"), "term").limit(max_features) if max_features else out
 
 
-def draw(key: str, seed: int = 0) -> str:
+def draw(key: str, seed: int | str = 0) -> str:
     """A number of [0, 1) from a key, as SQL text; the same on every run and partitioning."""
     return f"cast(conv(substr(md5(concat('{seed}:', cast({key} as string))), 1, 8), 16, 10) as double) / 4294967296D"
 

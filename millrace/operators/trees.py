@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.expr import num, sigmoid
+from ..functions.prepare import draw
 from .linear import complete
 from .loop import written
 
@@ -24,50 +25,86 @@ def compile_tree(tree: Tree, features: list[str], leaf=None, node: int = 0) -> s
     return f"case when {features[n['feature']]} <= {num(n['threshold'])} then {compile_tree(tree, features, leaf, 2 * node + 1)} else {compile_tree(tree, features, leaf, 2 * node + 2)} end"
 
 
-def cut_points(df: DataFrame, features: list[str], bins: int) -> list[list[float]]:
-    """Exact percentiles of each feature, without the greatest value: at most bins thresholds each, by one aggregate."""
-    share = ", ".join(f"{i / bins}D" for i in range(1, bins))
-    r = df.agg(*[F.expr(f"percentile({f}, array({share}))") for f in features], *[F.max(f) for f in features]).first()
-    return [sorted({v for v in r[i] if v < r[len(features) + i]}) for i in range(len(features))]
+#: Distinct values of a feature up to which its percentiles are exact; beyond, they are those of a mergeable summary, off
+#: by one part in PERCENTILE_ACCURACY of the rows at most.
+EXACT_VALUES, PERCENTILE_ACCURACY = 100_000, 10_000
 
 
-def grow(df: DataFrame, features: list[str], stats: dict[str, str], gain: str, valid: str, value, max_depth: int | None, accept: float, splittable=lambda s: True, cuts: list[list[float]] | None = None, columns: list[int] | None = None) -> Tree:
-    """A tree, one job a level for all its nodes.
+def cut_points(df: DataFrame, features: list[str], bins: int) -> list[list[float]]:
+    """At most bins thresholds of each feature, without its greatest value: all values where they are so few, else percentiles."""
+    if not features:
+        return []
+    r = df.agg(*[F.approx_count_distinct(f, 0.02) for f in features], *[F.max(f) for f in features]).first()
+    share = ", ".join(f"{i / bins}D" for i in range(1, bins)) or "0.5D"
+    few = [n <= 2 * bins for n in r[: len(features)]]
+    make = [F.collect_set(f) if s else F.expr(f"percentile({f}, array({share}))" if n <= EXACT_VALUES else f"percentile_approx({f}, array({share}), {PERCENTILE_ACCURACY})") for f, s, n in zip(features, few, r)]
+    found = [sorted({v for v in x or [] if v < top}) for x, top in zip(df.agg(*make).first(), r[len(features) :])]
+    again = [i for i, x in enumerate(found) if few[i] and len(x) > bins]
+    if again:
+        for i, x in zip(again, df.agg(*[F.expr(f"percentile({features[i]}, array({share}))") for i in again]).first()):
+            found[i] = sorted({v for v in x if v < r[len(features) + i]})
+    return [list(map(float, x)) for x in found]
+
+
+def binned(df: DataFrame, features: list[str], cuts: list[list[float]] | None) -> DataFrame:
+    """df with the bin of each feature, b_0, b_1, ...: how many of its thresholds are below the value."""
+    if cuts is None:
+        return df
+    return df.withColumns({f"b_{i}": F.expr(f"size(filter(array({', '.join(map(num, c)) or 'double(null)'}), c -> c < {f}))") for i, (f, c) in enumerate(zip(features, cuts))})
+
+
+def grow(df: DataFrame, features: list[str], stats: dict[str, str], gain: str, valid: str, value, max_depth: int | None, accept: float, splittable=lambda s: True, cuts: list[list[float]] | None = None, columns: list[int] | None = None, max_leaves: int | None = None) -> Tree:
+    """A tree, one job a level for all its nodes; with max_leaves the leaf of the greatest gain is split next, one job a split.
 
     stats: name -> SQL of what is summed; gain and valid: SQL over l_name, r_name, t_name (left, right,
     both); value: statistics -> leaf value; a split needs gain > accept.  Of equal gains (to 12 digits)
-    the first feature and the least threshold win.  Candidates are all values, or the cuts of a feature.
+    the first feature and the least threshold win.  Candidates are the cuts of a feature, of which df has the bins
+    (binned()), so at most as many rows a node and feature reach a window; without cuts they are all values.
     """
     names, d = list(stats), columns if columns is not None else list(range(len(features)))
-    if cuts is not None:
-        point = lambda f: f"try_element_at(filter(array({', '.join(map(num, cuts[f])) or 'double(null)'}), c -> c >= {features[f]}), 1)"
-    else:
-        point = lambda f: features[f]
-    total = df.agg(*[F.expr(f"sum({e})") for e in stats.values()]).first()
+    point = (lambda f: f"b_{f}") if cuts is not None else (lambda f: f"cast({features[f]} as double)")
+    base = df.select(*features, *([f"b_{f}" for f in d] if cuts is not None else []), *[F.expr(e).alias(n) for n, e in stats.items()]).persist()
+    total = base.agg(*[F.sum(n) for n in names]).first()
     tree: Tree = {0: {"stats": dict(zip(names, map(float, total))), "value": None}}
     tree[0]["value"] = value(tree[0]["stats"])
-    open_, depth = [0] if splittable(tree[0]["stats"]) else [], 0
-    while open_ and (max_depth is None or depth < max_depth):
+    w = Window.partitionBy("node", "f")
+
+    def best(open_: list[int]) -> list:
         at = compile_tree(tree, features, lambda n: str(n if n in open_ else -1))
-        each = F.explode(F.expr("array(" + ", ".join(f"struct({f} as f, cast({point(f)} as double) as v)" for f in d) + ")")).alias("c")
-        rows = df.select(F.expr(at).alias("node"), *[F.expr(e).alias(n) for n, e in stats.items()], each).where("node >= 0")
+        each = F.explode(F.expr("array(" + ", ".join(f"struct({f} as f, {point(f)} as v)" for f in d) + ")")).alias("c")
+        rows = base.select(F.expr(at).alias("node"), *names, each).where("node >= 0")
         sums = rows.groupBy("node", "c.f", "c.v").agg(*[F.sum(n).alias(n) for n in names])
-        w = Window.partitionBy("node", "f")
-        upto = w.orderBy(F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-        both = sums.select("node", "f", "v", *[F.sum(n).over(upto).alias(f"l_{n}") for n in names], *[F.sum(n).over(w).alias(f"t_{n}") for n in names], F.lead("f").over(w.orderBy(F.col("v").asc_nulls_last())).alias("more"))
+        if cuts is not None:
+            sums = sums.withColumn("v", F.expr("case f " + " ".join(f"when {f} then try_element_at(array({', '.join(map(num, cuts[f])) or 'double(null)'}), v + 1)" for f in d) + " end"))
+        order = w.orderBy(F.col("v").asc_nulls_last())
+        upto = order.rowsBetween(Window.unboundedPreceding, 0)
+        both = sums.select("node", "f", "v", *[F.sum(n).over(upto).alias(f"l_{n}") for n in names], *[F.sum(n).over(w).alias(f"t_{n}") for n in names], F.lead("f").over(order).alias("more"))
         both = both.where("more is not null and v is not null").select("*", *[F.expr(f"t_{n} - l_{n}").alias(f"r_{n}") for n in names]).where(valid).withColumn("gain", F.expr(f"round({gain}, 12)")).where(F.col("gain") > accept)
-        best = both.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "f", "v"))).where("r = 1")
-        found = best.collect()
-        open_ = []
-        for r in found:
-            n = tree[r["node"]]
-            n.update(feature=r["f"], threshold=r["v"], gain=r["gain"])
-            for child, side in ((2 * r["node"] + 1, "l"), (2 * r["node"] + 2, "r")):
-                s = {k: float(r[f"{side}_{k}"]) for k in names}
-                tree[child] = {"stats": s, "value": value(s)}
-                if splittable(s):
-                    open_.append(child)
-        depth += 1
+        return both.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "f", "v"))).where("r = 1").collect()
+
+    def divide(r) -> list[int]:
+        tree[r["node"]].update(feature=r["f"], threshold=r["v"], gain=r["gain"])
+        out = []
+        for child, side in ((2 * r["node"] + 1, "l"), (2 * r["node"] + 2, "r")):
+            s = {k: float(r[f"{side}_{k}"]) for k in names}
+            tree[child] = {"stats": s, "value": value(s)}
+            if splittable(s) and (max_depth is None or (child + 1).bit_length() - 1 < max_depth):
+                out.append(child)
+        return out
+
+    open_, offers, leaves = [0] if splittable(tree[0]["stats"]) and max_depth != 0 else [], [], 1
+    while open_:
+        found, open_ = best(open_), []
+        if max_leaves is None:
+            for r in found:
+                open_ += divide(r)
+            continue
+        offers = sorted([*offers, *found], key=lambda r: (-r["gain"], r["node"]))
+        while offers and leaves < max_leaves and not open_:
+            open_, leaves = divide(offers.pop(0)), leaves + 1
+        if leaves >= max_leaves:
+            break
+    base.unpersist()
     return tree
 
 
@@ -95,11 +132,12 @@ class DecisionTree:
     min_samples_leaf: int = 1
     criterion: str = "gini"
     task: str = "classification"
-    max_bins: int | None = None  # None: all values are candidates
+    max_bins: int | None = 256  # None: all values are candidates, and those of a feature and node meet in one task
     classes: list | None = None
     tree: Tree | None = None
 
-    def fit(self, df: DataFrame, weight: str = "1D") -> DecisionTree:
+    def fit(self, df: DataFrame, weight: str = "1D", cuts: list[list[float]] | None = None) -> DecisionTree:
+        """With cuts, df has the bins of the features already."""
         if self.task not in ("classification", "regression") or self.criterion not in ("gini", "entropy", "mse"):
             raise ValueError("unknown task or criterion")
         rows = complete(df, self.features)
@@ -115,7 +153,10 @@ class DecisionTree:
             mixed = lambda s: s["s2"] / s["n"] - (s["s"] / s["n"]) ** 2 > 1e-12
         i = {k: _impurity(kind, k, len(self.classes or [])) for k in "tlr"}
         gain = f"{i['t']} - l_n / t_n * {i['l']} - r_n / t_n * {i['r']}"
-        self.tree = grow(rows, self.features, stats, gain, f"l_n >= {self.min_samples_leaf} and r_n >= {self.min_samples_leaf}", value, self.max_depth, -1, lambda s: s["n"] >= self.min_samples_split and mixed(s), cut_points(rows, self.features, self.max_bins) if self.max_bins else None)
+        if cuts is None and self.max_bins:
+            cuts = cut_points(rows, self.features, self.max_bins)
+            rows = binned(rows, self.features, cuts)
+        self.tree = grow(rows, self.features, stats, gain, f"l_n >= {self.min_samples_leaf} and r_n >= {self.min_samples_leaf}", value, self.max_depth, -1, lambda s: s["n"] >= self.min_samples_split and mixed(s), cuts)
         return self
 
     def leaf_expr(self) -> str:
@@ -153,13 +194,15 @@ class RandomForest:
     trees: list[DecisionTree] = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> RandomForest:
-        rows, self.trees = df.select(self.key, *self.features, self.label).persist(), []
+        rows, self.trees = complete(df, self.features).select(self.key, *self.features, self.label), []
+        cuts = cut_points(rows, self.features, self.max_bins) if self.max_bins else None
+        rows = binned(rows, self.features, cuts).persist()
         classes = [r[0] for r in rows.select(self.label).distinct().orderBy(self.label).collect()] if self.task == "classification" else None
         for t in range(self.n_estimators):
-            u = f"(pmod(xxhash64({self.seed}, {t}, {self.key}), 1073741824) / 1073741824D)"
+            u = draw(self.key, f"{self.seed}:{t}")
             weight = "case " + " ".join(f"when {u} < {num(c)} then {k}D" for k, c in enumerate(np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)]))) + " else 6D end" if self.bootstrap else "1D"
             own = rows.withColumn("w_", F.expr(weight)).where("w_ > 0")
-            self.trees.append(DecisionTree(self.features, self.label, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.criterion, self.task, self.max_bins, classes).fit(own, "w_"))
+            self.trees.append(DecisionTree(self.features, self.label, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.criterion, self.task, self.max_bins, classes).fit(own, "w_", cuts))
         rows.unpersist()
         return self
 
@@ -188,7 +231,7 @@ class AdaBoost:
     label: str = "label"
     n_estimators: int = 50
     learning_rate: float = 1.0
-    max_bins: int | None = None
+    max_bins: int | None = 256
     stumps: list[tuple[int, float, int, float]] = field(default_factory=list)  # feature, threshold, polarity, alpha
 
     def _vote(self, s) -> str:
@@ -199,8 +242,8 @@ class AdaBoost:
         rows = complete(df, [*self.features, self.label]).select(*self.features, self.label)
         if metrics.first(rows.agg(F.count_if(~F.col(self.label).isin(-1, 1)))):
             raise ValueError("labels must be -1 or 1")
-        rows, self.stumps = rows.withColumn("w_", F.lit(1.0)), []
         cuts = cut_points(rows, self.features, self.max_bins) if self.max_bins else None
+        rows, self.stumps = binned(rows, self.features, cuts).withColumn("w_", F.lit(1.0)), []
         for k in range(self.n_estimators):
             total = metrics.first(rows.agg(F.sum("w_")))
             w = f"w_ / {num(total)}"
@@ -265,7 +308,8 @@ class Boosting:
     subsample: float = 1.0
     bagging_freq: int = 1
     colsample: float = 1.0
-    max_bins: int | None = None
+    max_bins: int | None = 256
+    num_leaves: int | None = None  # histogram style: the leaf of the greatest gain is split next, up to so many leaves
     seed: int = 0
     base: float = 0.0
     trees: list[Tree] = field(default_factory=list)
@@ -315,7 +359,7 @@ class Boosting:
             soft = lambda s: f"pow(greatest(abs({s}_g) - {num(self.reg_alpha)}, 0D), 2) / ({s}_h + {num(self.reg_lambda)} + 1e-10D)"
             gain = f"0.5D * ({soft('l')} + {soft('r')} - {soft('t')}) - {num(self.gamma)}"
         valid = f"l_n >= {self.min_samples_leaf} and r_n >= {self.min_samples_leaf} and l_h >= {num(self.min_child_weight)} and r_h >= {num(self.min_child_weight)}"
-        return grow(rows, self.features, stats, gain, valid, self._leaf, self.max_depth, 1e-12, lambda s: s["n"] >= self.min_samples_split, cuts, columns)
+        return grow(rows, self.features, stats, gain, valid, self._leaf, self.max_depth, 1e-12, lambda s: s["n"] >= self.min_samples_split, cuts, columns, self.num_leaves)
 
     def _oblivious(self, rows: DataFrame, stats: dict[str, str], cuts) -> Tree:
         """Sums by leaf, feature and bin come to the driver: at most 2^depth * features * bins numbers."""
@@ -323,7 +367,7 @@ class Boosting:
         leaves = [0]
         for _ in range(self.max_depth):
             at = compile_tree(tree, self.features, str)
-            bins = ", ".join(f"struct({f} as f, size(filter(array({', '.join(map(num, cuts[f])) or 'double(null)'}), c -> c < {x})) as b)" for f, x in enumerate(self.features))
+            bins = ", ".join(f"struct({f} as f, b_{f} as b)" for f in range(len(self.features)))
             sums = rows.select(F.expr(at).alias("leaf"), *[F.expr(e).alias(k) for k, e in stats.items()], F.explode(F.expr(f"array({bins})")).alias("c")).groupBy("leaf", "c.f", "c.b").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect()
             best = (1e-12, None)
             for f in range(len(self.features)):
@@ -354,21 +398,23 @@ class Boosting:
         clipped = min(max(mean, 1e-15), 1 - 1e-15)
         self.base = float(np.log(clipped / (1 - clipped)) if self.objective == "logistic" else mean)
         cuts = cut_points(rows, self.features, self.max_bins) if self.max_bins else None
-        rows = rows.withColumn("m_", F.lit(self.base))
+        rows = binned(rows, self.features, cuts).withColumn("m_", F.lit(self.base)).persist()
         held = evaluation.withColumn("m_", F.lit(self.base)) if evaluation is not None else None
         self.trees, self.history, best = [], [], (float("inf"), 0)
         for t in range(self.n_estimators):
             own = rows
             if self.subsample < 1 and t % self.bagging_freq == 0:
-                own = rows.where(F.expr(f"pmod(xxhash64({self.seed}, {t}, {self.key}), 1000000) < {int(self.subsample * 1e6)}"))
+                own = rows.where(F.expr(f"{draw(self.key, f'{self.seed}:{t}')} < {self.subsample}D"))
             rng = np.random.default_rng(self.seed + t)
             columns = None if self.colsample >= 1 else sorted(rng.choice(len(self.features), max(1, int(self.colsample * len(self.features))), replace=False).tolist())
             tree = self._tree(own, cuts, columns)
             self.trees.append(tree)
             step = F.expr(f"m_ + {num(self.learning_rate)} * ({compile_tree(tree, self.features)})")
-            rows = rows.withColumn("m_", step)
-            if t % 5 == 4:
-                rows = written(rows)
+            last, rows = rows, rows.withColumn("m_", step)
+            rows = written(rows) if t % 5 == 4 else rows.persist()
+            if t + 1 < self.n_estimators:
+                rows.count()
+            last.unpersist()
             if held is not None:
                 held = held.withColumn("m_", step)
                 held = written(held) if t % 5 == 4 else held
@@ -378,6 +424,7 @@ class Boosting:
                 elif early_stopping_rounds and t - best[1] >= early_stopping_rounds:
                     self.trees = self.trees[: best[1] + 1]
                     break
+        rows.unpersist()
         return self
 
     def margin(self, n: int | None = None) -> str:
@@ -452,9 +499,9 @@ class LambdaRank:
         rows = complete(df, [*self.features, self.relevance]).select(self.query, self.key, self.relevance, *self.features)
         self.base = float(metrics.first(rows.agg(F.avg(self.relevance))))
         cuts, self.trees = cut_points(rows, self.features, self.max_bins) if self.max_bins else None, []
-        rows = written(rows.withColumn("m_", F.lit(self.base)))
+        rows = written(binned(rows, self.features, cuts).withColumn("m_", F.lit(self.base)))
         for t in range(self.n_estimators):
-            own = written(rows.join(self.lambdas(rows), F.col(self.key) == F.col("k_"), "left").withColumn("g_", F.coalesce("g_", F.lit(0.0))).where(F.expr(f"pmod(xxhash64({self.seed}, {t}, {self.key}), 1000000) < {int(self.subsample * 1e6)}")))
+            own = rows.join(self.lambdas(rows), F.col(self.key) == F.col("k_"), "left").withColumn("g_", F.coalesce("g_", F.lit(0.0))).where(F.expr(f"{draw(self.key, f'{self.seed}:{t}')} < {self.subsample}D"))
             tree = grow(own, self.features, {"n": "1D", "g": "g_"}, "(pow(l_g, 2) / l_n + pow(r_g, 2) / r_n - pow(t_g, 2) / t_n) / t_n", "l_n >= 2 and r_n >= 2", lambda s: -s["g"] / s["n"], self.max_depth, -1, lambda s: s["n"] >= self.min_samples_split, cuts)
             self.trees.append(tree)
             rows = written(rows.withColumn("m_", F.expr(f"m_ + {num(self.learning_rate)} * ({compile_tree(tree, self.features)})")))

@@ -16,6 +16,8 @@ from ..operators.linear import AdditiveForecast, LeastSquares, LinearSvm, Logist
 from ..operators.sequences import HiddenMarkov, TopicModel
 from ..operators.trees import AdaBoost, Boosting, DecisionTree, LambdaRank, RandomForest, splits
 from ..sources.tables import baskets, read, sequences
+from .grown import adaboost_sql, boosted_sql, forest_sql, oblivious_sql
+from .lines import LINES, lines
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -36,14 +38,6 @@ def one(spark: SparkSession, **values) -> DataFrame:
     return spark.createDataFrame([tuple(values.values())], list(values))
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Line items with a key, scaled features and labels."""
-    return read(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as id", "l_quantity / 50 as q", "l_discount * 10 as d", "l_tax * 10 as t", "l_extendedprice / 10000 as price", "case when l_returnflag = 'R' then 1 else 0 end as label", "l_returnflag as flag", "l_linestatus as status")
-
-
-LINES = "l as (select l_orderkey * 10 + l_linenumber as id, l_quantity / 50 as q, l_discount * 10 as d, l_tax * 10 as t, l_extendedprice / 10000 as price, case when l_returnflag = 'R' then 1 else 0 end as label, l_returnflag as flag, l_linestatus as status from lineitem)"
-
-
 @query(f"with {LINES} select round(regr_intercept(price, q), 5) as intercept, round(regr_slope(price, q), 5) as slope, round(regr_r2(price, q), 5) as r2 from l")
 def ols_simple(spark, d):
     m = LeastSquares(["q"], "price").fit(lines(spark, d))
@@ -122,33 +116,35 @@ def gradient_boosting_stump(spark, d):
     return m.predict(rows).groupBy(side).agg(F.count("*").alias("n"), F.round(F.avg("prediction"), 5).alias("prediction"))
 
 
-def _boosted(name: str, model) -> None:
+def _boosted(name: str, model, sql: str) -> None:
     def run(spark, d):
         rows = lines(spark, d)
         m = model().fit(rows)
         return m.predict(rows).groupBy("flag").agg(F.round(F.avg("prediction"), 4).alias("prediction"), F.count("*").alias("n"))
 
     run.__name__ = name
-    query()(run)
+    query(sql)(run)
 
 
-_boosted("gradient_boosting", lambda: Boosting(["q", "d", "t"], "price", n_estimators=3))
-_boosted("xgboost", lambda: Boosting.xgboost(["q", "d", "t"], n_estimators=3, max_depth=3, objective="logistic"))
-_boosted("lightgbm", lambda: Boosting.lightgbm(["q", "d", "t"], n_estimators=3, max_depth=3, max_bins=32, label="price"))
-_boosted("catboost", lambda: Boosting.catboost(["q", "d", "t"], n_estimators=3, max_depth=3, max_bins=16, label="price"))
+_NEWTON = "0.5 * (l_g * l_g / (l_h + {r} + 1e-10) + r_g * r_g / (r_h + {r} + 1e-10) - t_g * t_g / (t_h + {r} + 1e-10))"
+_boosted("gradient_boosting", lambda: Boosting(["q", "d", "t"], "price", n_estimators=3), boosted_sql("price", 256, 3, 3, 0.1, "mean", "m - price", "1.0", "(l_g * l_g / l_n + r_g * r_g / r_n - t_g * t_g / t_n) / t_n", "l_n >= 1 and r_n >= 1", "-sum(g) / sum(n)"))
+_boosted("xgboost", lambda: Boosting.xgboost(["q", "d", "t"], n_estimators=3, max_depth=3, objective="logistic"), boosted_sql("label", 256, 3, 3, 0.3, "ln(mean / (1 - mean))", "1 / (1 + exp(-m)) - label", "1 / (1 + exp(-m)) * (1 - 1 / (1 + exp(-m)))", _NEWTON.format(r="1"), "l_n >= 1 and r_n >= 1 and l_h >= 1 and r_h >= 1", "-sum(g) / (sum(h) + 1 + 1e-10)", "1 / (1 + exp(-m))"))
+_boosted("lightgbm", lambda: Boosting.lightgbm(["q", "d", "t"], n_estimators=3, max_depth=3, max_bins=32, label="price"), boosted_sql("price", 32, 3, 3, 0.1, "mean", "m - price", "1.0", _NEWTON.format(r="0"), "l_n >= 20 and r_n >= 20", "-sum(g) / (sum(h) + 1e-10)"))
+_boosted("catboost", lambda: Boosting.catboost(["q", "d", "t"], n_estimators=3, max_depth=3, max_bins=16, label="price"), oblivious_sql("price", 16, 3, 3, 0.03, 3))
 
 
-@query()
+@query(forest_sql(3, 3, 16))
 def random_forest(spark, d):
     rows = lines(spark, d)
     m = RandomForest(["q", "d", "t"], "flag", n_estimators=3, max_depth=3, max_bins=16).fit(rows)
-    return metrics.confusion(m.predict(rows), "flag", "prediction")
+    return metrics.confusion(m.predict(rows), "flag", "prediction").toDF("actual", "predicted", "n")
 
 
-@query()
+@query(adaboost_sql(3, 16))
 def adaboost(spark, d):
     rows = lines(spark, d).withColumn("label", F.expr("case when label = 1 then 1 else -1 end"))
-    return AdaBoost(["q", "d", "t"], n_estimators=3, max_bins=16).fit(rows).learners(spark)
+    found = AdaBoost(["q", "d", "t"], n_estimators=3, max_bins=16).fit(rows).learners(spark)
+    return found.select("learner", "feature", F.round("threshold", 6).alias("threshold"), "polarity", F.round("alpha", 6).alias("alpha"))
 
 
 @query(f"with {LINES} select flag, round(count(*) / (select count(*) from l), 6) as prior, round(avg(q), 6) as mean_q, round(var_pop(q) + 1e-9, 6) as var_q, round(avg(price), 6) as mean_price, round(var_pop(price) + 1e-9, 6) as var_price from l group by flag")

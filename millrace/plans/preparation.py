@@ -9,7 +9,8 @@ from ..operators import ranking
 from ..operators.clustering import NearestNeighbors
 from ..operators.linear import AdditiveForecast, LeastSquares
 from ..sources.tables import read
-from .estimators import LINES, lines, one
+from .estimators import one
+from .lines import LINES, lines
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -8,7 +8,8 @@ from ..operators.linear import AdditiveForecast
 from ..operators.sequences import HiddenMarkov
 from ..operators.trees import AdaBoost, Boosting, LambdaRank, splits
 from ..sources.tables import read, sequences
-from .estimators import LINES, _graded, lines, one
+from .estimators import _graded, one
+from .lines import LINES, lines
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
