@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .expr import array_distance
+from .ordered import rotated, running
+from .prepare import draw
+
 
 def first(df: DataFrame):
     return df.first()[0]
@@ -84,13 +88,38 @@ def silhouette(df: DataFrame, features: list[str], cluster: str) -> float | None
     return first(each.agg(F.expr("avg((b - a) / nullif(greatest(a, b), 0))")))
 
 
+def pairwise_silhouette(df: DataFrame, features: list[str], cluster: str, key: str) -> DataFrame:
+    """(key, cluster, silhouette) from the mean distances to all other rows of each cluster; 0 for a row alone in its cluster.
+
+    Works on all pairs by nature; the pairs stream into sums by row and cluster.  silhouette() is linear.
+    """
+    rows = df.select(F.col(key).alias("i"), F.col(cluster).alias("c"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    other = rows.select(F.col("i").alias("j"), F.col("c").alias("k"), F.col("x").alias("y"))
+    pairs = rows.join(other, F.col("i") != F.col("j")).select("i", "c", "k", F.expr(array_distance("x", "y")).alias("d"))
+    mean = pairs.groupBy("i", "c", "k").agg(F.avg("d").alias("d"))
+    each = mean.groupBy("i", "c").agg(F.min(F.when(F.col("c") == F.col("k"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("k"), F.col("d"))).alias("b"))
+    return each.select(F.col("i").alias(key), F.col("c").alias(cluster), F.expr("coalesce((b - a) / nullif(greatest(a, b), 0), 0D)").alias("silhouette"))
+
+
 def two_sample_ks(df: DataFrame, value: str, sample: str) -> float:
     """Greatest distance of the two samples' distribution functions; sample holds 0 and 1."""
     counts = df.groupBy(value).agg(F.sum(F.when(F.col(sample) == 0, 1).otherwise(0)).alias("x"), F.sum(F.when(F.col(sample) == 1, 1).otherwise(0)).alias("y"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("x"), F.sum("y")).first()
-    steps = counts.select((F.sum("x").over(w) / total[0] - F.sum("y").over(w) / total[1]).alias("d"))
-    return first(steps.agg(F.max(F.abs("d"))))
+    steps = running(counts, [value], {"at_x": "x", "at_y": "y"})
+    return first(steps.agg(F.max(F.abs(F.col("at_x") / total[0] - F.col("at_y") / total[1]))))
+
+
+def permutation_importance(df: DataFrame, features: list[str], loss, key: str, seed: int = 0) -> dict[str, float]:
+    """How much loss(rows) rises when a feature's values are dealt anew among the rows, in the order of a hash of the key."""
+    base = loss(df)
+    shuffled = df.withColumn("draw_", F.expr(draw(key, seed)))
+    order = ["draw_", key, *(c for c in df.columns if c != key)]  # rows that tie are equal
+    return {f: loss(rotated(shuffled, order, f)) - base for f in features}
+
+
+def grid_search(options: list[dict], evaluate) -> list[tuple[dict, float]]:
+    """(option, evaluate(**option)) from the greatest value down; each evaluation is a distributed job of its own."""
+    return sorted(((o, evaluate(**o)) for o in options), key=lambda x: -x[1])
 
 
 def ordered_target_statistic(df: DataFrame, category: str, target: str, order: str, prior: float = 0.5, count: float = 1.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +38,21 @@ class KMeans:
     tol: float = 1e-4
     seed: int = 0
     initial: list[list[float]] | None = None
+    init: str = "k-means++"  # or random: the rows least by a hash
     centers: np.ndarray | None = None
     n_iter: int = 0
 
     def fit(self, df: DataFrame) -> KMeans:
         """Lloyd's loop: a scan and a partial aggregate an iteration; an empty cluster keeps its center."""
         rows = complete(df, self.features).select(*self.features).persist()
-        c = np.array(self.initial, float) if self.initial is not None else spread(rows, self.features, self.n_clusters, self.seed)
+        if self.init not in ("k-means++", "random"):
+            raise ValueError(f"unknown init {self.init!r}")
+        if self.initial is not None:
+            c = np.array(self.initial, float)
+        elif self.init == "random":
+            c = np.array(rows.distinct().orderBy(F.xxhash64(F.lit(self.seed), *self.features), *self.features).limit(self.n_clusters).collect(), float)
+        else:
+            c = spread(rows, self.features, self.n_clusters, self.seed)
         for self.n_iter in range(1, self.max_iter + 1):
             new = c.copy()
             for r in rows.groupBy(F.expr(self._nearest(c)).alias("k")).agg(*[F.avg(f) for f in self.features]).collect():
@@ -236,14 +245,13 @@ class Agglomerative:
     def _cut(self, tree: list[tuple[float, int, int]], points: DataFrame) -> None:
         """Merges by distance, new clusters numbered on from the last; labels after n - n_clusters of them."""
         rows = {r["i"]: r["x"] for r in points.collect()}
-        member, number, self.merges = {i: [i] for i in rows}, {}, []
+        member, number, self.merges, self._members = {i: [i] for i in rows}, {}, [], []
         where = {i: i for i in rows}
         order = {i: k for k, i in enumerate(sorted(rows))}
         for step, (d, i, j) in enumerate(tree):
             a, b = where[i], where[j]
-            if len(member) > self.n_clusters:
-                pass
             self.merges.append((number.get(a, order[a]), number.get(b, order[b]), d, len(member[a]) + len(member[b])))
+            self._members.append((list(member[a]), list(member[b])))
             member[a] += member.pop(b)
             for x in member[a]:
                 where[x] = a
@@ -260,6 +268,18 @@ class Agglomerative:
     def _label(self, member: dict) -> None:
         self.labels = {x: k for k, own in enumerate(sorted(member.values(), key=min)) for x in own}
 
+    def cophenetic_correlation(self, df: DataFrame, key: str = "id") -> float:
+        """Correlation of the distances of all pairs with the heights at which they first share a cluster."""
+        height = {step: d for step, (_, _, d, _) in enumerate(self.merges)}
+        rows = [(step, i, side) for step, sides in enumerate(self._members) for side, own in enumerate(sides) for i in own]
+        spark = df.sparkSession
+        sides = spark.createDataFrame(rows, "step long, i long, side int")
+        heights = spark.createDataFrame(list(height.items()), "step long, h double")
+        meet = sides.where("side = 0").alias("l").join(sides.where("side = 1").alias("r"), "step").join(heights, "step").select(F.col("l.i").alias("i"), F.col("r.i").alias("j"), "h")
+        points = complete(df, self.features).select(F.col(key).cast("long").alias("i"), F.array(*[F.col(f).cast("double") for f in self.features]).alias("x"))
+        pairs = meet.join(points, "i").join(points.select(F.col("i").alias("j"), F.col("x").alias("y")), "j")
+        return metrics.first(pairs.agg(F.corr(F.expr(array_distance("x", "y", self.distance_metric)), F.col("h"))))
+
     def get_linkage_matrix(self) -> np.ndarray:
         return np.array(self.merges, float)
 
@@ -326,10 +346,39 @@ class NaiveBayes:
         return metrics.accuracy(self.predict(df), self.label)
 
 
+def _nearest(k: int, metric: str):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest training rows of the block for each of its queries."""
+        own, other = rows[rows["query"]], rows[~rows["query"]].sort_values("key")
+        found = []
+        if len(own) and len(other):
+            y = np.stack(other["x"].to_numpy())
+            for lo in range(0, len(own), 256):
+                x = np.stack(own["x"].to_numpy()[lo : lo + 256])
+                d = np.zeros((len(x), len(y)))
+                if metric == "cosine":
+                    d = 1 - x @ y.T / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None] + 1e-10)
+                else:
+                    for f in range(x.shape[1]):
+                        gap = x[:, f, None] - y[None, :, f]
+                        d += gap * gap if metric == "euclidean" else np.abs(gap)
+                    d = np.sqrt(d) if metric == "euclidean" else d
+                limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                row, col = np.nonzero(d <= limit[:, None])
+                order = np.lexsort((col, d[row, col], row))
+                row, col = row[order], col[order]
+                first = np.searchsorted(row, np.arange(len(x)))
+                keep = np.arange(len(row)) - first[row] < k
+                row, col = row[keep], col[keep]
+                found.append(pd.DataFrame({"key": own["key"].to_numpy()[lo + row], "tid": other["key"].to_numpy()[col], "tlabel": other["tlabel"].to_numpy()[col], "distance": d[row, col]}))
+        return pd.concat(found) if found else pd.DataFrame({"key": own["key"][:0], "tid": other["key"][:0], "tlabel": other["tlabel"][:0], "distance": np.zeros(0)})
+
+    return run
+
+
 @dataclass
 class NearestNeighbors:
-    """Exact k nearest neighbours of queries: the joined pairs stream through a grouped top-k; the smaller side
-    is broadcast by Spark if it measures small."""
+    """Exact k nearest neighbours of queries, block by block."""
 
     features: list[str]
     label: str = "label"
@@ -338,6 +387,7 @@ class NearestNeighbors:
     distance_metric: str = "euclidean"
     task: str = "classification"
     weights: str = "uniform"
+    block: int = 4096
     train: DataFrame | None = None
 
     def fit(self, df: DataFrame) -> NearestNeighbors:
@@ -346,11 +396,21 @@ class NearestNeighbors:
         return self
 
     def neighbors(self, df: DataFrame) -> DataFrame:
-        """(key, tid, tlabel, distance) of the k nearest, ties by training key."""
-        q = df.select(self.key, F.array(*[F.col(f).cast("double") for f in self.features]).alias("x_"))
-        pairs = q.crossJoin(self.train).select(self.key, "tid", "tlabel", F.expr(array_distance("x_", "y_", self.distance_metric)).alias("distance"))
-        w = Window.partitionBy(self.key).orderBy("distance", "tid")
-        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
+        """(key, tid, tlabel, distance, rank) of the k nearest, ties by training key.
+
+        Blocks of queries meet blocks of training rows, each pair of them a task that keeps k rows a query; only those
+        are ranked.  A row goes to as many tasks as the other side has blocks.
+        """
+        label = self.train.schema["tlabel"].dataType.simpleString()
+        q = df.select(F.col(self.key).alias("key"), F.array(*[F.col(f).cast("double") for f in self.features]).alias("x"), F.lit(None).cast(label).alias("tlabel"))
+        t = self.train.select(F.col("tid").alias("key"), F.col("y_").alias("x"), "tlabel")
+        n_q, n_t = max(1, -(-q.count() // self.block)), max(1, -(-t.count() // self.block))
+        deal = lambda rows, own, n, other, m, query: rows.withColumn(own, F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("query", F.lit(query))
+        both = deal(q, "a", n_q, "b", n_t, True).unionByName(deal(t, "b", n_t, "a", n_q, False))
+        kinds = q.schema["key"].dataType.simpleString(), t.schema["key"].dataType.simpleString()
+        found = both.groupBy("a", "b").applyInPandas(_nearest(self.k, self.distance_metric), f"key {kinds[0]}, tid {kinds[1]}, tlabel {label}, distance double")
+        w = Window.partitionBy("key").orderBy("distance", "tid")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k).withColumnRenamed("key", self.key)
 
     def _votes(self, df: DataFrame) -> DataFrame:
         weight = F.lit(1.0) if self.weights == "uniform" else 1 / (F.col("distance") + 1e-10)

@@ -212,6 +212,7 @@ class AdditiveForecast:
     yearly_fourier_order: int = 10
     weekly_fourier_order: int = 3
     changepoint_range: float = 0.8
+    cap: float | None = None  # logistic growth towards cap: the sum of the terms is fitted to ln(y / (cap - y))
     start: dt.date | None = None
     last: dt.date | None = None
     changepoints: np.ndarray | None = None
@@ -230,6 +231,8 @@ class AdditiveForecast:
         """df: ds (date or 'yyyy-MM-dd'), y.  The start is the first date; change points lie evenly over the first dates."""
         self.start, self.last = df.agg(F.min(F.to_date("ds")), F.max(F.to_date("ds"))).first()
         rows = self._time(df)
+        if self.cap is not None:
+            rows = rows.where(F.col("y").between(0, self.cap) & (F.col("y") > 0) & (F.col("y") < self.cap)).withColumn("y", F.log(F.col("y") / (F.lit(float(self.cap)) - F.col("y"))))
         top = metrics.first(rows.agg(F.max("t_"))) * self.changepoint_range
         self.changepoints = np.linspace(0, top, self.n_changepoints + 2)[1:-1] if self.n_changepoints else np.zeros(0)
         terms = self._terms()
@@ -246,7 +249,8 @@ class AdditiveForecast:
         for (name, e), w in zip(terms, self.weights[1:]):
             parts[name].append(f"{num(w)} * {e}")
         out = self._time(df).withColumns({k: F.expr(" + ".join(v)) for k, v in parts.items()}).drop("t_")
-        return out.withColumn("yhat", F.expr("trend + yearly + weekly"))
+        total = F.expr("trend + yearly + weekly")
+        return out.withColumn("yhat", total if self.cap is None else float(self.cap) / (1 + F.exp(-total)))
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.get_components(df).drop("trend", "yearly", "weekly")

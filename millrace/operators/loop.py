@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the folder of spark.checkpoint.dir (a temporary one where it is unset) and read again."""
+    """df written as Parquet in the folder of spark.checkpoint.dir and read again.  Where it is unset, a temporary folder in
+    local mode (tests), on a cluster an error, as executors don't see each other's folders."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/loop/{uuid.uuid4().hex}"

@@ -16,7 +16,7 @@ from ..operators.linear import AdditiveForecast, LeastSquares, LinearSvm, Logist
 from ..operators.sequences import HiddenMarkov, TopicModel
 from ..operators.trees import AdaBoost, Boosting, DecisionTree, LambdaRank, RandomForest, splits
 from ..sources.tables import baskets, read, sequences
-from .grown import adaboost_sql, boosted_sql, forest_sql, oblivious_sql
+from .grown import adaboost_sql, boosted_sql, factorization_sql, forest_sql, oblivious_sql
 from .lines import LINES, lines
 
 QUERIES: dict = {}
@@ -253,7 +253,7 @@ def isolation_forest(spark, d):
     return IsolationForest(["value", "hour"], n_estimators=20).fit(rows).predict(rows).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(factorization_sql(3, 3, 0.01, 1.0, top=3))
 def matrix_factorization(spark, d):
     r = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item")).agg(F.expr("least(5D, greatest(1D, avg(l_quantity) / 10))").alias("rating"))
     m = MatrixFactorization(3, n_epochs=3).fit(r)
@@ -277,12 +277,12 @@ def agglomerative(spark, d):
 
 @query()
 def tsne(spark, d):
-    return Tsne(["balance", "nation"], perplexity=10, n_iter=3).fit_transform(_suppliers(spark, d)).select("id")
+    return Tsne(["balance", "nation"], perplexity=10, n_iter=3).fit_transform(_suppliers(spark, d)).select("id", *[F.round(c, 7).alias(c) for c in ("y_0", "y_1")])
 
 
 @query()
 def umap(spark, d):
-    return Umap(["balance", "nation"], n_neighbors=8, n_epochs=3).fit_transform(_suppliers(spark, d)).select("id")
+    return Umap(["balance", "nation"], n_neighbors=8, n_epochs=3).fit_transform(_suppliers(spark, d)).select("id", *[F.round(c, 5).alias(c) for c in ("y_0", "y_1")])
 
 
 @query()

@@ -107,3 +107,23 @@ def adaboost_sql(rounds: int, bins: int) -> str:
             f"w{k + 1} as materialized (select id, b0, b1, b2, y, nw / sum(nw) over () as w from u{k})",
         ]
     return ", ".join(out) + " " + " union all ".join(f"select {k} as learner, case f when 0 then 'q' when 1 then 'd' else 't' end as feature, round(v, 6) as threshold, pol as polarity, round(alpha, 6) as alpha from s{k}" for k in range(rounds))
+
+
+_RATED = "r as materialized (select o_custkey as u, l_suppkey as i, least(5.0, greatest(1.0, avg(l_quantity) / 10))::double as r from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)"
+
+
+def factorization_sql(epochs: int, factors: int = 2, rate: float = 0.05, decay: float = 0.5, reg: float = 0.02, top: int | None = None) -> str:
+    """The loss of each epoch, or the first items of each user that it has not rated."""
+    normal = lambda c, side, j: f"sqrt(-2 * ln(1 - {draw_sql(c, f'0:{j}:{side}')})) * cos(2 * pi() * {draw_sql(c, f'0:{j}:{side}2')}) * 0.1"
+    out = [f"with {_RATED}", "mu as (select avg(r) as mu from r)"]
+    for side, c in (("user", "u"), ("item", "i")):
+        out.append(f"{c}0 as materialized (select {c}, 0.0::double as b, {', '.join(f'{normal(c, side, j)} as f{j}' for j in range(factors))} from (select distinct {c} from r))")
+    for k in range(epochs):
+        out.append(f"e{k} as materialized (select u, i, r - least(5, greatest(1, mu + x.b + y.b + {' + '.join(f'x.f{j} * y.f{j}' for j in range(factors))})) as e, x.b as bu, y.b as bi, {', '.join(f'x.f{j} as u{j}, y.f{j} as v{j}' for j in range(factors))} from r join u{k} x using (u) join i{k} y using (i), mu)")
+        step = rate * decay**k
+        for c, b, f, g in (("u", "bu", "u", "v"), ("i", "bi", "v", "u")):
+            out.append(f"{c}{k + 1} as materialized (select {c}, any_value({b}) + {step} * (sum(e) - {reg} * count(*) * any_value({b})) as b, {', '.join(f'any_value({f}{j}) + {step} * (sum(e * {g}{j}) - {reg} * count(*) * any_value({f}{j})) as f{j}' for j in range(factors))} from e{k} group by {c})")
+    if top:
+        score = f"least(5, greatest(1, mu + x.b + y.b + {' + '.join(f'x.f{j} * y.f{j}' for j in range(factors))}))"
+        return ", ".join(out) + f', p as (select u, i, {score} as p from u{epochs} x, i{epochs} y, mu where not exists (select 1 from r where r.u = x.u and r.i = y.i)) select u as "user", i as item, cast(row_number() over (partition by u order by p desc, i) as int) as rank from p qualify rank <= {top}'
+    return ", ".join(out) + " " + " union all ".join(f"select {k} as epoch, round(avg(e * e), 6) as loss from e{k}" for k in range(epochs))
