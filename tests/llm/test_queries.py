@@ -253,3 +253,54 @@ def test_pipeline_stage_by_stage(spark):
         docs = after
     assert seen == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "packing"]
     assert docs.select(F.countDistinct("doc_id")).first()[0] == len(before)
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    base = "the old mill by the river grinds corn for all the villages around it and the miller sings a long song about water. "
+    texts = [None, "", " ", base, base, base + "And then it rains.", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" " + base * 3, "wort " * 20_000, "ü" * 300]
+    docs = [(i, t, "en", None, None, 1, "x") for i, t in enumerate(texts)] + [(3, base, "en", None, None, 2, "y"), (None, base, None, None, None, 3, "z"), (None, None, None, None, None, 4, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rank int, findings string"
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20))), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, None), (4, None, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    for name, rows, n in (("odd", docs, 9), ("none", [], 0)):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        whole = corpus_pipeline.run(spark, folder).collect()
+        assert len(whole) >= 0 and (n or not whole)
+        current = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage in (f for _, f in corpus_pipeline.STAGES[1:4]):  # what the classifier keeps of nine rows is no matter here
+            current = stage(spark, current, folder)
+            assert tuple(current.columns) == corpus_pipeline.COLUMNS
+        kept = {}
+        for r in current.collect():
+            kept.setdefault(r["doc_id"], []).append(r["text"])
+        if not rows:
+            assert not kept
+            continue
+        assert {i: len(v) for i, v in kept.items()} == {0: 1, 1: 1, 2: 1, 3: 1, 6: 1, 7: 1, 8: 1, None: 2}
+        assert kept[0] == [None] and kept[1] == [""] and "[secret]" in kept[6][0] and kept[3] == [base] and kept[7] == ["wort " * 20_000]
+
+
+def test_shards_one_by_one(spark, docs):
+    """The ring and its overflow, key by key, against the query."""
+    n, shards, vnodes = len(docs), 40, 128
+    ends = sorted((int(hashlib.md5(f"{s}:{v}".encode()).hexdigest()[:8], 16), s) for s in range(shards) for v in range(vnodes))
+    free = [n // shards + (s < n % shards) for s in range(shards)]
+    waiting = {}
+    for place, i in sorted((int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16), i) for i in docs):
+        arc = next((k for k, (p, _) in enumerate(ends) if p >= place), 0)
+        waiting.setdefault(arc, []).append(i)
+    want, taken = {}, [0] * shards
+    for step in range(len(ends)):
+        for arc in sorted(waiting):
+            s = ends[(arc + step) % len(ends)][1]
+            while waiting[arc] and free[s]:
+                want[waiting[arc].pop(0)] = (s, taken[s])
+                taken[s] += 1
+                free[s] -= 1
+        waiting = {a: w for a, w in waiting.items() if w}
+        if not waiting:
+            break
+    assert {i: (r["shard"], r["slot"]) for i, r in rows_of(spark, "op5_sharding").items()} == want
