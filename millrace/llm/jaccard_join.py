@@ -19,6 +19,10 @@ WORDS, PERCENT = 4, 85
 PARTS = 16
 #: Postings of an n-gram that are compared in one block; more are compared by pairs of blocks.
 BLOCK = 4096
+#: An n-gram that so many sets have, by a sample, goes with its sets and not to its range, whose task would hold them all.
+COMMON = 200_000
+#: Documents of that sample at least, and occurrences in it that tell such an n-gram.
+SAMPLE_DOCS, SAMPLE_SEEN = 4000, 64
 #: Postings of a task in candidate search.
 TASK_POSTINGS = 100_000
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
@@ -76,8 +80,31 @@ _SENT = "key int, doc_id long, n long, print binary, parts binary, names binary,
 _FOUND = "doc_id long, n long, print binary, parts binary, size int, tokens binary, freqs binary"
 
 
-def _send(bits: int, salts: int, words: int):
-    """Of each text: its id, set size, print of its set and counts by part; and blocks of shingles by range."""
+def common_shingles(docs: DataFrame, n_docs: int, words: int, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that about `common` sets or more have, and about how many have them, in order of the hashes.
+
+    A sample by hashes of the texts only steers the work: any set of shingles gives the same result.  As sets hold a
+    few hundred shingles, there are at most a few hundred times n_docs / common of these; `common` rises with the
+    input so that a million fit.
+    """
+    share = min(1.0, max(SAMPLE_DOCS / max(n_docs, 1), SAMPLE_SEEN / common))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text"):
+            sets = shingle_sets(*(lambda d, e, s: (d, s, e))(*string_buffer(batch.column("text"))), words)
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    seen = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, int(share * common)))
+    rows = seen.orderBy(F.desc("n"), "h").limit(1 << 20).collect()
+    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] / share for r in rows])
+    order = np.argsort(h)
+    return h[order], np.minimum(n[order], 2**31).astype(np.uint32)
+
+
+def _send(bits: int, salts: int, words: int, common):
+    """Of each text: its id, set size, print of its set, counts by part and common shingles; and blocks of the others by range."""
     kinds = {"key": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "print": pa.binary(), "parts": pa.binary(), "names": pa.binary(), "counts": pa.binary(), "hashes": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +115,13 @@ def _send(bits: int, salts: int, words: int):
             parts = np.stack([np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for s in sets]).astype(np.uint32)
             # Rows of documents only pass; their place in the table deals them, as copies have one print.
             key = -1 - ((np.arange(len(sets)) + int(parts.sum() % (1 << 30))) % salts).astype(np.int32)
+            known, weight = common.value
+            own = [np.zeros(len(x), bool) if not len(known) else known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x for x in sets]
+            held = np.concatenate([x[o] for x, o in zip(sets, own)])
+            many = np.array([o.sum() for o in own])
             none = pa.nulls(len(sets), pa.binary())
-            yield pa.record_batch([pa.array(key), batch.column("doc_id"), pa.array(n), pa.array(prints, pa.binary()), binaries(parts.reshape(-1), np.full(len(sets), PARTS)), none, none, none], names=list(kinds))
+            yield pa.record_batch([pa.array(key), batch.column("doc_id"), pa.array(n), pa.array(prints, pa.binary()), binaries(parts.reshape(-1), np.full(len(sets), PARTS)), none, binaries(weight[np.searchsorted(known, held)], many), binaries(held, many)], names=list(kinds))
+            sets, n = [x[~o] for x, o in zip(sets, own)], n - many
             full = np.flatnonzero(n)
             if len(full):
                 names = np.frombuffer(b"".join(prints[i] for i in full), np.uint8).reshape(-1, 16)
@@ -107,7 +139,7 @@ def _meet(bits: int):
         names = ["doc_id", "n", "print", "parts", "size", "tokens", "freqs"]
         if key[0].as_py() < 0:
             rows = found.select(["doc_id", "n", "print", "parts"])
-            return pa.table([*rows.columns, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary())], names=names)
+            return pa.table([*rows.columns, pa.nulls(len(rows), pa.int32()), found.column("hashes"), found.column("counts")], names=names)
         who = unpack(found.column("names"), np.uint8)[0].reshape(-1, 16)
         counts = unpack(found.column("counts"), np.uint32)[0]
         h = unpack_hashes(unpack(found.column("hashes"), np.uint8)[0], key[0].as_py(), bits)
@@ -231,7 +263,7 @@ def _verify(percent: int):
     return run
 
 
-def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, common: int = COMMON) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text), extra columns ignored.
 
     A set is the distinct `words`-word shingles of a text (white space parts words, A-Z counts as a-z);
@@ -240,7 +272,8 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     intersection >= percent * union; component_id is the least doc_id reachable over links.  Equal sets
     count once throughout (the least doc_id stands for them), so copies are never paired.
 
-    Shingles are counted exactly over all sets (exchange.py).  A set whose prefix holds only shingles that no
+    Shingles are counted exactly over all sets (exchange.py), but for those that some `common` sets or more have: these
+    stay with their sets and take their number from a sample, as the order of rare-first need only be the same for all.  A set whose prefix holds only shingles that no
     other set has can't link and drops out; the others post the shared shingles of their prefix.
     Candidates are verified once each, on the shared shingles.  A first round verifies a few pairs for
     every posting; a second all remaining pairs of sets that are not in one component by then, so no
@@ -251,12 +284,18 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
         raise ValueError("percent must be over 0 and at most 100")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bits = range_bits(own, "text", 0.17)
-    found = written(own.mapInArrow(_send(bits, 1 << bits, words), _SENT).groupBy("key").applyInArrow(_meet(bits), _FOUND))
+    n_docs = own.count()
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(own, n_docs, words, max(common, n_docs // 3000)))
+    found = written(own.mapInArrow(_send(bits, 1 << bits, words, shared), _SENT).groupBy("key").applyInArrow(_meet(bits), _FOUND))
     rows = found.where("size is null").select("doc_id", "n", "print", "parts")
-    reps = rows.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("parts").alias("parts"))
+    named = found.where("size is null and print is not null and doc_id is not null")
+    reps = named.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("parts").alias("parts"), F.min("tokens").alias("own"), F.min("freqs").alias("own_freqs"))
     pieces = found.where("size is not null").groupBy("print").agg(F.sum("size").alias("s"), F.collect_list("tokens").alias("tokens"), F.collect_list("freqs").alias("freqs"))
     # pmod is the part of percent * n below a whole hundred: n - ceil(percent * n / 100) + 1 is the prefix.
-    near = pieces.join(reps, "print").where(F.expr(f"n - s < n - ({percent} * n + 99) div 100 + 1"))
+    size = F.coalesce("s", F.lit(0)) + F.length("own") / 8
+    both = lambda lists, own: F.concat(F.coalesce(lists, F.expr("cast(array() as array<binary>)")), F.array(own))
+    near = reps.join(pieces, "print", "left").select("rep", "n", "parts", size.cast("long").alias("s"), both("tokens", "own").alias("tokens"), both("freqs", "own_freqs").alias("freqs"))
+    near = near.where(F.expr(f"n - s < n - ({percent} * n + 99) div 100 + 1"))
     posted = written(near.select("rep", "n", "parts", "tokens", "freqs").mapInArrow(_prefix(percent), "token long, rep long, n long, pos long, freq long, parts binary, tokens binary"))
     sets = posted.where("pos < 0").select("rep", "n", "tokens")
     postings = posted.where("pos >= 0").select("token", "rep", "n", "pos", "freq", "parts")

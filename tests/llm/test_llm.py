@@ -191,6 +191,11 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
                 if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                     label[j] = min(label[i], label[j])
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    for common in (6, 3):  # shingles of so many sets stay with them
+        known, about = jaccard_join.common_shingles(spark.createDataFrame(rows, "doc_id long, text string"), len(rows), 4, common)
+        assert len(known) and about.min() >= common
+        again = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), common=common).collect()
+        assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in again} == {i: (label[i], len(sets[i])) for i in range(len(rows))}
     got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (label[i], len(sets[i])) for i in range(len(rows))}
 
