@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 from ..functions.expr import argmax, argmin, array_distance, dot, lse, num, squared_distance
 from .linear import complete
+from .loop import dealt
 
 
 def spread(df: DataFrame, features: list[str], k: int, seed: int = 0, key: str | None = None) -> np.ndarray:
@@ -44,7 +45,7 @@ class KMeans:
 
     def fit(self, df: DataFrame) -> KMeans:
         """Lloyd's loop: a scan and a partial aggregate an iteration; an empty cluster keeps its center."""
-        rows = complete(df, self.features).select(*self.features).persist()
+        rows = dealt(complete(df, self.features).select(*self.features)).persist()
         if self.init not in ("k-means++", "random"):
             raise ValueError(f"unknown init {self.init!r}")
         if self.initial is not None:
@@ -119,7 +120,7 @@ class GaussianMixture:
         if self.covariance_type not in ("full", "diag", "spherical", "tied"):
             raise ValueError(f"unknown covariance type {self.covariance_type!r}")
         f, d = self.features, len(self.features)
-        rows = complete(df, f).select(*f).persist()
+        rows = dealt(complete(df, f).select(*f)).persist()
         self.means = np.array(self.initial_means, float) if self.initial_means is not None else spread(rows, f, self.n_components, self.seed)
         k = len(self.means)
         self.weights, self.covariances, self.history = np.full(k, 1 / k), np.stack([np.eye(d)] * k), []

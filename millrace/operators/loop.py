@@ -21,3 +21,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/loop/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows that many jobs will read, dealt evenly where their scan has fewer tasks than the cluster has cores; larger tables
+    stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -12,7 +12,7 @@ from ..functions import metrics
 from ..functions.expr import num, sigmoid
 from ..functions.prepare import draw
 from .linear import complete
-from .loop import written
+from .loop import dealt, written
 
 Tree = dict[int, dict]  # node -> {feature, threshold, gain, stats} or {value, stats}; children 2i + 1 and 2i + 2
 
@@ -46,11 +46,34 @@ def cut_points(df: DataFrame, features: list[str], bins: int) -> list[list[float
     return [list(map(float, x)) for x in found]
 
 
+#: Thresholds that one CASE text searches; with more, it finds the run of thresholds, and an array function the place in it.
+CASE_CUTS = 32
+
+
+def _search(value: str, cuts: list[float], at: int = 0) -> str:
+    """How many of the sorted cuts are below value, as SQL text: a binary search by nested CASE."""
+    if not cuts:
+        return str(at)
+    mid = len(cuts) // 2
+    return f"case when {value} <= {num(cuts[mid])} then {_search(value, cuts[:mid], at)} else {_search(value, cuts[mid + 1 :], at + mid + 1)} end"
+
+
+def _bin(value: str, cuts: list[float]) -> str:
+    if len(cuts) <= CASE_CUTS:
+        return _search(value, cuts)
+    step = -(-len(cuts) // CASE_CUTS)
+    runs = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    run = _search(value, [r[-1] for r in runs[:-1]])
+    lists = ", ".join(f"array({', '.join(map(num, r))})" for r in runs)
+    return f"{step} * ({run}) + size(filter(element_at(array({lists}), 1 + ({run})), c -> c < {value}))"
+
+
 def binned(df: DataFrame, features: list[str], cuts: list[list[float]] | None) -> DataFrame:
-    """df with the bin of each feature, b_0, b_1, ...: how many of its thresholds are below the value."""
+    """df with the bin of each feature, b_0, b_1, ...: how many of its thresholds are below the value; callers keep the
+    result for the whole fit."""
     if cuts is None:
         return df
-    return df.withColumns({f"b_{i}": F.expr(f"size(filter(array({', '.join(map(num, c)) or 'double(null)'}), c -> c < {f}))") for i, (f, c) in enumerate(zip(features, cuts))})
+    return df.withColumns({f"b_{i}": F.expr(f"cast({_bin(f, sorted(c))} as int)") for i, (f, c) in enumerate(zip(features, cuts))})
 
 
 def grow(df: DataFrame, features: list[str], stats: dict[str, str], gain: str, valid: str, value, max_depth: int | None, accept: float, splittable=lambda s: True, cuts: list[list[float]] | None = None, columns: list[int] | None = None, max_leaves: int | None = None) -> Tree:
@@ -64,9 +87,7 @@ def grow(df: DataFrame, features: list[str], stats: dict[str, str], gain: str, v
     names, d = list(stats), columns if columns is not None else list(range(len(features)))
     point = (lambda f: f"b_{f}") if cuts is not None else (lambda f: f"cast({features[f]} as double)")
     base = df.select(*features, *([f"b_{f}" for f in d] if cuts is not None else []), *[F.expr(e).alias(n) for n, e in stats.items()]).persist()
-    total = base.agg(*[F.sum(n) for n in names]).first()
-    tree: Tree = {0: {"stats": dict(zip(names, map(float, total))), "value": None}}
-    tree[0]["value"] = value(tree[0]["stats"])
+    tree: Tree = {0: {}}
     w = Window.partitionBy("node", "f")
 
     def best(open_: list[int]) -> list:
@@ -92,9 +113,14 @@ def grow(df: DataFrame, features: list[str], stats: dict[str, str], gain: str, v
                 out.append(child)
         return out
 
-    open_, offers, leaves = [0] if splittable(tree[0]["stats"]) and max_depth != 0 else [], [], 1
+    # The root's sums come with its split, and by a job of their own only where it has none.
+    found = best([0]) if max_depth != 0 else []
+    total = [found[0][f"t_{n}"] for n in names] if found else base.agg(*[F.sum(n) for n in names]).first()
+    tree[0] = {"stats": dict(zip(names, (float(x or 0) for x in total)))}
+    tree[0]["value"] = value(tree[0]["stats"])
+    open_, offers, leaves = [0] if found and splittable(tree[0]["stats"]) else [], [], 1
     while open_:
-        found, open_ = best(open_), []
+        found, open_ = found if open_ == [0] else best(open_), []
         if max_leaves is None:
             for r in found:
                 open_ += divide(r)
@@ -155,7 +181,7 @@ class DecisionTree:
         gain = f"{i['t']} - l_n / t_n * {i['l']} - r_n / t_n * {i['r']}"
         if cuts is None and self.max_bins:
             cuts = cut_points(rows, self.features, self.max_bins)
-            rows = binned(rows, self.features, cuts)
+            rows = binned(dealt(rows), self.features, cuts)
         self.tree = grow(rows, self.features, stats, gain, f"l_n >= {self.min_samples_leaf} and r_n >= {self.min_samples_leaf}", value, self.max_depth, -1, lambda s: s["n"] >= self.min_samples_split and mixed(s), cuts)
         return self
 
@@ -196,7 +222,7 @@ class RandomForest:
     def fit(self, df: DataFrame) -> RandomForest:
         rows, self.trees = complete(df, self.features).select(self.key, *self.features, self.label), []
         cuts = cut_points(rows, self.features, self.max_bins) if self.max_bins else None
-        rows = binned(rows, self.features, cuts).persist()
+        rows = binned(dealt(rows), self.features, cuts).persist()
         classes = [r[0] for r in rows.select(self.label).distinct().orderBy(self.label).collect()] if self.task == "classification" else None
         for t in range(self.n_estimators):
             u = draw(self.key, f"{self.seed}:{t}")
@@ -243,7 +269,8 @@ class AdaBoost:
         if metrics.first(rows.agg(F.count_if(~F.col(self.label).isin(-1, 1)))):
             raise ValueError("labels must be -1 or 1")
         cuts = cut_points(rows, self.features, self.max_bins) if self.max_bins else None
-        rows, self.stumps = binned(rows, self.features, cuts).withColumn("w_", F.lit(1.0)), []
+        start = binned(dealt(rows), self.features, cuts).withColumn("w_", F.lit(1.0)).persist()
+        rows, self.stumps = start, []
         for k in range(self.n_estimators):
             total = metrics.first(rows.agg(F.sum("w_")))
             w = f"w_ / {num(total)}"
@@ -261,6 +288,7 @@ class AdaBoost:
             rows = rows.withColumn("w_", F.expr(f"{w} * case when ({self._vote(self.stumps[-1])}) <> {self.label} then {num(np.exp(alpha))} else 1D end"))
             if k % 5 == 4:
                 rows = written(rows)
+        start.unpersist()
         return self
 
     def _margin(self, n: int | None = None) -> str:
@@ -398,9 +426,9 @@ class Boosting:
         clipped = min(max(mean, 1e-15), 1 - 1e-15)
         self.base = float(np.log(clipped / (1 - clipped)) if self.objective == "logistic" else mean)
         cuts = cut_points(rows, self.features, self.max_bins) if self.max_bins else None
-        rows = binned(rows, self.features, cuts).withColumn("m_", F.lit(self.base)).persist()
+        rows = binned(dealt(rows), self.features, cuts).withColumn("m_", F.lit(self.base)).persist()
         held = evaluation.withColumn("m_", F.lit(self.base)) if evaluation is not None else None
-        self.trees, self.history, best = [], [], (float("inf"), 0)
+        self.trees, self.history, best, older = [], [], (float("inf"), 0), rows.limit(0)
         for t in range(self.n_estimators):
             own = rows
             if self.subsample < 1 and t % self.bagging_freq == 0:
@@ -410,11 +438,10 @@ class Boosting:
             tree = self._tree(own, cuts, columns)
             self.trees.append(tree)
             step = F.expr(f"m_ + {num(self.learning_rate)} * ({compile_tree(tree, self.features)})")
-            last, rows = rows, rows.withColumn("m_", step)
+            # The next tree fills the new rows from the last ones, which are let go one tree later.
+            older.unpersist()
+            older, rows = rows, rows.withColumn("m_", step)
             rows = written(rows) if t % 5 == 4 else rows.persist()
-            if t + 1 < self.n_estimators:
-                rows.count()
-            last.unpersist()
             if held is not None:
                 held = held.withColumn("m_", step)
                 held = written(held) if t % 5 == 4 else held
@@ -424,7 +451,8 @@ class Boosting:
                 elif early_stopping_rounds and t - best[1] >= early_stopping_rounds:
                     self.trees = self.trees[: best[1] + 1]
                     break
-        rows.unpersist()
+        for kept in (older, rows):
+            kept.unpersist()
         return self
 
     def margin(self, n: int | None = None) -> str:
@@ -499,7 +527,7 @@ class LambdaRank:
         rows = complete(df, [*self.features, self.relevance]).select(self.query, self.key, self.relevance, *self.features)
         self.base = float(metrics.first(rows.agg(F.avg(self.relevance))))
         cuts, self.trees = cut_points(rows, self.features, self.max_bins) if self.max_bins else None, []
-        rows = written(binned(rows, self.features, cuts).withColumn("m_", F.lit(self.base)))
+        rows = written(binned(dealt(rows), self.features, cuts).withColumn("m_", F.lit(self.base)))
         for t in range(self.n_estimators):
             own = rows.join(self.lambdas(rows), F.col(self.key) == F.col("k_"), "left").withColumn("g_", F.coalesce("g_", F.lit(0.0))).where(F.expr(f"{draw(self.key, f'{self.seed}:{t}')} < {self.subsample}D"))
             tree = grow(own, self.features, {"n": "1D", "g": "g_"}, "(pow(l_g, 2) / l_n + pow(r_g, 2) / r_n - pow(t_g, 2) / t_n) / t_n", "l_n >= 2 and r_n >= 2", lambda s: -s["g"] / s["n"], self.max_depth, -1, lambda s: s["n"] >= self.min_samples_split, cuts)

@@ -18,6 +18,7 @@ def baskets(rows: DataFrame, tid: str, item: str) -> DataFrame:
 
 
 def sequences(rows: DataFrame, key: str, order: list[str], symbol: str) -> DataFrame:
-    """(seq_id, symbols): the symbols of each key in order."""
+    """(seq_id, symbols): the symbols of each key in order.  A sequence is one value of a row, as the recursions over it need
+    it whole: keys with more than some ten million events should be cut by time first."""
     fields = ", ".join([*order, symbol])
     return rows.selectExpr(f"{key} as seq_id", f"struct({fields}) as s").groupBy("seq_id").agg({"s": "collect_list"}).selectExpr("seq_id", f"transform(array_sort(`collect_list(s)`), x -> cast(x.{symbol} as string)) as symbols")

@@ -11,7 +11,7 @@ from millrace.operators.embedding import IsolationForest, MatrixFactorization, T
 from millrace.operators.itemsets import Apriori
 from millrace.operators.linear import AdditiveForecast, LeastSquares, PrincipalComponents
 from millrace.operators.sequences import HiddenMarkov, TopicModel
-from millrace.operators.trees import Boosting, DecisionTree, cut_points, splits
+from millrace.operators.trees import Boosting, DecisionTree, binned, cut_points, splits
 from millrace.streaming.scoring import score_stream, windowed_mean
 
 
@@ -154,6 +154,15 @@ def test_thresholds(spark):
     assert few == [0, 1, 2, 3, 4, 5] and np.allclose(many, np.percentile(np.arange(1000), np.arange(10, 100, 10))) and one == []
 
 
+def test_bins(spark):
+    rng = np.random.default_rng(12)
+    x = np.append(rng.normal(size=200), [0.0, 1.0, -1.0])
+    for n in (0, 1, 5, 32, 33, 100, 255):
+        cuts = sorted({0.0, *rng.normal(size=max(n - 1, 0))}) if n else []
+        got = [r["b_0"] for r in binned(rows(spark, [(v,) for v in x], ["a"]), ["a"], [cuts]).orderBy("id").collect()]
+        assert got == np.searchsorted(cuts, x).tolist()
+
+
 def test_isolation_forest_finds_outliers(spark):
     rng = np.random.default_rng(2)
     df = rows(spark, [*rng.normal(size=(400, 2)), (8, 8), (-9, 7), (0, 12)], ["a", "b"])
