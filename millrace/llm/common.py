@@ -60,6 +60,14 @@ def free(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def sampled(df: DataFrame, rows: int, total: int, *keys: str) -> DataFrame:
+    """At most `rows` of the `total` rows, those least by a hash of the keys.  A cut of the hash comes first, so that what is
+    ordered is bounded by the sample and not by the number of tasks; where too few pass it, the sample is smaller."""
+    order = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    share = min(1.0, (4 * rows + 100) / max(total, 1))
+    return df.where(order < int(share * (1 << 40)) + 1).orderBy(order, *keys).limit(rows)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold at most limit bytes (a longer text stands alone)."""
     for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, sampled, table, written
 
 #: Least cosine of a link.
 COSINE = 0.9
@@ -136,7 +136,8 @@ def link(vectors: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS) -> Da
     sizes = groups.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()
     chosen: dict[int, np.ndarray] = {}
     for r in sizes:
-        found = groups.where(F.size("embedding") == r["dim"]).orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("embedding").collect()
+        own = groups.where(F.size("embedding") == r["dim"])
+        found = sampled(own, pivots, r["n"], "rep").select("embedding").collect() or own.select("embedding").limit(1).collect()
         chosen[r["dim"]] = np.stack(unit([x[0] for x in found])[0])
     placed = written(groups.mapInArrow(_place(chosen, reach), "dim int, cell int, own boolean, rep long, n long, x binary"))
     # Blocks of a cell: with b blocks, a row is on the left of the pairs (i, *) and on the right of (*, i).

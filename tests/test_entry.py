@@ -15,7 +15,7 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["ols_simple", "ridge", "kmeans", "association_rules", "ndcg_at_10", "tree_root_split", "adaboost_rounds", "xgboost_stump", "lightgbm_stump", "catboost_stump", "lambda_gradients", "hidden_markov_forward", "trend"])
+@pytest.mark.parametrize("name", ["ols_simple", "ridge", "kmeans", "association_rules", "ndcg_at_10", "tree_root_split", "adaboost_rounds", "xgboost_stump", "lightgbm_stump", "catboost_stump", "lambda_gradients", "hidden_markov_forward", "trend", "quantization", "return_bins", "noise_removal", "logistic_growth", "pairwise_silhouette", "multinomial_bayes", "tree_entropy", "random_forest"])
 def test_against_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:
