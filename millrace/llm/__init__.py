@@ -1,10 +1,10 @@
-"""Ten operations of a training-data pipeline; nothing else in the library imports this subpackage."""
+"""Thirteen operations of a training-data pipeline; nothing else in the library imports this subpackage."""
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_join, html_template, jaccard_join, packing, pii, quality, secret_scan, sharding, suffix_dedup
+from . import decontaminate, embedding_join, html_template, jaccard_join, lexical, merkle, packing, pii, quality, secret_scan, sharding, suffix_dedup, warc
 
-MODULES = (embedding_join, pii, html_template, secret_scan, sharding, quality, suffix_dedup, jaccard_join, packing, decontaminate)
+MODULES = (embedding_join, pii, html_template, secret_scan, sharding, quality, suffix_dedup, jaccard_join, packing, decontaminate, merkle, warc, lexical)
 
 
 def queries() -> dict:
