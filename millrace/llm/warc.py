@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import removed, shared_dir, table, written
+from .common import removed, shared_dir, table, text_chunks, written
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
@@ -18,6 +19,8 @@ REVISIT_BYTES = 1000
 PART = 256
 #: Rows of a digest from which its group goes to the records by broadcast: at least 1 / HOT of all rows, so HOT groups at most.
 HOT = 100_000
+#: Payload bytes that a Python worker restores at once; a larger payload is restored alone.
+RESTORED_BYTES = 16 << 20
 #: The time of capture of pages that have none.
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -51,10 +54,28 @@ def _head(date: str) -> Column:
     return F.concat(*lines)
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in text_chunks(batches, "payload"):
+        yield pa.record_batch([batch.column("sha256"), pa.array([press.compress(v.as_buffer()) for v in batch.column("payload")], pa.binary())], names=["sha256", "payload"])
+
+
+def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        first, size, own = 0, 0, []
+        for row, v in enumerate(batch.column("payload")):
+            own.append(press.decompress(v.as_buffer()))
+            size += len(own[-1])
+            if size >= RESTORED_BYTES or row == batch.num_rows - 1:
+                yield pa.record_batch([batch.column("sha256").slice(first, len(own)), batch.column("head").slice(first, len(own)), pa.array(own, pa.binary())], names=["sha256", "head", "payload"])
+                first, size, own = row + 1, 0, []
+
+
 def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", date: str = DATE) -> None:
     """Writes the archive of all rows of pages: folder/payloads (sha256, copies, payload) and folder/records (sha256, part, head).
 
-    A payload is kept once, under its SHA-256; that equal digests are equal payloads is verified by a second digest
+    A payload is kept once and compressed, under its SHA-256; that equal digests are equal payloads is verified by a second digest
     and the length, and an error stops the write.  Of the records with one payload of REVISIT_BYTES or more, that with
     the largest key (a null key is the least; of repeated rows, one) is a response, the others are revisits of it;
     smaller ones are all responses.  A null body is an empty payload, a null key or url has no header line, an empty
@@ -79,7 +100,7 @@ def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     part = F.expr(f"pmod(xxhash64(row), (copies + {PART - 1}) div {PART})").alias("part")
     held.select("sha256", part, _head(date).alias("head")).write.parquet(f"{folder}/records")
     # Partial aggregates leave one copy a task of each payload.
-    payloads = own.select(sha, "payload").groupBy("sha256").agg(F.first("payload").alias("payload"))
+    payloads = own.select(sha, F.col("payload").cast("string").alias("payload")).mapInArrow(_squeezed, "sha256 binary, payload binary").groupBy("sha256").agg(F.first("payload").alias("payload"))
     payloads.join(groups.select("sha256", "copies").hint("shuffle_hash"), "sha256").select("sha256", "copies", "payload").write.parquet(f"{folder}/payloads")
     removed(rows, groups)
 
@@ -92,12 +113,13 @@ def _field(name: str) -> Column:
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """(head, payload) of every record of an archive: the bytes as they were, revisits with the payload that they repeat.
 
-    Payloads are verified by their digest as they are read; an error tells of a damaged one.
+    Every payload is verified by its digest as it is restored; an error tells of a damaged one.
     """
     kept = spark.read.parquet(f"{folder}/payloads")
+    kept = kept.select("sha256", "payload", F.explode(F.expr(f"sequence(0L, (copies + {PART - 1}) div {PART} - 1)")).alias("part"))
+    found = spark.read.parquet(f"{folder}/records").join(kept, ["sha256", "part"]).select("sha256", "head", "payload").mapInArrow(_restored, "sha256 binary, head string, payload binary")
     sound = F.unhex(F.sha2("payload", 256)) == F.col("sha256")
-    kept = kept.select("sha256", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast("binary")).alias("payload"), F.explode(F.expr(f"sequence(0L, (copies + {PART - 1}) div {PART} - 1)")).alias("part"))
-    return spark.read.parquet(f"{folder}/records").join(kept, ["sha256", "part"]).select("head", "payload")
+    return found.select("head", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast("binary")).alias("payload"))
 
 
 def fields(found: DataFrame) -> DataFrame:

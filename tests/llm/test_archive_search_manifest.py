@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from millrace import llm
@@ -171,7 +172,7 @@ def test_archive_of_nothing_and_damage(spark, tmp_path):
     assert warc.records(spark, str(tmp_path / "a")).count() == 0
     warc.store(spark.createDataFrame([(1, "u", "abc")], empty.schema), str(tmp_path / "b"))
     kept = spark.read.parquet(str(tmp_path / "b/payloads"))
-    kept.withColumn("payload", F.lit("abd").cast("binary")).write.parquet(str(tmp_path / "c/payloads"))
+    kept.withColumn("payload", F.lit(zstandard.compress(b"abd"))).write.parquet(str(tmp_path / "c/payloads"))
     spark.read.parquet(str(tmp_path / "b/records")).write.parquet(str(tmp_path / "c/records"))
     with pytest.raises(Exception, match="differs from its digest"):
         warc.records(spark, str(tmp_path / "c")).collect()
