@@ -19,6 +19,8 @@ from .decontaminate import words
 
 #: Documents and postings of a shard at most (a document of more postings stands alone).
 SHARD_DOCS, SHARD_POSTINGS = 16_384, 2_000_000
+#: Tasks of a search at most; with more shards, a task has several.
+TASKS = 50_000
 #: Postings of a block.
 BLOCK = 64
 #: Characters of queries that go to the tasks at once; more queries take more passes over the index.
@@ -276,7 +278,7 @@ def search(found: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id
     spark = found.sparkSession
     kind = queries.schema[item].dataType
     arrow = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-    n, total = found.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    shards, n, total = found.where("term is null").agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     size = queries.agg(F.sum(F.length(text))).first()[0] or 0
     blocks = 1 + int(size) // QUERY_CHARS
     out = None
@@ -290,7 +292,7 @@ def search(found: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id
         factors = {r["term"]: weight(n, r["df"]) for r in lists.groupBy("term").agg(F.sum("df").alias("df")).collect()}
         ready = [(name, [t for t in own if t in factors]) for name, own in terms.items()]
         shared = spark.sparkContext.broadcast((ready, factors, n, max(total, 1)))
-        dealt = found.where("term is null").unionByName(lists.select(*_NAMES)).repartition("shard").sortWithinPartitions("shard", F.col("term").asc_nulls_first())
+        dealt = found.where("term is null").unionByName(lists.select(*_NAMES)).repartition(min(max(shards, 1), TASKS), "shard").sortWithinPartitions("shard", F.col("term").asc_nulls_first())
         part = dealt.drop("total").mapInArrow(_search(shared, k, arrow), f"item {kind.simpleString()}, doc long, score long")
         out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc").asc_nulls_last())).alias("rank")
