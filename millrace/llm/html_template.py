@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, removed, string_buffer, table, text_chunks, written
+from .common import binaries, mix, removed, string_buffer, table, text_chunks, unpack, written
 
 #: Pieces of a page: a comment, an element whose content is not markup, a tag; text is what lies between.
 _PIECE = re.compile(r"""<(?:!--.*?(?:-->|\Z)|((?i:script|style|noscript|textarea|template|iframe|svg))\b.*?(?:</(?i:\1)\s*>|\Z)|/?[a-zA-Z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|[!?/a-zA-Z][^>]*+>)""", re.S)
@@ -182,37 +182,67 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield batch, [data[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]
 
 
-def _print(found: list[tuple]) -> int:
-    """Tells distinct pages: copies have the same tokens."""
-    return int.from_bytes(hashlib.blake2b(np.array([t[0] for t in found], np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
+#: Bits of the characters, and of those in links, in the number that says what a token is; two flags stand below them.
+_BITS = 30
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page: its tokens, how often each stands on it, the characters of texts (tags: -1), whether inside."""
+def _said(text: str, linked: int, named: bool, inside: bool) -> int:
+    """A token's text as a number: characters (tags have none), those in links, named as furniture, inside."""
+    return len(text) << (_BITS + 2) | linked << 2 | named << 1 | inside
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page, its tokens, what _said() of each, and a hash of each text; row_ tells distinct pages, as copies have the same tokens."""
     for batch, pages in _pages(batches):
-        out: list[list] = [[], [], [], [], [], []]
-        done = set()
+        done: dict[tuple[int, int], tuple] = {}
         for site, page in zip(batch.column("site").to_pylist(), pages):
             found = list(tokens(page))
-            row = _print(found)
-            if (site, row) in done:
-                continue
-            done.add((site, row))
-            kinds = {t: (len(text) or -1, inside) for t, text, _, _, inside in found}
-            for token, n in Counter(t[0] for t in found).items():
-                for col, v in zip(out, (site, row, token, n, *kinds[token])):
-                    col.append(v)
-        yield pa.record_batch([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.bool_())], names=["site", "row_", "token", "n", "chars", "inside"])
+            seq = np.array([t[0] for t in found], np.int64)
+            row = int.from_bytes(hashlib.blake2b(seq.tobytes(), digest_size=8).digest(), "little", signed=True)
+            if (site, row) not in done:
+                prints = np.array([_id(0, t[1]) for t in found if t[1]], np.int64)
+                done[site, row] = seq, np.array([_said(*t[1:]) for t in found], np.int64), prints
+        own = list(done.values())
+        yield pa.record_batch([*(pa.array([k[i] for k in done], pa.int64()) for i in (0, 1)), *(binaries(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in own)]), [len(x[i]) for x in own]) for i in range(3))], names=["site", "row_", "seq", "said", "prints"])
+
 
+def _parsed(pages: DataFrame) -> DataFrame:
+    """The distinct pages of each host, parsed once."""
+    rows = pages.mapInArrow(_parse, "site long, row_ long, seq binary, said binary, prints binary")
+    return rows.groupBy("site", "row_").agg(*(F.first(c).alias(c) for c in ("seq", "said", "prints")))
 
-def _vectors(pages: DataFrame) -> DataFrame:
-    """Of each token of a host: its pages, its number there, the fingerprint of its occurrence vector.
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the pages of a batch for each token of a host: see _vectors()."""
+    for batch in batches:
+        (seq, n), (said, _) = unpack(batch.column("seq"), np.int64), unpack(batch.column("said"), np.int64)
+        if not len(seq):
+            continue
+        page = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((seq, page))
+        seq, said, page = seq[order], said[order], page[order]
+        start = np.flatnonzero(np.append(True, (seq[1:] != seq[:-1]) | (page[1:] != page[:-1])))
+        times = np.diff(np.append(start, len(seq)))
+        inside = np.minimum.reduceat(said & 1, start)
+        token, page, chars = seq[start], page[start], said[start] >> (_BITS + 2)
+        site, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("site", "row_"))
+        h = mix(row.astype(np.uint64)[page] + mix(times.astype(np.uint64)))
+        order = np.lexsort((token, site[page]))
+        token, own = token[order], site[page][order]
+        start = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])))
+        total = lambda x: np.add.reduceat(x[order].astype(np.int64), start)
+        yield pa.record_batch([pa.array(x) for x in (own[start], token[start], np.diff(np.append(start, len(token))), total(times), np.where(chars[order][start] > 0, chars[order][start], -1), np.minimum.reduceat(inside[order], start) > 0, total(h >> np.uint64(32)), total(h & np.uint64(0xFFFFFFFF)))], names=["site", "token", "pages", "times", "chars", "inside", "v0", "v1"])
+
+
+def _vectors(parsed: DataFrame) -> DataFrame:
+    """Of each token of a host: its pages, its number there, its characters (tags: -1), whether always inside, and the
+    fingerprint of its occurrence vector.
 
     The vector of a token is how often it stands on each distinct page; its fingerprint is a sum of hashes of
-    (page, count), so vectors are compared without gathering them.
+    (page, count), upper and lower half, so vectors are compared without gathering them.
     """
-    seen = pages.mapInArrow(_count, "site long, row_ long, token long, n long, chars long, inside boolean").distinct()
-    return seen.groupBy("site", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("times"), F.max("chars").alias("chars"), F.min("inside").alias("inside"), F.sum(F.xxhash64("row_", "n").cast("decimal(38,0)")).alias("vector"))
+    seen = parsed.select("site", "row_", "seq", "said").mapInArrow(_count, "site long, token long, pages long, times long, chars long, inside boolean, v0 long, v1 long")
+    return seen.groupBy("site", "token").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.max("chars").alias("chars"), F.min("inside").alias("inside"), F.struct(F.sum("v0"), F.sum("v1")).alias("vector"))
 
 
 def candidate_classes(vectors: DataFrame) -> DataFrame:
@@ -221,11 +251,14 @@ def candidate_classes(vectors: DataFrame) -> DataFrame:
     text, share = F.col("chars") > 0, F.col("pages") / F.col("all")
     steady = (F.col("pages") >= F.when(F.col("inside"), REPEATED_INSIDE).otherwise(REPEATED)) & (share >= F.when(F.col("inside"), REPEATED_SHARE_INSIDE).otherwise(REPEATED_SHARE))
     tags = (F.col("pages") >= F.least(F.lit(2), F.col("all"))) & (share >= SUPPORT)
-    kept = _beside(vectors, written(total), "all", "text").where(F.when(text, steady).otherwise(tags))
+    total = written(total)
+    kept = _beside(vectors, total, "all", "text").where(F.when(text, steady).otherwise(tags))
     kept = kept.groupBy("site", "vector", "pages").agg(F.collect_list("token").alias("tags"), F.collect_list(F.when(text, F.col("token"))).alias("texts"), F.coalesce(F.sum(F.when(text, F.col("chars") * F.col("times"))), F.lit(0)).alias("held"), F.first("text").alias("text"))
     # The whole size: a class that needs its texts to be large enough counts them, too.
     kept = kept.where(F.size("tags") >= CLASS_TOKENS)
-    return kept.groupBy("site").agg(F.collect_list(F.struct("tags", "texts", "held")).alias("classes"), F.max("text").alias("text"))
+    kept = written(kept.groupBy("site").agg(F.collect_list(F.struct("tags", "texts", "held")).alias("classes"), F.max("text").alias("text")))
+    removed(total)
+    return kept
 
 
 def _candidates(classes: list[dict], text: int | None) -> dict[int, int]:
@@ -240,13 +273,12 @@ def _candidates(classes: list[dict], text: int | None) -> dict[int, int]:
     return out
 
 
-def check_page(sequence: list[int], known: dict[int, int], size: dict[int, int], ranks: dict[int, list[int]], crossed: Counter) -> None:
+def check_page(sequence: list[int], known: dict[int, int], size: dict[int, int], ranks: dict[int, list[int]], crossed: set) -> None:
     """Adds what a page says on order and nesting: the least and greatest rank of each token among those of its class,
-    and pairs of classes whose instances overlap without one being in one gap of the other."""
+    and (token, class): the token stands within an instance of the class that opened after the token's own."""
     seen: dict[int, int] = defaultdict(int)
-    last: dict[int, int] = {}
-    held: list[list[int]] = []  # (class, place of its first token) of open instances, in order
-    for place, token in enumerate(sequence):
+    held: list[int] = []  # classes of the open instances, in the order of their first tokens
+    for token in sequence:
         c = known.get(token)
         if c is None:
             continue
@@ -255,16 +287,14 @@ def check_page(sequence: list[int], known: dict[int, int], size: dict[int, int],
         own = ranks.setdefault(token, [rank, rank])
         own[0], own[1] = min(own[0], rank), max(own[1], rank)
         if rank:
-            for other, begin in reversed(held):
-                if begin < last[c]:
+            for other in reversed(held):
+                if other == c:
                     break
-                if other != c:
-                    crossed[min(c, other), max(c, other)] += 1
+                crossed.add((token, other))
         else:
-            held.append([c, place])
-        last[c] = place
+            held.append(c)
         if rank == size[c] - 1:
-            del held[next(k for k in range(len(held) - 1, -1, -1) if held[k][0] == c)]
+            del held[next(k for k in range(len(held) - 1, -1, -1) if held[k] == c)]
 
 
 def _pairs(packed: bytes | None) -> dict[int, int]:
@@ -282,15 +312,14 @@ def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each host in a batch: ranks lo to hi of token a (b null), or classes a and b that overlap."""
-    for batch, pages in _pages(batches):
+    """Of each host in a batch: ranks lo to hi of token a (b null), or token a within class b."""
+    for batch in batches:
         sums: dict[int, tuple] = {}
-        for site, packed, page in zip(batch.column("site").to_pylist(), batch.column("known").to_pylist(), pages):
+        for site, packed, seq in zip(*(batch.column(c).to_pylist() for c in ("site", "known", "seq"))):
             if site not in sums:
                 known = _pairs(packed)
-                sums[site] = known, Counter(known.values()), {}, Counter()
-            known, size, ranks, crossed = sums[site]
-            check_page([t[0] for t in tokens(page)], known, size, ranks, crossed)
+                sums[site] = known, Counter(known.values()), {}, set()
+            check_page(np.frombuffer(seq, np.int64).tolist(), *sums[site])
         rows = [(s, t, None, *r) for s, (_, _, ranks, _) in sums.items() for t, r in ranks.items()] + [(s, a, b, None, None) for s, (_, _, _, x) in sums.items() for a, b in x]
         yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["site", "a", "b", "lo", "hi"])
 
@@ -303,18 +332,27 @@ def valid_template(known: dict[int, int], ranks: dict[int, tuple[int, int]], cro
     """The tokens of all valid classes, and what each does.
 
     A class keeps the tokens that have the same rank on all pages, and is valid with CLASS_TOKENS of them or more.
-    Of two classes that overlap, the one with fewer tokens goes.
+    Where tokens of a class stand within instances of another that opened after theirs, the other class goes if it has
+    no more tokens, else only these tokens.  The class of BEGIN and END opens first on every page and keeps both, so it
+    always stays, around all texts.
     """
     members: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for token, c in known.items():
         lo, hi = ranks.get(token, (0, 1))
         if lo == hi:
             members[c].append((lo, token))
-    gone = {min(pair, key=lambda c: (len(members.get(c, ())), -c)) for pair in crossed}
+    members = {c: own for c, own in members.items() if len(own) >= CLASS_TOKENS}
+    within: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for token, other in crossed:
+        if ranks[token][0] == ranks[token][1] and known[token] in members and other in members:
+            within[known[token], other].add(token)
+    gone: set[int] = set()
+    for (c, other), own in within.items():
+        gone |= {t for _, t in members[other]} if len(members[other]) <= len(members[c]) else own
     out: dict[int, int] = {}
-    for c, own in members.items():
-        if c not in gone and len(own) >= CLASS_TOKENS:
-            own.sort()
+    for own in members.values():
+        own = sorted(m for m in own if m[1] not in gone)
+        if len(own) >= CLASS_TOKENS:
             out |= {token: FIRST if k == 0 else LAST if k == len(own) - 1 else INNER for k, (_, token) in enumerate(own)}
     return out
 
@@ -327,19 +365,22 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("site"), _packed(rows)], names=["site", "template"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(site, template): packed pairs (token, FIRST, INNER or LAST) of each host's valid classes.
+def templates(parsed: DataFrame) -> DataFrame:
+    """(site, template): packed pairs (token, FIRST, INNER or LAST) of each host's valid classes, from its _parsed() pages.
 
     Candidates are the classes of equal occurrence vectors; a look at all pages then tests order and nesting.  As
     tags of a template are on at least SUPPORT of a host's pages and texts on more, they are at most 1 / SUPPORT
     times the distinct tokens of a mean page, so a host's template fits a task.
     """
-    vectors = written(_vectors(pages))
-    known = written(candidate_classes(vectors).mapInArrow(_known, "site long, known binary"))
-    removed(vectors)
-    found = _beside(pages, known, "known").mapInArrow(_check, "site long, a long, b long, lo long, hi long")
+    vectors = written(_vectors(parsed))
+    classes = candidate_classes(vectors)
+    known = written(classes.mapInArrow(_known, "site long, known binary"))
+    removed(vectors, classes)
+    found = _beside(parsed.select("site", "seq"), known, "known").mapInArrow(_check, "site long, a long, b long, lo long, hi long")
     found = found.groupBy("site", "a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("site").agg(F.collect_list(F.struct("a", "b", "lo", "hi")).alias("found"))
-    return known.join(found, "site").mapInArrow(_settle, "site long, template binary")
+    out = written(known.join(found, "site").mapInArrow(_settle, "site long, template binary"))
+    removed(known)
+    return out
 
 
 def _beside(pages: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
@@ -348,46 +389,44 @@ def _beside(pages: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
     return pages.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "site", "left")
 
 
-def slots(found: list[tuple[int, str, int, bool, bool]], template: dict[int, int]) -> Iterator[tuple[int, str, int, bool, bool]]:
-    """(slot, text, characters in links, named, inside) of every text that is not of the template.
+def slots(found: list[tuple], template: dict[int, int]) -> Iterator[tuple]:
+    """(slot, *what else the tuple of a token says) of every text that is not of the template; the second says whether it is a text.
 
     A slot is named by the template token that it follows; after the last token of a nested class it is that of
-    the class around it again.  Texts that no class is around are in no slot and left out.
+    the class around it again.  The class of BEGIN and END is around all texts, so each is in a slot.
     """
     held: list[int] = []
-    for token, text, *more in found:
+    for token, *more in found:
         does = template.get(token)
         if does is None:
-            if text and held:
-                yield held[-1], text, *more
+            if more[0]:
+                yield held[-1], *more
         elif does == FIRST:
             held.append(token)
-        elif held and does == LAST:
+        elif does == LAST:
             held.pop()
-        elif held:
+        else:
             held[-1] = token
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of each slot of each distinct page: characters, those in links, named, inside; a fingerprint of the texts."""
-    for batch, pages in _pages(batches):
-        templates, done, rows = {}, set(), []
-        for site, packed, page in zip(batch.column("site").to_pylist(), batch.column("template").to_pylist(), pages):
+    for batch in batches:
+        templates, rows = {}, []
+        for site, row, packed, *page in zip(*(batch.column(c).to_pylist() for c in ("site", "row_", "template", "seq", "said", "prints"))):
             if site not in templates:
                 templates[site] = _pairs(packed)
-            found = list(tokens(page))
-            row = _print(found)
-            if (site, row) in done:
-                continue
-            done.add((site, row))
+            seq, said, prints = (np.frombuffer(x, np.int64) for x in page)
+            own = np.zeros(len(seq), np.int64)
+            own[said >> (_BITS + 2) > 0] = prints
             sums: dict[int, list] = {}
-            for slot, text, linked, named, inside in slots(found, templates[site]):
-                x = sums.setdefault(slot, [0, 0, 0, 0, 0])
-                x[0] += len(text)
-                x[1] += linked
-                x[2] += len(text) * named
-                x[3] += len(text) * inside
-                x[4] = _id(x[4], text)
+            for slot, said, text in slots(list(zip(seq.tolist(), said.tolist(), own.tolist())), templates[site]):
+                x, chars = sums.setdefault(slot, [0, 0, 0, 0, 0]), said >> (_BITS + 2)
+                x[0] += chars
+                x[1] += said >> 2 & (1 << _BITS) - 1
+                x[2] += chars * (said >> 1 & 1)
+                x[3] += chars * (said & 1)
+                x[4] = _id(x[4], str(text))
             rows += [(site, row, slot, *x) for slot, x in sums.items()]
         yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(8)], names=_SUMS)
 
@@ -395,14 +434,14 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SUMS = ["site", "row_", "slot", "chars", "linked", "named", "inside", "print"]
 
 
-def judge(pages: DataFrame) -> DataFrame:
-    """(site, bad): the slots of each host that are not main text, packed; pages have their host's template.
+def judge(parsed: DataFrame) -> DataFrame:
+    """(site, bad): the slots of each host that are not main text, packed; parsed pages have their host's template.
 
     Bad is a slot that holds mostly links; one with the same text on all of several pages; one outside article and
     main that draws many pages' texts from few; one most of whose text stands in elements named as furniture; and,
     where a host has no other page to tell by, one outside article and main, if these hold half of its text.  If all that would leave a host nothing, only links count.
     """
-    seen = pages.mapInArrow(_sum, ", ".join(f"{c} long" for c in _SUMS)).distinct()
+    seen = written(parsed.mapInArrow(_sum, ", ".join(f"{c} long" for c in _SUMS)))
     texts = seen.groupBy("site", "slot", "print").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("chars", "linked", "named", "inside")))
     sums = texts.groupBy("site", "slot").agg(F.count("*").alias("texts"), *(F.sum(c).alias(c) for c in ("n", "chars", "linked", "named", "inside")))
     total = seen.groupBy("site", "row_").agg(F.sum("chars").alias("c"), F.sum("inside").alias("i")).groupBy("site").agg(F.count("*").alias("all"), (2 * F.sum("i") >= F.sum("c")).alias("mostly"))
@@ -413,9 +452,12 @@ def judge(pages: DataFrame) -> DataFrame:
     pool = ~inside & (F.col("n") >= POOL_PAGES) & (F.col("texts") <= F.col("n") * POOL_SHARE)
     named = F.col("named") > F.col("chars") * NAMED
     alone = ~inside & (F.col("all") == 1) & F.col("mostly")
-    judged = _beside(sums, written(total), "all").select("site", "slot", linked.alias("linked"), (linked | same | pool | named | alone).alias("bad"))
+    total = written(total)
+    judged = _beside(sums, total, "all").select("site", "slot", linked.alias("linked"), (linked | same | pool | named | alone).alias("bad"))
     judged = judged.groupBy("site").agg(F.collect_list(F.when(F.col("linked"), F.col("slot"))).alias("linked"), F.collect_list(F.when(F.col("bad"), F.col("slot"))).alias("bad"), F.min("bad").alias("none"))
-    return judged.select("site", F.when(F.col("none"), F.col("linked")).otherwise(F.col("bad")).alias("bad")).mapInArrow(_pack_bad, "site long, bad binary")
+    out = written(judged.select("site", F.when(F.col("none"), F.col("linked")).otherwise(F.col("bad")).alias("bad")).mapInArrow(_pack_bad, "site long, bad binary"))
+    removed(seen, total)
+    return out
 
 
 def _pack_bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,16 +484,18 @@ def extract(pages: DataFrame) -> DataFrame:
     A null html is empty; a page without main text gives ''; a null url counts as the host ''; repeated rows stay,
     and copies of a page count once in all that is judged.  Each host's template is deduced from all its pages
     (templates()), and what is not of the template fills slots, which are judged by their texts on all pages
-    (judge()).  The text of a page is that of its good slots; nothing within a slot is dropped.  Names of tags,
+    (judge()).  The text of a page is that of its good slots; each text that is not of the template is in one, and
+    nothing within a slot is dropped.  Names of tags,
     classes and ids count only as shares of a slot's text, article and main elements as a prior.  Pages of a large
     host are spread over tasks: only counts and sums are grouped by host.
     """
     site = F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)))
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), site.alias("site"))
-    thin = own.select("site", "html")
-    found = written(templates(thin))
-    bad = judge(_beside(thin, found, "template"))
+    parsed = written(_parsed(own.select("site", "html")))
+    found = templates(parsed)
+    bad = judge(_beside(parsed, found, "template"))
     side = written(found.join(bad, "site", "left"))
+    removed(parsed, found, bad)
     kind = own.schema["page_id"].dataType.simpleString()
     return _beside(own, side, "template", "bad").mapInArrow(_text, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 

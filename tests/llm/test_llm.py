@@ -466,18 +466,45 @@ def test_names_of_article_parts(spark):
 
 def test_nested_and_disordered_classes():
     known = {1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: 2}
-    ranks, crossed = {}, Counter()
+    ranks, crossed = {}, set()
     size = Counter(known.values())
     html_template.check_page([1, 3, 9, 4, 3, 4, 5, 2, 6], known, size, ranks, crossed)
-    assert crossed == {(0, 2): 1} and ranks == {1: [0, 0], 2: [1, 1], 3: [0, 0], 4: [1, 1], 5: [0, 0], 6: [1, 1]}
+    assert crossed == {(2, 2)} and ranks == {1: [0, 0], 2: [1, 1], 3: [0, 0], 4: [1, 1], 5: [0, 0], 6: [1, 1]}
     found = html_template.valid_template(known, {k: tuple(v) for k, v in ranks.items()}, set(crossed))
     assert found == {1: 0, 2: 2, 3: 0, 4: 2}
-    texts = [(t, "x" if t > 6 else "", 0, False, False) for t in (7, 1, 8, 3, 9, 4, 10, 2, 11)]
-    assert [s[0] for s in html_template.slots(texts, found)] == [1, 3, 1]
+    texts = [(t, "x" if t > 6 else "", 0, False, False) for t in (0, 7, 1, 8, 3, 9, 4, 10, 2, 11, -1)]
+    assert [s[0] for s in html_template.slots(texts, found | {0: 0, -1: 2})] == [0, 1, 3, 1, 0]  # the two ends are around all
     html_template.check_page([2, 1], known, size, ranks, crossed)  # another order: neither token of class 0 keeps a rank
     assert html_template.valid_template(known, {k: tuple(v) for k, v in ranks.items()}, set()) == {3: 0, 4: 2, 5: 0, 6: 2}
 
 
+def test_no_article_is_lost(spark):
+    """A class of more tokens, twice a page, that an element of the page's own class crosses."""
+    box = "<section><div><h3>Box</h3>{0}<ul><li>one</li></ul><dl><dt>two</dt><dd>three</dd></dl></div></section>"
+    page = "<body><article><h1>Head {0}</h1><p>Main text of page {0} goes on</p></article>" + box.format("<hr>") + box.format("") + "</body>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(6)]
+    assert pages_text(spark, rows) == {i: f"Head {i} Main text of page {i} goes on" for i in range(6)}
+    # Pages of random parts: boxes that stand twice, some with an element of their own, before or after the article.
+    rng, rows = np.random.default_rng(3), []
+    for host in range(12):
+        parts = [f"<{t} class=c{k}><div><p>Box {k}</p><ul><li>a{k}</li><li>b{k}</li></ul>" for k, t in enumerate(rng.choice(["section", "div", "table"], 3))]
+        once = [f"<hr class=o{k}>" if rng.random() < 0.6 else "" for k in range(3)]
+        order = rng.permutation(4)
+        for i in range(6):
+            body = "".join("<article><h1>Head {0}</h1><p>Own text {0} of the page</p></article>" if k == 3 else parts[k] + once[k] + "</div>" + parts[k] + "</div>" for k in order)
+            rows.append((host * 100 + i, f"http://r{host}.example/{i}", f"<html><body>{body}</body></html>".replace("{0}", f"{host} {i}")))
+    got = pages_text(spark, rows)
+    assert all(f"Head {i // 100} {i % 100} Own text {i // 100} {i % 100} of the page" in got[i] for i in got)
+    assert got == brute_pages(rows)
+
+
+def test_pages_with_clashing_columns(spark):
+    page = "<body><nav>home</nav><article><p>Text {0}</p></article></body>"
+    plain = [(i, f"http://a.example/{i}", page.format(i)) for i in range(4)]
+    rows = spark.createDataFrame([(*r, 1, "x", b"y") for r in plain], "page_id long, url string, html string, site int, text string, template binary")
+    assert {r["page_id"]: r["text"] for r in html_template.extract(rows).collect()} == pages_text(spark, plain) == {i: f"Text {i}" for i in range(4)}
+
+
 def brute_pages(rows):
     """Template and slots of all pages of a host by explicit vectors and sequences, for hosts whose pages differ."""
     hosts, out = {}, {}
@@ -513,22 +540,22 @@ def brute_pages(rows):
             at = [k for k, x in enumerate(p) if x[0] in c]
             return [at[k : k + size] for k in range(0, len(at), size)]
 
-        bad = set()
+        gone = set()
         for a in range(len(valid)):
-            for b in range(a):
-                for p in every:
-                    for x in spans(p, valid[a][2], valid[a][1]):
-                        for y in spans(p, valid[b][2], valid[b][1]):
-                            if x[0] < y[-1] and y[0] < x[-1] and len({sum(u < v for u in x) for v in y}) > 1 and len({sum(u < v for u in y) for v in x}) > 1:
-                                bad.add(min((a, b), key=lambda k: (len(valid[k][0]), -min(valid[k][2]))))
-        valid = [v[0] for k, v in enumerate(valid) if k not in bad]
+            for b in range(len(valid)):
+                # Tokens of a between the first and last token of some b that began after their own a.
+                own = {p[k][0] for p in every for x in spans(p, valid[a][2], valid[a][1]) for y in spans(p, valid[b][2], valid[b][1]) for k in x if a != b and x[0] < y[0] < k < y[-1]} & set(valid[a][0])
+                if own:
+                    gone |= set(valid[b][0]) if len(valid[b][0]) <= len(valid[a][0]) else own
+        valid = [[t for t in v[0] if t not in gone] for v in valid]
+        valid = [v for v in valid if len(v) >= 2]
         role = {t: (k, len(c)) for c in valid for k, t in enumerate(c)}
 
         def cut(p):
             stack = []
             for t, words, linked, named, inside in p:
                 if t not in role:
-                    if words and stack:
+                    if words:
                         yield stack[-1], words, linked, named, inside
                 elif role[t][0] == 0:
                     stack.append(t)
