@@ -12,7 +12,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-shared-")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
