@@ -40,3 +40,19 @@ def rotated(df: DataFrame, order: list[str], column: str, share: float = 0.5) ->
     n = rows.count()
     moved = rows.select(((F.col("place_") - 1 + int(n * share)) % max(n, 1) + 1).alias("place_"), F.col(column).alias("moved_"))
     return rows.drop(column).join(moved, "place_").withColumnRenamed("moved_", column).drop("place_")
+
+
+def before(df: DataFrame, group: str, place: str, sums: dict[str, str], chunk: int = 1 << 16) -> DataFrame:
+    """df with each name of sums: the sum of its SQL text over the rows of the same group (null is one) with a smaller place.
+
+    place numbers the rows of df.  Rows of a group are summed chunk by chunk of the numbers, then within a chunk, so that
+    the rows of a frequent group don't meet in one task.
+    """
+    values = {f"value_{k}": F.expr(e) for k, e in enumerate(sums.values())}
+    own = df.withColumns(values | {"chunk_": F.expr(f"{place} div {chunk}")})
+    upto = Window.partitionBy("group_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = own.groupBy(F.col(group).alias("group_"), F.col("chunk_").alias("at_")).agg(*[F.sum(v).alias(v) for v in values])
+    chunks = chunks.select("group_", "at_", *[F.coalesce(F.sum(v).over(upto), F.lit(0)).alias(f"before_{v}") for v in values])
+    out = own.join(chunks, F.col(group).eqNullSafe(F.col("group_")) & (F.col("chunk_") == F.col("at_")))
+    w = Window.partitionBy(group, "chunk_").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return out.withColumns({n: F.col(f"before_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0)) for n, v in zip(sums, values)}).select(*df.columns, *sums)

@@ -187,7 +187,8 @@ class GaussianMixture:
 class Agglomerative:
     """Bottom-up clustering of points (id, features): all mutual nearest pairs of a round merge at once, which for
     these linkages gives the same tree as one closest pair after the other.  Works on the table of
-    pair distances with Lance-Williams updates as joins: n^2 rows, so max_rows guards it."""
+    pair distances with Lance-Williams updates as joins: n^2 rows, so max_rows guards it.  For single linkage of any
+    number of rows there is spanning.SingleLinkage."""
 
     features: list[str]
     n_clusters: int = 2
@@ -249,6 +250,9 @@ class Agglomerative:
         member, number, self.merges, self._members = {i: [i] for i in rows}, {}, [], []
         where = {i: i for i in rows}
         order = {i: k for k, i in enumerate(sorted(rows))}
+        self.labels = None
+        if len(member) <= self.n_clusters:
+            self._label(member)
         for step, (d, i, j) in enumerate(tree):
             a, b = where[i], where[j]
             self.merges.append((number.get(a, order[a]), number.get(b, order[b]), d, len(member[a]) + len(member[b])))
@@ -347,6 +351,17 @@ class NaiveBayes:
         return metrics.accuracy(self.predict(df), self.label)
 
 
+def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all rows of x and y, each sum over the features in order."""
+    if metric == "cosine":
+        return 1 - x @ y.T / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None] + 1e-10)
+    d = np.zeros((len(x), len(y)))
+    for f in range(x.shape[1]):
+        gap = x[:, f, None] - y[None, :, f]
+        d += gap * gap if metric == "euclidean" else np.abs(gap)
+    return np.sqrt(d) if metric == "euclidean" else d
+
+
 def _nearest(k: int, metric: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """The k nearest training rows of the block for each of its queries."""
@@ -356,14 +371,7 @@ def _nearest(k: int, metric: str):
             y = np.stack(other["x"].to_numpy())
             for lo in range(0, len(own), 256):
                 x = np.stack(own["x"].to_numpy()[lo : lo + 256])
-                d = np.zeros((len(x), len(y)))
-                if metric == "cosine":
-                    d = 1 - x @ y.T / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None] + 1e-10)
-                else:
-                    for f in range(x.shape[1]):
-                        gap = x[:, f, None] - y[None, :, f]
-                        d += gap * gap if metric == "euclidean" else np.abs(gap)
-                    d = np.sqrt(d) if metric == "euclidean" else d
+                d = distances(x, y, metric)
                 limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
                 row, col = np.nonzero(d <= limit[:, None])
                 order = np.lexsort((col, d[row, col], row))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
@@ -45,4 +46,5 @@ def dealt(df: DataFrame) -> DataFrame:
     """Rows that many jobs will read, dealt evenly where their scan has fewer tasks than the cluster has cores; larger tables
     stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    # By row numbers: without a column, the rows of each task would be sorted first.
+    return df.repartition(cores, F.monotonically_increasing_id()) if df.rdd.getNumPartitions() < cores else df

@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.expr import num, sigmoid
 from ..functions.prepare import draw
 from .linear import complete
-from .loop import dealt, written
+from .loop import dealt, removed, written
 
 Tree = dict[int, dict]  # node -> {feature, threshold, gain, stats} or {value, stats}; children 2i + 1 and 2i + 2
 
@@ -30,20 +30,36 @@ def compile_tree(tree: Tree, features: list[str], leaf=None, node: int = 0) -> s
 EXACT_VALUES, PERCENTILE_ACCURACY = 100_000, 10_000
 
 
-def cut_points(df: DataFrame, features: list[str], bins: int) -> list[list[float]]:
-    """At most bins thresholds of each feature, without its greatest value: all values where they are so few, else percentiles."""
-    if not features:
+class Values(list):
+    """Thresholds that are all values of a feature but the greatest: a value is its own bin."""
+
+
+def cut_points(df: DataFrame, features: list[str], bins: int, exact_values: int = EXACT_VALUES, also: dict[str, Column] | None = None) -> list[list[float]]:
+    """At most bins thresholds of each feature, without its greatest value: all values where they are so few, else percentiles.
+
+    One scan keeps the values of features that have few (in a sketch of bounded size that is exact for so few) and counts
+    those of the others; a second one takes the percentiles of the others.  also: aggregates that go along; their values
+    replace them.
+    """
+    also = also if also is not None else {}
+    if not features and not also:
         return []
-    r = df.agg(*[F.approx_count_distinct(f, 0.02) for f in features], *[F.max(f) for f in features]).first()
+    counts = [F.approx_count_distinct(f) for f in features] + [F.max(f) for f in features] + [F.expr(f"approx_top_k(cast({f} as double), {bins + 2}, {2 * bins + 8})") for f in features] + [F.count(f) for f in features]
+    r = df.agg(*counts, *also.values()).first()
+    also.update(zip(also, r[4 * len(features) :]))
     share = ", ".join(f"{i / bins}D" for i in range(1, bins)) or "0.5D"
-    few = [n <= 2 * bins for n in r[: len(features)]]
-    make = [F.collect_set(f) if s else F.expr(f"percentile({f}, array({share}))" if n <= EXACT_VALUES else f"percentile_approx({f}, array({share}), {PERCENTILE_ACCURACY})") for f, s, n in zip(features, few, r)]
-    found = [sorted({v for v in x or [] if v < top}) for x, top in zip(df.agg(*make).first(), r[len(features) :])]
-    again = [i for i, x in enumerate(found) if few[i] and len(x) > bins]
-    if again:
-        for i, x in zip(again, df.agg(*[F.expr(f"percentile({features[i]}, array({share}))") for i in again]).first()):
-            found[i] = sorted({v for v in x if v < r[len(features) + i]})
-    return [list(map(float, x)) for x in found]
+    found: list[list[float]] = []
+    for distinct, top, held, n in zip(*(r[k * len(features) : (k + 1) * len(features)] for k in range(4))):
+        values = sorted({float(x[0]) for x in held or [] if x[0] is not None})
+        # The sketch has all values if their counts add up; beyond its size it drops some.
+        whole = distinct <= 2 * bins + 8 and len(values) <= bins + 1 and sum(x[1] for x in held or []) == n
+        found.append(Values(v for v in values if v < top) if whole else [])
+    more = [i for i in range(len(features)) if not isinstance(found[i], Values)]
+    if more:
+        kind = lambda i: f"percentile({features[i]}, array({share}))" if r[i] <= exact_values else f"percentile_approx({features[i]}, array({share}), {PERCENTILE_ACCURACY})"
+        for i, x in zip(more, df.agg(*[F.expr(kind(i)) for i in more]).first()):
+            found[i] = sorted({float(v) for v in x if v < r[len(features) + i]})
+    return found
 
 
 #: Thresholds that one CASE text searches; with more, it finds the run of thresholds, and an array function the place in it.
@@ -69,69 +85,228 @@ def _bin(value: str, cuts: list[float]) -> str:
 
 
 def binned(df: DataFrame, features: list[str], cuts: list[list[float]] | None) -> DataFrame:
-    """df with the bin of each feature, b_0, b_1, ...: how many of its thresholds are below the value; callers keep the
-    result for the whole fit."""
-    if cuts is None:
-        return df
-    return df.withColumns({f"b_{i}": F.expr(f"cast({_bin(f, sorted(c))} as int)") for i, (f, c) in enumerate(zip(features, cuts))})
+    """df with the bin of each feature whose thresholds are not all its values, b_0, b_1, ...: how many of them are below the
+    value; callers keep the result for the whole fit."""
+    own = {f"b_{i}": F.expr(f"cast({_bin(f, sorted(c))} as int)") for i, (f, c) in enumerate(zip(features, cuts or [])) if not isinstance(c, Values)}
+    return df.withColumns(own) if own else df
+
+
+def prepared(rows: DataFrame, features: list[str], bins: int | None, exact_values: int = EXACT_VALUES, also: dict[str, Column] | None = None, checked: list[str] | None = None) -> tuple[DataFrame, list[list[float]] | None, list[DataFrame]]:
+    """(rows with bins, thresholds, what is kept in memory until the fit ends): rows are read once and dealt over the cores.
+    Nulls and NaN in checked, by default the features, are an error."""
+    kept = [dealt(rows).persist()]
+    try:
+        complete(kept[0], features if checked is None else checked)
+    except ValueError:
+        kept[0].unpersist()
+        raise
+    if not bins:
+        if also:
+            also.update(zip(also, kept[0].agg(*also.values()).first()))
+        return kept[0], None, kept
+    cuts = cut_points(kept[0], features, bins, exact_values, also)
+    out = binned(kept[0], features, cuts)
+    if out is not kept[0]:
+        kept.append(out.persist())
+    return out, cuts, kept
+
+
+#: Nodes up to which the way through trees is one CASE text; with more, it is lookups by number, a step a level.
+CASE_NODES = 256
+
+
+class Places:
+    """The nodes of one or more trees, numbered on from their roots: the way of a row from a root to its leaf."""
+
+    def __init__(self, trees: int = 1) -> None:
+        self.trees, self.node = trees, [(t, 0) for t in range(trees)]
+        self.feature, self.threshold, self.left = [-1] * trees, [0.0] * trees, list(range(trees))
+        self.depth = 0
+
+    def split(self, place: int, feature: int, threshold: float) -> tuple[int, int]:
+        tree, node = self.node[place]
+        self.feature[place], self.threshold[place], self.left[place] = feature, threshold, len(self.node)
+        for child in (2 * node + 1, 2 * node + 2):
+            self.node.append((tree, child))
+            self.feature.append(-1)
+            self.threshold.append(0.0)
+            self.left.append(len(self.node) - 1)
+        self.depth = max(self.depth, (2 * node + 2).bit_length() - 1)
+        return len(self.node) - 2, len(self.node) - 1
+
+    def _case(self, features: list[str], place: int) -> str:
+        f, left = self.feature[place], self.left[place]
+        return str(place) if f < 0 else f"case when {features[f]} <= {num(self.threshold[place])} then {self._case(features, left)} else {self._case(features, left + 1)} end"
+
+    def found(self, rows: DataFrame, features: list[str], root: str | None = None, name: str = "node_") -> DataFrame:
+        """rows with the number of the leaf that they come to, from the root of the tree (SQL of its number, the first by default)."""
+        if len(self.node) <= CASE_NODES:
+            each = [self._case(features, t) for t in range(self.trees)]
+            return rows.withColumn(name, F.expr(each[0] if root is None else f"case {root} " + " ".join(f"when {t} then {x}" for t, x in enumerate(each)) + " end"))
+        out = rows.withColumn(name, F.lit(0) if root is None else F.expr(root))
+        feature, threshold, left = F.lit(np.array(self.feature, np.int32)), F.lit(np.array(self.threshold)), F.lit(np.array(self.left, np.int32))
+        value = "case feature_ " + " ".join(f"when {i} then cast({features[i]} as double)" for i in sorted({f for f in self.feature if f >= 0})) + " end"
+        for _ in range(self.depth):
+            out = out.withColumn("feature_", feature[F.col(name)])
+            out = out.withColumn(name, F.when(F.col("feature_") < 0, F.col(name)).otherwise(left[F.col(name)] + F.when(F.expr(value) <= threshold[F.col(name)], 0).otherwise(1)))
+        return out.drop("feature_")
+
+
+def placed(tree: Tree, root: int = 0) -> Places:
+    out, todo = Places(), [(0, root)]
+    while todo:
+        place, node = todo.pop()
+        if "feature" in tree[node]:
+            todo += zip(out.split(place, tree[node]["feature"], tree[node]["threshold"]), (2 * node + 1, 2 * node + 2))
+    return out
+
+
+def stepped(rows: DataFrame, tree: Tree, features: list[str], margin: str, rate: float) -> DataFrame:
+    """rows with the margin moved by rate times the value of the tree."""
+    if len(tree) <= CASE_NODES:
+        return rows.withColumn(margin, F.expr(f"{margin} + {num(rate)} * ({compile_tree(tree, features)})"))
+    places = placed(tree)
+    values = F.lit(np.array([float(tree[n].get("value", 0.0)) for _, n in places.node]))
+    return places.found(rows, features).withColumn(margin, F.col(margin) + F.lit(float(rate)) * values[F.col("node_")]).drop("node_")
+
+
+def grow(df: DataFrame, features: list[str], stats: dict[str, str], gain: str, valid: str, value, max_depth: int | None, accept: float, splittable=lambda s: True, cuts: list[list[float]] | None = None, columns: list[int] | None = None, max_leaves: int | None = None, bundles: list[list[int]] | None = None) -> Tree:
+    """The tree of rows that the caller keeps in memory: see grow_all()."""
+    return grow_all(df, features, stats, gain, valid, value, max_depth, accept, splittable, cuts, columns, max_leaves, bundles=bundles)[0]
+
+
+def _code(features: list[str], cuts: list[list[float]] | None, f: int) -> tuple[str, float]:
+    """SQL of a feature's bin (the value itself where all are thresholds), and the bin of 0."""
+    if cuts is None or isinstance(cuts[f], Values):
+        return f"cast({features[f]} as double)", 0.0
+    return f"cast(b_{f} as double)", float(sum(c < 0 for c in cuts[f]))
+
+
+def entries(features: list[str], columns: list[int], cuts: list[list[float]] | None, bundles: list[list[int]] | None) -> str:
+    """SQL array of the (f, v) that a row adds to the histograms: one a feature; of a bundle, that of the feature which is
+    not at the bin of 0, if any, and then (-1, 0) for the totals that the bins of 0 are worked out from."""
+    own = [[f for f in b if f in columns] for b in bundles or []]
+    held = {f for b in own for f in b}
+    out = [f"struct({f} as f, {_code(features, cuts, f)[0]} as v)" for f in columns if f not in held]
+    for b in own:
+        if b:
+            out.append("case " + " ".join("when {0} <> {1}D then struct({2} as f, {0} as v)".format(*_code(features, cuts, f), f) for f in b) + " end")
+    return "array(" + ", ".join(out + ["struct(-1 as f, 0D as v)"] * bool(held)) + ")"
+
+
+def exclusive_bundles(rows: DataFrame, features: list[str], cuts: list[list[float]] | None, max_share: float = 0.5, max_conflicts: float = 0.0) -> list[list[int]]:
+    """Features that are rarely away from the bin of 0 (on max_share of the rows at most), in bundles in which no more than
+    max_conflicts of the rows have two of them away from it: with 0, trees are as without bundles.
+
+    Pairs are counted map-side within rows, so features squared numbers leave a task; the bundles are then filled first
+    fit, the features with the most conflicts first.
+    """
+    away = "filter(array(" + ", ".join("case when {0} <> {1}D then {2} end".format(*_code(features, cuts, f), f) for f in range(len(features))) + "), x -> x is not null)"
+    own = rows.select(F.expr(away).alias("a"))
+    found = own.select(F.explode("a").alias("f"), "a").select("f", F.explode("a").alias("g")).where("f <= g").groupBy("f", "g").agg(F.count("*").alias("n")).collect()
+    n = rows.count()
+    both = {(r["f"], r["g"]): r["n"] for r in found}
+    both |= {(g, f): c for (f, g), c in both.items()}
+    sparse = [f for f in range(len(features)) if both.get((f, f), 0) <= max_share * n]
+    clashes = lambda f, others: sum(both.get((f, g), 0) for g in others if g != f)
+    out: list[list] = []  # [features, conflicts so far]
+    for f in sorted(sparse, key=lambda f: (-clashes(f, sparse), -both.get((f, f), 0), f)):
+        for b in out:
+            if b[1] + clashes(f, b[0]) <= max_conflicts * n:
+                b[1] += clashes(f, b[0])
+                b[0].append(f)
+                break
+        else:
+            out.append([[f], 0])
+    return [sorted(b[0]) for b in out if len(b[0]) > 1]
+
+
+def _with_zeros(sums: DataFrame, names: list[str], zeros: dict[int, float]) -> DataFrame:
+    """Sums (node, f, v, ...) with those of the bins of 0 of the features in zeros: the totals of the node (f = -1) less all
+    other bins of the feature."""
+    at, own = Window.partitionBy("node"), Window.partitionBy("node", "f")
+    total = sums.select("*", *[F.sum(F.when(F.col("f") == -1, F.col(n)).otherwise(0.0)).over(at).alias(f"t_{n}") for n in names]).where("f >= 0")
+    total = total.select("*", *[F.sum(n).over(own).alias(f"o_{n}") for n in names], F.row_number().over(own.orderBy("v")).alias("k"))
+    zero = "case f " + " ".join(f"when {f} then {z}D" for f, z in zeros.items()) + " end"
+    row = "struct(v as v, " + ", ".join(f"{n} as {n}" for n in names) + ")"
+    more = f"struct({zero} as v, " + ", ".join(f"t_{n} - o_{n} as {n}" for n in names) + ")"
+    out = total.select("node", "f", F.explode(F.expr(f"if(k = 1 and f in ({', '.join(map(str, zeros))}), array({row}, {more}), array({row}))")).alias("c"))
+    return out.select("node", "f", "c.v", *[F.col(f"c.{n}").alias(n) for n in names]).where(F.col(names[0]) > 1e-9)
 
 
-def grow(df: DataFrame, features: list[str], stats: dict[str, str], gain: str, valid: str, value, max_depth: int | None, accept: float, splittable=lambda s: True, cuts: list[list[float]] | None = None, columns: list[int] | None = None, max_leaves: int | None = None) -> Tree:
-    """A tree, one job a level for all its nodes; with max_leaves the leaf of the greatest gain is split next, one job a split.
+def grow_all(df: DataFrame, features: list[str], stats: dict[str, str], gain: str, valid: str, value, max_depth: int | None, accept: float, splittable=lambda s: True, cuts: list[list[float]] | None = None, columns: list[int] | None = None, max_leaves: int | None = None, weights: str | None = None, trees: int = 1, bundles: list[list[int]] | None = None) -> list[Tree]:
+    """Trees on the same rows, one job a level for all nodes of all of them; with max_leaves (one tree) the leaf of the
+    greatest gain is split next, one job a split.
 
-    stats: name -> SQL of what is summed; gain and valid: SQL over l_name, r_name, t_name (left, right,
+    stats: name -> SQL of what is summed, with weights of w_, the row's weight in the tree: weights is SQL of an array
+    of them; rows of weight 0 are not in a tree.  gain and valid: SQL over l_name, r_name, t_name (left, right,
     both); value: statistics -> leaf value; a split needs gain > accept.  Of equal gains (to 12 digits)
     the first feature and the least threshold win.  Candidates are the cuts of a feature, of which df has the bins
     (binned()), so at most as many rows a node and feature reach a window; without cuts they are all values.
+    bundles: features of which a row adds one at most to the histograms (exclusive_bundles()).
     """
     names, d = list(stats), columns if columns is not None else list(range(len(features)))
-    point = (lambda f: f"b_{f}") if cuts is not None else (lambda f: f"cast({features[f]} as double)")
-    base = df.select(*features, *([f"b_{f}" for f in d] if cuts is not None else []), *[F.expr(e).alias(n) for n, e in stats.items()]).persist()
-    tree: Tree = {0: {}}
+    coded = [f for f in d if cuts is not None and not isinstance(cuts[f], Values)]
+    held = [f for b in bundles or [] for f in b if f in d]
+    base, root = df, None
+    if weights is not None:
+        base, root = df.select("*", F.posexplode(F.expr(weights)).alias("tree_", "w_")).where("w_ > 0"), "tree_"
+    out: list[Tree] = [{0: {}} for _ in range(trees)]
+    places = Places(trees)
     w = Window.partitionBy("node", "f")
 
     def best(open_: list[int]) -> list:
-        at = compile_tree(tree, features, lambda n: str(n if n in open_ else -1))
-        each = F.explode(F.expr("array(" + ", ".join(f"struct({f} as f, {point(f)} as v)" for f in d) + ")")).alias("c")
-        rows = base.select(F.expr(at).alias("node"), *names, each).where("node >= 0")
-        sums = rows.groupBy("node", "c.f", "c.v").agg(*[F.sum(n).alias(n) for n in names])
-        if cuts is not None:
-            sums = sums.withColumn("v", F.expr("case f " + " ".join(f"when {f} then try_element_at(array({', '.join(map(num, cuts[f])) or 'double(null)'}), v + 1)" for f in d) + " end"))
+        of = np.zeros(len(places.node), bool)
+        of[open_] = True
+        each = F.explode(F.expr(entries(features, d, cuts, bundles))).alias("c")
+        rows = places.found(base, features, root).where(F.lit(of)[F.col("node_")] if not of.all() else F.lit(True))
+        sums = rows.select(F.col("node_").alias("node"), *[F.expr(e).alias(n) for n, e in stats.items()], each)
+        sums = (sums.where("c is not null") if held else sums).groupBy("node", "c.f", "c.v").agg(*[F.sum(n).alias(n) for n in names])
+        sums = _with_zeros(sums, names, {f: _code(features, cuts, f)[1] for f in held}) if held else sums
+        if coded:
+            sums = sums.withColumn("v", F.expr("case f " + " ".join(f"when {f} then try_element_at(array({', '.join(map(num, cuts[f])) or 'double(null)'}), cast(v as int) + 1)" for f in coded) + " else v end"))
         order = w.orderBy(F.col("v").asc_nulls_last())
         upto = order.rowsBetween(Window.unboundedPreceding, 0)
         both = sums.select("node", "f", "v", *[F.sum(n).over(upto).alias(f"l_{n}") for n in names], *[F.sum(n).over(w).alias(f"t_{n}") for n in names], F.lead("f").over(order).alias("more"))
         both = both.where("more is not null and v is not null").select("*", *[F.expr(f"t_{n} - l_{n}").alias(f"r_{n}") for n in names]).where(valid).withColumn("gain", F.expr(f"round({gain}, 12)")).where(F.col("gain") > accept)
-        return both.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "f", "v"))).where("r = 1").collect()
+        first = F.min(F.struct((-F.col("gain")).alias("loss"), "f", "v", "gain", *[f"{k}_{n}" for k in "lrt" for n in names])).alias("s")
+        return sorted((r["s"].asDict() | {"node": r["node"]} for r in both.groupBy("node").agg(first).collect()), key=lambda r: r["node"])
 
     def divide(r) -> list[int]:
-        tree[r["node"]].update(feature=r["f"], threshold=r["v"], gain=r["gain"])
-        out = []
-        for child, side in ((2 * r["node"] + 1, "l"), (2 * r["node"] + 2, "r")):
+        tree, node = places.node[r["node"]]
+        out[tree][node].update(feature=r["f"], threshold=r["v"], gain=r["gain"])
+        more = []
+        for place, child, side in zip(places.split(r["node"], r["f"], r["v"]), (2 * node + 1, 2 * node + 2), "lr"):
             s = {k: float(r[f"{side}_{k}"]) for k in names}
-            tree[child] = {"stats": s, "value": value(s)}
+            out[tree][child] = {"stats": s, "value": value(s)}
             if splittable(s) and (max_depth is None or (child + 1).bit_length() - 1 < max_depth):
-                out.append(child)
-        return out
-
-    # The root's sums come with its split, and by a job of their own only where it has none.
-    found = best([0]) if max_depth != 0 else []
-    total = [found[0][f"t_{n}"] for n in names] if found else base.agg(*[F.sum(n) for n in names]).first()
-    tree[0] = {"stats": dict(zip(names, (float(x or 0) for x in total)))}
-    tree[0]["value"] = value(tree[0]["stats"])
-    open_, offers, leaves = [0] if found and splittable(tree[0]["stats"]) else [], [], 1
-    while open_:
-        found, open_ = found if open_ == [0] else best(open_), []
+                more.append(place)
+        return more
+
+    # The roots' sums come with their splits, and by a job of their own only where one has none.
+    found = best(list(range(trees))) if max_depth != 0 else []
+    totals = {r["node"]: [r[f"t_{n}"] for n in names] for r in found}
+    if len(totals) < trees:
+        rows = base.select((F.lit(0) if root is None else F.expr(root)).alias("node"), *[F.expr(e).alias(n) for n, e in stats.items()])
+        totals |= {r[0]: r[1:] for r in rows.groupBy("node").agg(*[F.sum(n).alias(n) for n in names]).collect()}
+    for t in range(trees):
+        s = dict(zip(names, (float(x or 0) for x in totals.get(t, [0.0] * len(names)))))
+        out[t][0] = {"stats": s, "value": value(s) if any(s.values()) else 0.0}
+    found = [r for r in found if splittable(out[r["node"]][0]["stats"])]
+    offers, leaves = [], 1
+    while found:
+        open_: list[int] = []
         if max_leaves is None:
             for r in found:
                 open_ += divide(r)
-            continue
-        offers = sorted([*offers, *found], key=lambda r: (-r["gain"], r["node"]))
-        while offers and leaves < max_leaves and not open_:
-            open_, leaves = divide(offers.pop(0)), leaves + 1
-        if leaves >= max_leaves:
-            break
-    base.unpersist()
-    return tree
+        else:
+            offers = sorted([*offers, *found], key=lambda r: (-r["gain"], places.node[r["node"]][1]))
+            while offers and leaves < max_leaves and not open_:
+                open_, leaves = divide(offers.pop(0)), leaves + 1
+            if leaves >= max_leaves:
+                break
+        found = best(open_) if open_ else []
+    return out
 
 
 def depth_of(tree: Tree, node: int = 0) -> int:
@@ -159,14 +334,22 @@ class DecisionTree:
     criterion: str = "gini"
     task: str = "classification"
     max_bins: int | None = 256  # None: all values are candidates, and those of a feature and node meet in one task
+    exact_values: int = EXACT_VALUES
     classes: list | None = None
     tree: Tree | None = None
 
-    def fit(self, df: DataFrame, weight: str = "1D", cuts: list[list[float]] | None = None) -> DecisionTree:
-        """With cuts, df has the bins of the features already."""
+    def fit(self, df: DataFrame) -> DecisionTree:
+        rows, cuts, kept = prepared(df.select(*self.features, self.label), self.features, self.max_bins, self.exact_values)
+        self.tree = self._all(rows, cuts)[0]
+        for x in kept:
+            x.unpersist()
+        return self
+
+    def _all(self, rows: DataFrame, cuts: list[list[float]] | None, weights: str | None = None, trees: int = 1) -> list[Tree]:
+        """Trees of rows that the caller keeps, with the weights of each row."""
         if self.task not in ("classification", "regression") or self.criterion not in ("gini", "entropy", "mse"):
             raise ValueError("unknown task or criterion")
-        rows = complete(df, self.features)
+        weight = "1D" if weights is None else "w_"
         stats = {"n": weight}
         if self.task == "classification":
             self.classes = self.classes or [r[0] for r in rows.select(self.label).distinct().orderBy(self.label).collect()]
@@ -175,15 +358,11 @@ class DecisionTree:
             mixed = lambda s: sum(s[f"c{i}"] > 0 for i in range(len(self.classes))) > 1
         else:
             stats |= {"s": f"{weight} * {self.label}", "s2": f"{weight} * {self.label} * {self.label}"}
-            kind, value = "mse", lambda s: s["s"] / s["n"]
+            kind, value = "mse", lambda s: s["s"] / s["n"] if s["n"] else 0.0
             mixed = lambda s: s["s2"] / s["n"] - (s["s"] / s["n"]) ** 2 > 1e-12
         i = {k: _impurity(kind, k, len(self.classes or [])) for k in "tlr"}
         gain = f"{i['t']} - l_n / t_n * {i['l']} - r_n / t_n * {i['r']}"
-        if cuts is None and self.max_bins:
-            cuts = cut_points(rows, self.features, self.max_bins)
-            rows = binned(dealt(rows), self.features, cuts)
-        self.tree = grow(rows, self.features, stats, gain, f"l_n >= {self.min_samples_leaf} and r_n >= {self.min_samples_leaf}", value, self.max_depth, -1, lambda s: s["n"] >= self.min_samples_split and mixed(s), cuts)
-        return self
+        return grow_all(rows, self.features, stats, gain, f"l_n >= {self.min_samples_leaf} and r_n >= {self.min_samples_leaf}", value, self.max_depth, -1, lambda s: s["n"] >= self.min_samples_split and mixed(s), cuts, weights=weights, trees=trees)
 
     def leaf_expr(self) -> str:
         return compile_tree(self.tree, self.features, (lambda n: repr(self.classes[self.tree[n]["value"]])) if self.classes else None)
@@ -220,16 +399,16 @@ class RandomForest:
     trees: list[DecisionTree] = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> RandomForest:
-        rows, self.trees = complete(df, self.features).select(self.key, *self.features, self.label), []
-        cuts = cut_points(rows, self.features, self.max_bins) if self.max_bins else None
-        rows = binned(dealt(rows), self.features, cuts).persist()
+        """All trees together, a job a level: a row goes to the trees in which its weight is not 0."""
+        weight = lambda u: "case " + " ".join(f"when {u} < {num(c)} then {k}D" for k, c in enumerate(np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)]))) + " else 6D end"
+        draws = ", ".join(weight(draw(self.key, f"{self.seed}:{t}")) if self.bootstrap else "1D" for t in range(self.n_estimators))
+        rows = df.select(*self.features, self.label, F.expr(f"array({draws})").alias("weights_"))
+        rows, cuts, kept = prepared(rows, self.features, self.max_bins)
         classes = [r[0] for r in rows.select(self.label).distinct().orderBy(self.label).collect()] if self.task == "classification" else None
-        for t in range(self.n_estimators):
-            u = draw(self.key, f"{self.seed}:{t}")
-            weight = "case " + " ".join(f"when {u} < {num(c)} then {k}D" for k, c in enumerate(np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)]))) + " else 6D end" if self.bootstrap else "1D"
-            own = rows.withColumn("w_", F.expr(weight)).where("w_ > 0")
-            self.trees.append(DecisionTree(self.features, self.label, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.criterion, self.task, self.max_bins, classes).fit(own, "w_", cuts))
-        rows.unpersist()
+        own = lambda tree=None: DecisionTree(self.features, self.label, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.criterion, self.task, self.max_bins, classes=classes, tree=tree)
+        self.trees = [own(t) for t in own()._all(rows, cuts, "weights_", self.n_estimators)]
+        for x in kept:
+            x.unpersist()
         return self
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
@@ -268,9 +447,8 @@ class AdaBoost:
         rows = complete(df, [*self.features, self.label]).select(*self.features, self.label)
         if metrics.first(rows.agg(F.count_if(~F.col(self.label).isin(-1, 1)))):
             raise ValueError("labels must be -1 or 1")
-        cuts = cut_points(rows, self.features, self.max_bins) if self.max_bins else None
-        start = binned(dealt(rows), self.features, cuts).withColumn("w_", F.lit(1.0)).persist()
-        rows, self.stumps = start, []
+        rows, cuts, kept = prepared(rows, self.features, self.max_bins)
+        rows, self.stumps = rows.withColumn("w_", F.lit(1.0)), []
         for k in range(self.n_estimators):
             total = metrics.first(rows.agg(F.sum("w_")))
             w = f"w_ / {num(total)}"
@@ -288,7 +466,8 @@ class AdaBoost:
             rows = rows.withColumn("w_", F.expr(f"{w} * case when ({self._vote(self.stumps[-1])}) <> {self.label} then {num(np.exp(alpha))} else 1D end"))
             if k % 5 == 4:
                 rows = written(rows)
-        start.unpersist()
+        for x in kept:
+            x.unpersist()
         return self
 
     def _margin(self, n: int | None = None) -> str:
@@ -337,11 +516,14 @@ class Boosting:
     bagging_freq: int = 1
     colsample: float = 1.0
     max_bins: int | None = 256
+    random_strength: float = 0.0  # oblivious style: noise of split scores
+    bundle: bool = False  # histogram style: features that exclude each other share a histogram entry
     num_leaves: int | None = None  # histogram style: the leaf of the greatest gain is split next, up to so many leaves
     seed: int = 0
     base: float = 0.0
     trees: list[Tree] = field(default_factory=list)
     history: list[float] = field(default_factory=list)
+    bundles: list[list[int]] | None = None
 
     @classmethod
     def xgboost(cls, features, **kw) -> Boosting:
@@ -380,33 +562,41 @@ class Boosting:
         g, h = self._gradients()
         stats = {"n": "1D", "g": g, "h": h}
         if self.style == "oblivious":
-            return self._oblivious(rows, stats, cuts)
+            return self._oblivious(rows, stats, cuts, len(self.trees))
         if self.style == "gradient":
             gain = "(pow(l_g, 2) / l_n + pow(r_g, 2) / r_n - pow(t_g, 2) / t_n) / t_n"
         else:
             soft = lambda s: f"pow(greatest(abs({s}_g) - {num(self.reg_alpha)}, 0D), 2) / ({s}_h + {num(self.reg_lambda)} + 1e-10D)"
             gain = f"0.5D * ({soft('l')} + {soft('r')} - {soft('t')}) - {num(self.gamma)}"
         valid = f"l_n >= {self.min_samples_leaf} and r_n >= {self.min_samples_leaf} and l_h >= {num(self.min_child_weight)} and r_h >= {num(self.min_child_weight)}"
-        return grow(rows, self.features, stats, gain, valid, self._leaf, self.max_depth, 1e-12, lambda s: s["n"] >= self.min_samples_split, cuts, columns, self.num_leaves)
+        return grow(rows, self.features, stats, gain, valid, self._leaf, self.max_depth, 1e-12, lambda s: s["n"] >= self.min_samples_split, cuts, columns, self.num_leaves, self.bundles)
 
-    def _oblivious(self, rows: DataFrame, stats: dict[str, str], cuts) -> Tree:
-        """Sums by leaf, feature and bin come to the driver: at most 2^depth * features * bins numbers."""
+    def _oblivious(self, rows: DataFrame, stats: dict[str, str], cuts, t: int = 0) -> Tree:
+        """Sums by leaf, feature and bin come to the driver: at most 2^depth * features * bins numbers.
+
+        With random_strength, the score of a split gets normal noise of that many parts of the root of the mean squared
+        gradient, less from tree to tree.
+        """
+        rng, noise = np.random.default_rng([self.seed, t]), 0.0
+        if self.random_strength:
+            noise = self.random_strength * float(metrics.first(rows.agg(F.expr(f"sqrt(avg(pow({stats['g']}, 2)))"))) or 0.0) * np.exp(-self.learning_rate * t)
         tree: Tree = {0: {"stats": {}, "value": 0.0}}
         leaves = [0]
         for _ in range(self.max_depth):
             at = compile_tree(tree, self.features, str)
-            bins = ", ".join(f"struct({f} as f, b_{f} as b)" for f in range(len(self.features)))
+            bins = ", ".join(f"struct({f} as f, cast({self.features[f] if isinstance(cuts[f], Values) else f'b_{f}'} as double) as b)" for f in range(len(self.features)))
             sums = rows.select(F.expr(at).alias("leaf"), *[F.expr(e).alias(k) for k, e in stats.items()], F.explode(F.expr(f"array({bins})")).alias("c")).groupBy("leaf", "c.f", "c.b").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect()
             best = (1e-12, None)
             for f in range(len(self.features)):
                 grid = np.zeros((2, len(leaves), len(cuts[f]) + 1))
                 for r in sums:
                     if r["f"] == f:
-                        grid[:, leaves.index(r["leaf"]), r["b"]] += r["n"], r["g"]
+                        grid[:, leaves.index(r["leaf"]), int(np.searchsorted(cuts[f], r["b"]) if isinstance(cuts[f], Values) else r["b"])] += r["n"], r["g"]
                 left = grid.cumsum(2)[:, :, :-1]
                 right = grid.sum(2, keepdims=True) - left
                 score = lambda x: np.divide(x[1] ** 2, x[0] + self.reg_lambda, out=np.zeros_like(x[1]), where=x[0] + self.reg_lambda > 0)
                 gains = (score(left) + score(right) - score(grid.sum(2, keepdims=True))).sum(0)
+                gains = gains + noise * rng.standard_normal(len(gains)) if noise else gains
                 if len(gains) and round(gains.max(), 12) > best[0]:
                     best = (round(float(gains.max()), 12), (f, cuts[f][int(gains.argmax())]))
             if best[1] is None:
@@ -421,29 +611,51 @@ class Boosting:
         return tree
 
     def fit(self, df: DataFrame, evaluation: DataFrame | None = None, early_stopping_rounds: int | None = None) -> Boosting:
-        rows = complete(df, [*self.features, self.label]).select(self.key, *self.features, self.label)
-        mean = metrics.first(rows.agg(F.avg(self.label)))
+        also = {"mean": F.avg(self.label)}
+        rows, cuts, kept = prepared(df.select(self.key, *self.features, self.label), self.features, self.max_bins, also=also, checked=[*self.features, self.label])
+        mean = also["mean"]
         clipped = min(max(mean, 1e-15), 1 - 1e-15)
         self.base = float(np.log(clipped / (1 - clipped)) if self.objective == "logistic" else mean)
-        cuts = cut_points(rows, self.features, self.max_bins) if self.max_bins else None
-        rows = binned(dealt(rows), self.features, cuts).withColumn("m_", F.lit(self.base)).persist()
-        held = evaluation.withColumn("m_", F.lit(self.base)) if evaluation is not None else None
-        self.trees, self.history, best, older = [], [], (float("inf"), 0), rows.limit(0)
-        for t in range(self.n_estimators):
+        self.trees, self.history = [], []
+        return self._boost(rows.withColumn("m_", F.lit(self.base)), cuts, kept, self.n_estimators, evaluation, early_stopping_rounds)
+
+    def update(self, df: DataFrame, n_trees: int = 10) -> Boosting:
+        """Adds trees that are fitted on new rows, from the margins that the model has for them; its own trees stay."""
+        rows, cuts, kept = prepared(df.select(self.key, *self.features, self.label), self.features, self.max_bins, checked=[*self.features, self.label])
+        return self._boost(self._margins(rows), cuts, kept, n_trees)
+
+    def _margins(self, rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("m_", F.lit(self.base))
+        for tree in self.trees:
+            rows = stepped(rows, tree, self.features, "m_", self.learning_rate)
+        return rows
+
+    def _boost(self, rows: DataFrame, cuts, kept: list[DataFrame], n_trees: int, evaluation: DataFrame | None = None, early_stopping_rounds: int | None = None) -> Boosting:
+        """Adds trees to rows with margins m_; kept is let go at the end."""
+        if self.bundle:
+            self.bundles = exclusive_bundles(rows, self.features, cuts)
+        held = self._margins(evaluation) if evaluation is not None else None
+        best, older, first = (float("inf"), 0), rows.limit(0), len(self.trees)
+        if first:
+            rows = rows.persist()
+        for t in range(first, first + n_trees):
             own = rows
             if self.subsample < 1 and t % self.bagging_freq == 0:
-                own = rows.where(F.expr(f"{draw(self.key, f'{self.seed}:{t}')} < {self.subsample}D"))
+                own = rows.where(F.expr(f"{draw(self.key, f'{self.seed}:{t}')} < {self.subsample}D")).persist()
             rng = np.random.default_rng(self.seed + t)
             columns = None if self.colsample >= 1 else sorted(rng.choice(len(self.features), max(1, int(self.colsample * len(self.features))), replace=False).tolist())
             tree = self._tree(own, cuts, columns)
             self.trees.append(tree)
-            step = F.expr(f"m_ + {num(self.learning_rate)} * ({compile_tree(tree, self.features)})")
+            if own is not rows:
+                own.unpersist()
+            if t == first + n_trees - 1 and held is None:
+                break
             # The next tree fills the new rows from the last ones, which are let go one tree later.
             older.unpersist()
-            older, rows = rows, rows.withColumn("m_", step)
+            older, rows = rows, stepped(rows, tree, self.features, "m_", self.learning_rate)
             rows = written(rows) if t % 5 == 4 else rows.persist()
             if held is not None:
-                held = held.withColumn("m_", step)
+                held = stepped(held, tree, self.features, "m_", self.learning_rate)
                 held = written(held) if t % 5 == 4 else held
                 self.history.append(metrics.first(held.agg(F.expr(self._loss()))))
                 if self.history[-1] < best[0]:
@@ -451,8 +663,8 @@ class Boosting:
                 elif early_stopping_rounds and t - best[1] >= early_stopping_rounds:
                     self.trees = self.trees[: best[1] + 1]
                     break
-        for kept in (older, rows):
-            kept.unpersist()
+        for x in (older, rows, *kept):
+            x.unpersist()
         return self
 
     def margin(self, n: int | None = None) -> str:
@@ -524,17 +736,36 @@ class LambdaRank:
         return found.select(F.expr("stack(2, u, -g, v, g) as (k_, g)")).groupBy("k_").agg(F.sum("g").alias("g_"))
 
     def fit(self, df: DataFrame) -> LambdaRank:
-        rows = complete(df, [*self.features, self.relevance]).select(self.query, self.key, self.relevance, *self.features)
-        self.base = float(metrics.first(rows.agg(F.avg(self.relevance))))
-        cuts, self.trees = cut_points(rows, self.features, self.max_bins) if self.max_bins else None, []
-        rows = written(binned(dealt(rows), self.features, cuts).withColumn("m_", F.lit(self.base)))
-        for t in range(self.n_estimators):
-            own = rows.join(self.lambdas(rows), F.col(self.key) == F.col("k_"), "left").withColumn("g_", F.coalesce("g_", F.lit(0.0))).where(F.expr(f"{draw(self.key, f'{self.seed}:{t}')} < {self.subsample}D"))
-            tree = grow(own, self.features, {"n": "1D", "g": "g_"}, "(pow(l_g, 2) / l_n + pow(r_g, 2) / r_n - pow(t_g, 2) / t_n) / t_n", "l_n >= 2 and r_n >= 2", lambda s: -s["g"] / s["n"], self.max_depth, -1, lambda s: s["n"] >= self.min_samples_split, cuts)
-            self.trees.append(tree)
-            rows = written(rows.withColumn("m_", F.expr(f"m_ + {num(self.learning_rate)} * ({compile_tree(tree, self.features)})")))
+        also = {"mean": F.avg(self.relevance)}
+        rows, cuts, kept = prepared(df.select(self.query, self.key, self.relevance, *self.features), self.features, self.max_bins, also=also, checked=[*self.features, self.relevance])
+        self.base, self.trees = float(also["mean"]), []
+        return self._boost(rows.withColumn("m_", F.lit(self.base)), cuts, kept, self.n_estimators)
+
+    def update(self, df: DataFrame, n_trees: int = 10) -> LambdaRank:
+        """Adds trees that are fitted on new queries, from the scores that the model has for them; its own trees stay."""
+        rows, cuts, kept = prepared(df.select(self.query, self.key, self.relevance, *self.features), self.features, self.max_bins, checked=[*self.features, self.relevance])
+        rows = rows.withColumn("m_", F.lit(self.base))
+        for tree in self.trees:
+            rows = stepped(rows, tree, self.features, "m_", self.learning_rate)
+        return self._boost(rows, cuts, kept, n_trees)
+
+    def _boost(self, rows: DataFrame, cuts: list[list[float]] | None, kept: list[DataFrame], n_trees: int) -> LambdaRank:
+        rows = written(rows)
+        for x in kept:
+            x.unpersist()
+        for _ in range(n_trees):
+            self.trees.append(self._tree(rows, cuts, len(self.trees)))
+            last, rows = rows, written(stepped(rows, self.trees[-1], self.features, "m_", self.learning_rate))
+            removed(last)
+        removed(rows)
         return self
 
+    def _tree(self, rows: DataFrame, cuts: list[list[float]] | None, t: int) -> Tree:
+        own = rows.join(self.lambdas(rows), F.col(self.key) == F.col("k_"), "left").withColumn("g_", F.coalesce("g_", F.lit(0.0))).where(F.expr(f"{draw(self.key, f'{self.seed}:{t}')} < {self.subsample}D")).persist()
+        tree = grow(own, self.features, {"n": "1D", "g": "g_"}, "(pow(l_g, 2) / l_n + pow(r_g, 2) / r_n - pow(t_g, 2) / t_n) / t_n", "l_n >= 2 and r_n >= 2", lambda s: -s["g"] / s["n"] if s["n"] else 0.0, self.max_depth, -1, lambda s: s["n"] >= self.min_samples_split, cuts)
+        own.unpersist()
+        return tree
+
     def predict(self, df: DataFrame) -> DataFrame:
         return df.withColumn("score", F.expr(" + ".join([num(self.base), *(f"{num(self.learning_rate)} * ({compile_tree(t, self.features)})" for t in self.trees)])))
 

@@ -9,20 +9,21 @@ from .lines import LINES
 FEATURES = ("q", "d", "t")
 
 
-def cuts_sql(bins: int) -> list[str]:
-    """CTEs: k, the thresholds of each feature; x, the rows with the threshold that each value falls under (null: none)."""
+def cuts_sql(bins: int, features: tuple[str, ...] = FEATURES, source: str = "l", p: str = "") -> list[str]:
+    """CTEs, their names after p: k, the thresholds of each feature; x, the rows with the threshold that each value falls under
+    (null: none)."""
     share = ", ".join(str(i / bins) for i in range(1, bins))
-    values = " union all ".join(f"select {i} as f, {c} as v from l" for i, c in enumerate(FEATURES))
+    values = " union all ".join(f"select {i} as f, {c} as v from {source}" for i, c in enumerate(features))
     return [
-        f"lv as materialized ({values})",
-        "ls as (select f, max(v) as top, count(distinct v) as n from lv group by f)",
-        f"k as materialized (select distinct f, v from (select f, unnest(quantile_cont(v, [{share}])) as v from lv where f in (select f from ls where n - 1 > {bins}) group by f union all select f, v from lv where f in (select f from ls where n - 1 <= {bins})) join ls using (f) where v < top)",
-        "kb as materialized (select f, v, (select min(k.v) from k where k.f = d.f and k.v >= d.v) as b from (select distinct f, v from lv) d)",
-        "x as materialized (select l.*, " + ", ".join(f"k{i}.b as b{i}" for i in range(len(FEATURES))) + " from l " + " ".join(f"join kb k{i} on k{i}.f = {i} and k{i}.v = l.{c}" for i, c in enumerate(FEATURES)) + ")",
+        f"{p}lv as materialized ({values})",
+        f"{p}ls as (select f, max(v) as top, count(distinct v) as n from {p}lv group by f)",
+        f"{p}k as materialized (select distinct f, v from (select f, unnest(quantile_cont(v, [{share}])) as v from {p}lv where f in (select f from {p}ls where n - 1 > {bins}) group by f union all select f, v from {p}lv where f in (select f from {p}ls where n - 1 <= {bins})) join {p}ls using (f) where v < top)",
+        f"{p}kb as materialized (select f, v, (select min(k.v) from {p}k k where k.f = d.f and k.v >= d.v) as b from (select distinct f, v from {p}lv) d)",
+        f"{p}x as materialized (select {source}.*, " + ", ".join(f"k{i}.b as b{i}" for i in range(len(features))) + f" from {source} " + " ".join(f"join {p}kb k{i} on k{i}.f = {i} and k{i}.v = {source}.{c}" for i, c in enumerate(features)) + ")",
     ]
 
 
-def grow_sql(name: str, source: str, stats: list[str], gain: str, valid: str, depth: int, accept: str, open_: str = "true") -> list[str]:
+def grow_sql(name: str, source: str, stats: list[str], gain: str, valid: str, depth: int, accept: str, open_: str = "true", width: int = len(FEATURES)) -> list[str]:
     """CTEs that end in {name}_{depth}: source (id, b0..., and the statistics) with the node of each row.
 
     gain, valid: over l_stat, r_stat, t_stat; open_: over t_stat, whether a node may be split.
@@ -30,13 +31,13 @@ def grow_sql(name: str, source: str, stats: list[str], gain: str, valid: str, de
     out = [f"{name}_0 as materialized (select *, 0 as node from {source})"]
     for k in range(depth):
         p = f"{name}_{k}"
-        each = " union all ".join(f"select node, {i} as f, b{i} as v, {', '.join(stats)} from {p} where node >= {2**k - 1}" for i in range(len(FEATURES)))
+        each = " union all ".join(f"select node, {i} as f, b{i} as v, {', '.join(stats)} from {p} where node >= {2**k - 1}" for i in range(width))
         out += [
             f"{p}s as (select node, f, v, {', '.join(f'sum({s}) as {s}' for s in stats)} from ({each}) group by node, f, v)",
             f"{p}w as (select node, f, v, {', '.join(f'sum({s}) over a as l_{s}, sum({s}) over b as t_{s}' for s in stats)}, lead(f) over o as more from {p}s window o as (partition by node, f order by v nulls last), a as (partition by node, f order by v nulls last rows unbounded preceding), b as (partition by node, f))",
             f"{p}g as (select * from (select node, f, v, round({gain}, 12) as gain from (select *, {', '.join(f't_{s} - l_{s} as r_{s}' for s in stats)} from {p}w where more is not null and v is not null) where {valid} and {open_}) where gain > {accept})",
             f"{p}b as materialized (select node, f, v from {p}g qualify row_number() over (partition by node order by gain desc, f, v) = 1)",
-            f"{name}_{k + 1} as materialized (select {p}.* exclude (node), case when c.node is null then {p}.node when case c.f " + " ".join(f"when {i} then b{i}" for i in range(len(FEATURES))) + f" end <= c.v then 2 * {p}.node + 1 else 2 * {p}.node + 2 end as node from {p} left join {p}b c on c.node = {p}.node)",
+            f"{name}_{k + 1} as materialized (select {p}.* exclude (node), case when c.node is null then {p}.node when case c.f " + " ".join(f"when {i} then b{i}" for i in range(width)) + f" end <= c.v then 2 * {p}.node + 1 else 2 * {p}.node + 2 end as node from {p} left join {p}b c on c.node = {p}.node)",
         ]
     return out
 
@@ -71,6 +72,37 @@ def oblivious_sql(label: str, bins: int, rounds: int, depth: int, rate: float, r
     return ", ".join(out) + f" select flag, round(avg(m), 4) as prediction, count(*) as n from m{rounds} group by flag"
 
 
+def ordered_sql(label: str, bins: int, rounds: int, depth: int, rate: float, ridge: float, prior: float) -> str:
+    """Rounds of ordered boosting with a category; of each block the mean margin of its own model, and of the model of all rows."""
+    features = (*FEATURES, "s")
+    score = lambda s: f"case when {s}n > 0 then {s}g * {s}g / ({s}n + {ridge}) else 0 end"
+    out = [
+        f"with {LINES}",
+        f"p as (select *, row_number() over (order by {draw_sql('id', '0')}, id, {label}, q, d, t, status) - 1 as place from l)",
+        f"o as materialized (select *, case when place = 0 then 0 else length(bin(place)) end as block, (coalesce(sum({label}) over w, 0) + {prior}::double) / (count(*) over w + 1) as s from p window w as (partition by status order by place rows between unbounded preceding and 1 preceding))",
+        *cuts_sql(bins, features, "o"),
+        "top as (select max(block) + 1 as k from o)",
+        f"n as (select r.k, (select coalesce(sum({label}), 0) from o where block < r.k) as t, (select count(*) from o where block < r.k) as n from (select unnest(range(0, (select k + 1 from top))) as k) r)",
+        "e0 as materialized (select place, block, n.k, case when n.n = 0 then 0 else ln((n.t + 0.5) / (n.n + 1) / (1 - (n.t + 0.5) / (n.n + 1))) end as m from o join n on n.k >= block)",
+    ]
+    for r in range(rounds):
+        out.append(f"t{r}_0 as materialized (select x.place, x.block, {', '.join(f'b{i}' for i in range(len(features)))}, {label} as y, 1 / (1 + exp(-m)) - {label} as g, 0 as node from x join e{r} e on e.place = x.place and e.k = x.block)")
+        for j in range(depth):
+            p = f"t{r}_{j}"
+            each = " union all ".join(f"select node, {i} as f, b{i} as b, g from {p}" for i in range(len(features)))
+            out += [
+                f"{p}e as (select node, f, b, count(*) as n, sum(g) as g from ({each}) group by node, f, b)",
+                f"{p}a as (select e.node, e.f, k.v, sum(case when b <= k.v then n else 0 end) as ln, sum(case when b <= k.v then g else 0 end) as lg, sum(n) as tn, sum(g) as tg from {p}e e join k using (f) group by e.node, e.f, k.v)",
+                f"{p}b as materialized (select f, v from (select f, v, sum({score('l')} + {score('r')} - {score('t')}) as gain from (select *, tn - ln as rn, tg - lg as rg from {p}a) group by f, v) order by round(gain, 9) desc, f, v limit 1)",
+                f"t{r}_{j + 1} as materialized (select {p}.* exclude (node), case when case c.f " + " ".join(f"when {i} then b{i}" for i in range(len(features))) + f" end <= c.v then 2 * {p}.node + 1 else 2 * {p}.node + 2 end as node from {p}, {p}b c)",
+            ]
+        out += [
+            f"v{r} as (select node, k, -{rate} * sum(1 / (1 + exp(-m)) - y) / (count(*) + {ridge}) as v from t{r}_{depth} t join e{r} e using (place) where e.k > e.block group by node, k)",
+            f"e{r + 1} as materialized (select e.place, e.block, e.k, e.m + coalesce(v.v, 0) as m from e{r} e join t{r}_{depth} t using (place) left join v{r} v on v.node = t.node and v.k = e.k)",
+        ]
+    return ", ".join(out) + f" select block, count(*) as n, round(avg(m) filter (where e.k = block), 5) as margin, round(avg(m) filter (where e.k = top.k), 5) as last_margin from (select * from e{rounds} e where e.k = block or e.k = (select k from top)) e, top group by block".replace("count(*)", "count(*) filter (where e.k = block)")
+
+
 def draw_sql(key: str, seed: str) -> str:
     return f"(cast('0x' || substr(md5('{seed}:' || {key}), 1, 8) as bigint) / 4294967296.0)"
 
