@@ -53,7 +53,7 @@ class SingleLinkage:
     The edges of a minimum spanning tree, by distance, are the merges of single linkage.  Each round (Boruvka's) gives every
     component its least edge to another one, equal distances by the numbers of their points: blocks of points meet
     blocks of points, a task each, which keep an edge a component.  Components then hook on along their edges, and
-    pointers are doubled until each knows its root: joins of tables that at least halve from round to round.  Pairs of
+    pointers are prolonged until each knows its root: joins of tables that at least halve from round to round.  Pairs of
     points are never kept, and nothing but counts comes to the driver.
 
     Keys are whole numbers, unique and not null; a null or NaN feature is an error; points of equal features are merged
@@ -74,21 +74,20 @@ class SingleLinkage:
         spark, n = df.sparkSession, self.points.count()
         parts = max(1, -(-n // self.block))
         label = written(self.points.select("i", F.col("i").alias("component")))
-        found, tables, held = 0, [], F.pmod(F.xxhash64("i", F.lit(11)), F.lit(parts)).cast("int")
-        while found < n - 1:
+        left, tables, held = n, [], F.pmod(F.xxhash64("i", F.lit(11)), F.lit(parts)).cast("int")
+        while left > 1:
             rows = self.points.join(label, "i").withColumn("p", held).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
             rows = rows.select("i", "x", "component", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), (F.col("p") <= F.col("q")).alias("left"), (F.col("p") >= F.col("q")).alias("right"))
             each = rows.groupBy("a", "b").applyInPandas(_crossing(self.distance_metric), "component long, d double, lo long, hi long, other long")
-            best = written(each.groupBy("component").agg(F.min(F.struct("d", "lo", "hi", "other")).alias("e")).select("component", "e.*"))
-            tables.append(written(best.select("lo", "hi", "d").distinct()))
-            found += tables[-1].count()
-            root = self._hooked(best)
+            tables.append(written(each.groupBy("component").agg(F.min(F.struct("d", "lo", "hi", "other")).alias("e")).select("component", "e.*")))
+            root = self._hooked(tables[-1])
             old, label = label, written(label.join(root, "component").select("i", F.col("root").alias("component")))
-            removed(old, best, root)
-        edges = tables[0] if tables else spark.createDataFrame([], "lo long, hi long, d double")
-        for t in tables[1:]:
-            edges = edges.unionByName(t)
-        self.edges = written(edges)
+            left = root.where("component = root").count()
+            removed(old, root)
+        edges = spark.createDataFrame([], "lo long, hi long, d double")
+        for t in tables:
+            edges = edges.unionByName(t.select("lo", "hi", "d"))
+        self.edges = written(edges.distinct())
         removed(label, *tables)
         return self
 
@@ -100,8 +99,9 @@ class SingleLinkage:
         up = up.select("component", F.when((F.col("o_") == F.col("component")) & (F.col("component") < F.col("other")), F.col("component")).otherwise(F.col("other")).alias("root"))
         up = written(up)
         while True:
-            over = up.select(F.col("component").alias("c_"), F.col("root").alias("r_"))
-            nxt = written(up.join(over, F.col("root") == F.col("c_")).select("component", F.col("r_").alias("root"), (F.col("root") != F.col("r_")).alias("moved")))
+            first, second = (up.select(F.col("component").alias(f"c{k}"), F.col("root").alias(f"r{k}")) for k in (1, 2))
+            nxt = up.join(first, F.col("root") == F.col("c1")).join(second, F.col("r1") == F.col("c2"))
+            nxt = written(nxt.select("component", F.col("r2").alias("root"), (F.col("root") != F.col("r2")).alias("moved")))
             removed(up)
             up = nxt
             if not up.where("moved").limit(1).count():
