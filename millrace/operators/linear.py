@@ -213,10 +213,12 @@ class AdditiveForecast:
     weekly_fourier_order: int = 3
     changepoint_range: float = 0.8
     cap: float | None = None  # logistic growth towards cap: the sum of the terms is fitted to ln(y / (cap - y))
+    refine: int = 0  # of logistic growth: steps of damped Gauss-Newton on the squared errors of y itself, from that fit
     start: dt.date | None = None
     last: dt.date | None = None
     changepoints: np.ndarray | None = None
     weights: np.ndarray | None = None
+    losses: list[float] = field(default_factory=list)  # squared errors of y: at the start and after each step
 
     def _terms(self) -> list[tuple[str, str]]:
         out = [("trend", "t_"), *(("trend", f"greatest(0D, t_ - {num(s)})") for s in self.changepoints)]
@@ -230,7 +232,7 @@ class AdditiveForecast:
     def fit(self, df: DataFrame) -> AdditiveForecast:
         """df: ds (date or 'yyyy-MM-dd'), y.  The start is the first date; change points lie evenly over the first dates."""
         self.start, self.last = df.agg(F.min(F.to_date("ds")), F.max(F.to_date("ds"))).first()
-        rows = self._time(df)
+        rows = every = self._time(df)
         if self.cap is not None:
             rows = rows.where(F.col("y").between(0, self.cap) & (F.col("y") > 0) & (F.col("y") < self.cap)).withColumn("y", F.log(F.col("y") / (F.lit(float(self.cap)) - F.col("y"))))
         top = metrics.first(rows.agg(F.max("t_"))) * self.changepoint_range
@@ -242,8 +244,37 @@ class AdditiveForecast:
         scale = np.sqrt(np.maximum(np.diag(s)[:k], 1e-12))
         beta = np.linalg.lstsq(s[:k, :k] / np.outer(scale, scale), s[:k, k] / scale, rcond=1e-10)[0] / scale
         self.weights = np.append(mean[k] - mean[:k] @ beta, beta)
+        if self.cap is not None and self.refine:
+            self._refined(every.where(F.col("y").isNotNull()).select("y", *[F.expr(e).alias(f"x_{i}") for i, (_, e) in enumerate(terms)]))
         return self
 
+    def _refined(self, design: DataFrame) -> None:
+        """Levenberg's and Marquardt's steps: all rows give the sums of squares of the Jacobian, one job a step; a step that
+        does not lower the errors is taken back and the damping raised."""
+        k = len(self.weights)
+        design = design.persist()
+
+        def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            p = sigmoid("(" + dot([f"x_{i}" for i in range(k - 1)], w[1:], w[0]) + ")")
+            rows = design.withColumn("p_", F.expr(p)).withColumn("s_", F.expr(f"{num(self.cap)} * p_ * (1 - p_)"))
+            rows = rows.select(F.col("s_").alias("j_0"), *[F.expr(f"s_ * x_{i}").alias(f"j_{i + 1}") for i in range(k - 1)], F.expr(f"y - {num(self.cap)} * p_").alias("r_"))
+            n, mean, s = moments(rows, [*(f"j_{i}" for i in range(k)), "r_"])
+            s = s + n * np.outer(mean, mean)
+            return float(s[k, k]), s[:k, :k], s[:k, k]
+
+        loss, square, slope = at(self.weights)
+        self.losses, damping = [loss], 1e-3
+        for _ in range(self.refine):
+            scale = np.sqrt(np.maximum(np.diag(square), 1e-300))
+            step = np.linalg.lstsq(square / np.outer(scale, scale) + damping * np.eye(k), slope / scale, rcond=1e-14)[0] / scale
+            tried = at(self.weights + step)
+            if tried[0] < loss:
+                (loss, square, slope), self.weights, damping = tried, self.weights + step, damping / 10
+            else:
+                damping *= 10
+            self.losses.append(loss)
+        design.unpersist()
+
     def get_components(self, df: DataFrame) -> DataFrame:
         terms, parts = self._terms(), {"trend": [num(self.weights[0])], "yearly": ["0D"], "weekly": ["0D"]}
         for (name, e), w in zip(terms, self.weights[1:]):

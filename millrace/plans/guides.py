@@ -170,6 +170,39 @@ def logistic_growth(spark, d):
     return spark.createDataFrame([(round(float(w[1]), 7), round(float(w[0]), 5))], "slope double, intercept double")
 
 
+def _growth_sql(steps: int) -> str:
+    """Damped Gauss-Newton steps for two weights by Cramer's rule, each kept only if it lowers the errors."""
+    sums = lambda w: f"select sum(r * r) as loss, sum(s * s) as a, sum(s * s * t) as b, sum(s * s * t * t) as c, sum(s * r) as u, sum(s * t * r) as v from (select t, y - cap * p as r, cap * p * (1 - p) as s from (select t, y, cap, 1 / (1 + exp(-({w}.w0 + {w}.w1 * t))) as p from t, {w}))"
+    out = [
+        "with o as (select cast(o_orderdate as date) as ds, sum(o_totalprice)::double as y from orders group by 1), c as (select max(y) * 1.5 as cap, min(ds) as first from o)",
+        "t as materialized (select date_diff('day', first, ds)::double as t, y, cap from o, c)",
+        "w0 as materialized (select regr_intercept(z, t) as w0, regr_slope(z, t) as w1, 1e-3 as damp from (select t, ln(y / (cap - y)) as z from t))",
+        f"s0 as materialized ({sums('w0')})",
+    ]
+    for k in range(steps):
+        out += [
+            f"d{k} as (select a * (1 + damp) as p, b as q, c * (1 + damp) as s, u, v, w0, w1, damp from w{k}, s{k})",
+            f"n{k} as materialized (select w0 + (u * s - v * q) / (p * s - q * q) as w0, w1 + (v * p - u * q) / (p * s - q * q) as w1 from d{k})",
+            f"x{k} as materialized ({sums(f'n{k}')})",
+            f"w{k + 1} as materialized (select case when x.loss < s.loss then n.w0 else w.w0 end as w0, case when x.loss < s.loss then n.w1 else w.w1 end as w1, damp * case when x.loss < s.loss then 0.1 else 10 end as damp from w{k} w, n{k} n, x{k} x, s{k} s)",
+            f"s{k + 1} as materialized (select case when x.loss < s.loss then x.loss else s.loss end as loss, " + ", ".join(f"case when x.loss < s.loss then x.{c} else s.{c} end as {c}" for c in "abcuv") + f" from x{k} x, s{k} s)",
+        ]
+    return ", ".join(out) + " " + " union all ".join(f"select {k} as step, round(sqrt(loss / (select count(*) from t)), 3) as rmse, round(w0, 6) as intercept, round(w1, 8) as slope from s{k}, w{k}" for k in (0, steps))
+
+
+@query(_growth_sql(3))
+def logistic_growth_steps(spark, d):
+    """Errors and weights of logistic growth: by its logits, and after three steps on the values themselves."""
+    daily = read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("ds")).agg(F.sum("o_totalprice").cast("double").alias("y"))
+    cap, n = daily.agg(F.max("y") * 1.5, F.count("*")).first()
+    out = []
+    for steps in (0, 3):
+        m = AdditiveForecast(0, yearly_seasonality=False, weekly_seasonality=False, cap=cap, refine=steps).fit(daily)
+        rmse = (m.losses[-1] / n) ** 0.5 if steps else m.rmse(daily)
+        out.append((steps, round(rmse, 3), round(float(m.weights[0]), 6), round(float(m.weights[1]), 8)))
+    return spark.createDataFrame(out, "step int, rmse double, intercept double, slope double")
+
+
 @query(factorization_sql(3))
 def factorization_losses(spark, d):
     """Losses of the first epochs, at a falling rate."""
