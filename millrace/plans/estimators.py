@@ -280,6 +280,13 @@ def tsne(spark, d):
     return Tsne(["balance", "nation"], perplexity=10, n_iter=3).fit_transform(_suppliers(spark, d)).select("id", *[F.round(c, 7).alias(c) for c in ("y_0", "y_1")])
 
 
+@query()
+def tsne_cells(spark, d):
+    """Customers, by a quadtree: three times the rows that the table of pairs takes at sf0.1."""
+    rows = read(spark, d, "customer").selectExpr("c_custkey as id", "c_acctbal / 1000 as balance", "cast(c_nationkey as double) as nation")
+    return Tsne(["balance", "nation"], perplexity=10, n_iter=2, theta=0.5).fit_transform(rows).select("id", *[F.round(c, 7).alias(c) for c in ("y_0", "y_1")])
+
+
 @query()
 def umap(spark, d):
     return Umap(["balance", "nation"], n_neighbors=8, n_epochs=3).fit_transform(_suppliers(spark, d)).select("id", *[F.round(c, 5).alias(c) for c in ("y_0", "y_1")])
