@@ -1,10 +1,12 @@
-"""Single linkage of suppliers by a spanning tree; the SQL grows the tree from one point, a point a step."""
+"""Single linkage of suppliers by a spanning tree (the SQL grows it a point a step), and neighbours of customers by descent."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.descent import neighbour_descent
 from ..operators.spanning import SingleLinkage
+from ..sources.tables import read
 from .estimators import _suppliers
 
 QUERIES: dict = {}
@@ -42,3 +44,12 @@ c as (select a as id, min(b) as least from w group by a) select id::bigint as id
 def single_linkage(spark, d):
     """Eight clusters of suppliers."""
     return SingleLinkage(["balance", "nation"], 8).fit_predict(_suppliers(spark, d)).select(F.col("id").cast("long").alias("id"), "cluster")
+
+
+def descent_neighbours(spark, d):
+    """Each customer's five nearest by descent: how far the nearest and the farthest of them are."""
+    rows = read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("i"), F.expr("array(c_acctbal / 1000, cast(c_nationkey as double))").alias("x"))
+    return neighbour_descent(rows, 5).groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n"), F.round(F.min("d"), 6).alias("nearest"), F.round(F.max("d"), 6).alias("farthest"))
+
+
+QUERIES["descent_neighbours"] = descent_neighbours
