@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("estimators", "preparation", "steps", "guides", "factoring", "boosted", "linkage")
+MODULES: tuple[str, ...] = ("estimators", "preparation", "steps", "guides", "factoring", "boosted", "linkage", "chained")
 
 
 def queries() -> dict:
