@@ -7,10 +7,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
-def layout(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, width: int, stride: int, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with zeros after each text, first window of each chunk, text of each chunk.
+def layout(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, width: int, stride: int, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with zeros after each text, first window of each chunk, the one after its last, text of each chunk.
 
-    A text has (bytes + width - 1) // stride windows or a few more, one at least; each chunk has
+    A text has about bytes / stride windows, one at least, which cover it and see no byte of another; each chunk has
     `chunk` of them, the last fewer, and shares width - stride bytes with the next, so that the chunks
     cover the whole text.
     """
@@ -25,7 +25,12 @@ def layout(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, width: int, s
     text = np.repeat(np.arange(len(sizes)), chunks)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
     first = base[:-1][text] // stride + nth * chunk
-    return out, first, text
+    return out, first, first + np.minimum(chunk, count[text] - nth * chunk), text
+
+
+def spans(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Places for reduceat, whose every second value is that of a chunk: the windows between chunks belong to none."""
+    return np.stack([first, stop], 1).reshape(-1)
 
 
 @dataclass
@@ -54,8 +59,8 @@ class ByteCnn:
 
     def pooled(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maxima of each chunk, text of each chunk."""
-        padded, first, text = layout(starts, ends, data, len(self.filters), self.stride, self.chunk)
-        return np.maximum.reduceat(self._conv(padded), first, axis=0), text
+        padded, first, stop, text = layout(starts, ends, data, len(self.filters), self.stride, self.chunk)
+        return np.maximum.reduceat(self._conv(padded), spans(first, stop), axis=0)[::2], text
 
     def logits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):
@@ -83,9 +88,8 @@ class ByteCnn:
                 pick = order[lo : lo + batch]
                 sizes = np.array([len(texts[i]) for i in pick])
                 ends = np.cumsum(sizes)
-                padded, first, text = layout(ends - sizes, ends, np.frombuffer(b"".join(texts[i] for i in pick), np.uint8), width, s, self.chunk)
+                padded, first, stop, text = layout(ends - sizes, ends, np.frombuffer(b"".join(texts[i] for i in pick), np.uint8), width, s, self.chunk)
                 conv = self._conv(padded)
-                stop = np.append(first[1:], len(conv))
                 where = np.stack([conv[a:b].argmax(axis=0) + a for a, b in zip(first, stop)])
                 most = np.take_along_axis(conv, where, axis=0)
                 act = np.maximum(most + self.bias, 0)
