@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..operators.clustering import GaussianMixture, KMeans, NaiveBayes, NearestNeighbors
-from ..operators.embedding import Autoencoder, MatrixFactorization
+from ..operators.embedding import Autoencoder, IsolationForest, MatrixFactorization
 from ..operators.itemsets import Apriori
 from ..operators.linear import AdditiveForecast, LeastSquares, PrincipalComponents
 from ..operators.trees import DecisionTree
@@ -274,3 +275,25 @@ def autoencoder_errors(spark, d):
     rows = lines(spark, d)
     m = Autoencoder(["q", "d"], 1, epochs=3, activation="tanh").fit(rows)
     return m.reconstruction_error(rows).groupBy("flag").agg(F.round(F.avg("error"), 5).alias("error"))
+
+
+#: A literal isolation forest of two trees on (value, hour): splits and, in leaves, path lengths.
+_FOREST = {0: [(0, 0, 50.0, 0.0), (1, 1, 12.0, 0.0), (2, -1, 0.0, 2.5), (3, -1, 0.0, 4.0), (4, 0, 20.0, 0.0), (9, -1, 0.0, 3.0), (10, -1, 0.0, 5.25)], 1: [(0, 1, 6.0, 0.0), (1, -1, 0.0, 1.0), (2, 0, 80.0, 0.0), (5, -1, 0.0, 4.5), (6, -1, 0.0, 2.0)]}
+
+
+def _isolation_sql(samples: int) -> str:
+    def way(tree: int, node: int) -> str:
+        _, f, v, length = next(r for r in _FOREST[tree] if r[0] == node)
+        return str(length) if f < 0 else f"case when {('value', 'hour')[f]} < {v} then {way(tree, 2 * node + 1)} else {way(tree, 2 * node + 2)} end"
+
+    norm = 2 * (math.log(samples - 1) + 0.5772156649015329) - 2 * (samples - 1) / samples
+    return f"with e as (select value, hour(ts) as hour, event_type from events), s as (select event_type, hour, pow(2.0, -(({way(0, 0)}) + ({way(1, 0)})) / 2 / {norm!r}) as anomaly from e) select event_type, cast(hour as int) as hour, count(*) as n, round(avg(anomaly), 6) as anomaly, round(max(anomaly), 6) as most from s group by 1, 2"
+
+
+@query(_isolation_sql(256))
+def isolation_scores(spark, d):
+    """Scores of a given forest; fits draw at random."""
+    nodes = {t: pd.DataFrame(rows, columns=["node", "feature", "value", "length"]).set_index("node") for t, rows in _FOREST.items()}
+    rows = read(spark, d, "events").selectExpr("event_type", "value", "hour(ts) as hour")
+    found = IsolationForest(["value", "hour"], nodes=nodes, samples=256).decision_function(rows)
+    return found.groupBy("event_type", "hour").agg(F.count("*").alias("n"), F.round(F.avg("anomaly"), 6).alias("anomaly"), F.round(F.max("anomaly"), 6).alias("most"))
