@@ -30,6 +30,8 @@ RECALL = 0.98
 FIT_ROWS = 200
 #: Bytes of a convolution.
 BLOCK_BYTES = 1 << 18
+#: Text bytes that are scanned at once (a longer text is scanned alone): every byte takes some 150 of memory, by its segments.
+SCAN_BYTES = 512 << 10
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -294,7 +296,7 @@ def scan(docs: DataFrame, scanner: Scanner, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in text_chunks(batches, text):
+        for batch in text_chunks(batches, text, SCAN_BYTES):
             data, ends, starts = string_buffer(batch.column(text))
             raw = data.tobytes()
             rows = []
