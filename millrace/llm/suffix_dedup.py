@@ -317,20 +317,64 @@ def least_owner(bodies: list[bytes], owner: np.ndarray, array_bytes: int = ARRAY
     return out
 
 
+def shared_windows(data: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each window of LENGTH bytes of each body, in order: false only where no other owner has the same string.
+
+    Bodies (size: their windows) stand on end in data.  Equal strings have equal hashes, so a wrong yes only costs a
+    look at the strings.
+    """
+    stop = np.cumsum(size + LENGTH - 1)
+    hashes, lo = [np.zeros(0, np.uint64)], 0
+    while lo < len(size):
+        base = stop[lo] - size[lo] - LENGTH + 1
+        hi = max(lo + 1, int(np.searchsorted(stop, base + PIECE, side="right")))
+        part = data[base : stop[hi - 1]]
+        power, inverse = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * power[: len(part)], out=total[1:])
+        own = size[lo:hi]
+        at = np.repeat(stop[lo:hi] - own - LENGTH + 1 - base - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        hashes.append(mix((total[at + LENGTH] - total[at]) * inverse[at]))
+        lo = hi
+    h = np.concatenate(hashes)
+    order = np.argsort(h)
+    h, who = h[order], np.repeat(owner, size)[order]
+    begins = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    out = np.zeros(len(h), bool)
+    if len(begins):
+        several = np.minimum.reduceat(who, begins) != np.maximum.reduceat(who, begins)
+        out[order] = np.repeat(several, np.diff(np.append(begins, len(h))))
+    return out
+
+
+def _runs(mask: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of the runs of true values within a body."""
+    if not len(mask):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = body[1:] != body[:-1]
+    return np.flatnonzero(mask & np.append(True, ~mask[:-1] | change)), np.flatnonzero(mask & np.append(~mask[1:] | change, True))
+
+
 def _compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Runs of windows of a task that a document with a smaller id has too."""
+    """Runs of windows of a task that a document with a smaller id has too: suffix arrays of the passages whose windows
+    may stand in several documents."""
     order = np.lexsort((rows.column("first").to_numpy(), rows.column("doc_id").to_numpy()))
     rows = rows.take(pa.array(order))
-    bodies = rows.column("body").to_pylist()
+    data, length = unpack(rows.column("body"), np.uint8)
     owner, name, first = (rows.column(k).to_numpy() for k in ("doc_id", "print", "first"))
-    size = np.array([len(b) - LENGTH + 1 for b in bodies])
-    body = np.repeat(np.arange(len(bodies)), size)
-    hit = least_owner(bodies, owner) < owner[body]
-    begin = hit & np.append(True, ~hit[:-1] | (body[1:] != body[:-1]))
-    end = hit & np.append(~hit[1:] | (body[1:] != body[:-1]), True)
-    b = np.flatnonzero(begin)
-    place = first[body[b]] + b - np.concatenate([[0], np.cumsum(size)])[body[b]]
-    return pa.table([pa.array(owner[body[b]]), pa.array(name[body[b]]), pa.array(place), pa.array(np.flatnonzero(end) - b + 1)], names=["doc_id", "print", "first", "size"])
+    size = length - LENGTH + 1
+    body = np.repeat(np.arange(len(size)), size)
+    b, e = _runs(shared_windows(data, size, owner), body)
+    # Of each passage: its body, its first window there and its windows.
+    of, at, many = body[b], b - (np.cumsum(size) - size)[body[b]], e - b + 1
+    start = (np.cumsum(length) - length)[of] + at
+    raw = data.tobytes()
+    bodies = [raw[s : s + n + LENGTH - 1] for s, n in zip(start.tolist(), many.tolist())]
+    passage = np.repeat(np.arange(len(of)), many)
+    b, e = _runs(least_owner(bodies, owner[of]) < owner[of][passage], passage)
+    own = of[passage[b]]
+    place = first[own] + at[passage[b]] + b - (np.cumsum(many) - many)[passage[b]]
+    return pa.table([pa.array(owner[own]), pa.array(name[own]), pa.array(place), pa.array(e - b + 1)], names=["doc_id", "print", "first", "size"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,8 +413,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Equal strings have equal anchors (anchors()), by whose hash ranges gather all runs (exchange.py).  A run whose whole
     context a smaller document has is done.  Only where an anchor stands in several contexts are these
-    fetched from the texts and compared, in tasks that hold all contexts of an anchor: suffix arrays, common prefixes
-    and a merge by binary search (least_owner()).  An anchor with over BLOCK contexts is compared by pairs of blocks.
+    fetched from the texts and compared, in tasks that hold all contexts of an anchor: windows whose hash no other
+    document has are left out, the rest go through suffix arrays, common prefixes and a merge by binary search (least_owner()).  An anchor with over BLOCK contexts is compared by pairs of blocks.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("print", F.pmod(F.xxhash64("text"), F.lit(1 << 32)))
     usable = own.where("doc_id is not null")

@@ -173,6 +173,23 @@ def test_suffix_array_and_merge():
     assert np.array_equal(suffix_dedup.least_owner(bodies, owner), suffix_dedup.least_owner(bodies, owner, 200))
 
 
+def test_only_windows_that_may_repeat_are_sorted(monkeypatch):
+    """Contexts of one anchor that share it alone need no suffix array; of others only the shared passages do."""
+    rng = np.random.default_rng(6)
+    anchor, shared = b"an anchor of 18 by", b"".join(bytes([65 + k % 26]) for k in range(50))
+    bodies = [bytes(rng.integers(97, 123, 30).astype(np.uint8)) + anchor + bytes(rng.integers(97, 123, 30).astype(np.uint8)) for _ in range(200)]
+    bodies += [b"x" * 10 + shared + b"y" * 5, b"z" * 7 + shared + b"w" * 20]
+    seen, real = [], suffix_dedup.least_owner
+    monkeypatch.setattr(suffix_dedup, "least_owner", lambda bodies, owner: seen.extend(bodies) or real(bodies, owner))
+    n = len(bodies)
+    rows = pa.table([pa.array(range(n)), pa.array([0] * n), pa.array([100] * n), pa.array(bodies, pa.binary())], names=["doc_id", "print", "first", "body"])
+    got = suffix_dedup._compare((pa.scalar(0),), rows).to_pylist()
+    assert got == [{"doc_id": 201, "print": 0, "first": 107, "size": 1}]
+    assert seen == [shared, shared]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 100)
+    assert suffix_dedup._compare((pa.scalar(0),), rows).to_pylist() == got
+
+
 def test_jaccard_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = []
