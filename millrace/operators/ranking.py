@@ -43,9 +43,11 @@ def coherence(counts: DataFrame, top: DataFrame) -> DataFrame:
     the words of its topics, not by its length.  A pair that never meets counts -1, one that is in all documents 1.
     """
     n_docs = counts.select("doc").distinct().count()
-    words = top.select("topic", "term").distinct()
-    hits = counts.select("doc", "term").join(words, "term")
-    single = counts.join(words.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    words = written(top.select("topic", "term").distinct())
+    # Only the rows of these words go on: each table below reads them, not all counts again.
+    few = written(counts.select("doc", "term").join(F.broadcast(words.select("term").distinct()), "term", "left_semi"))
+    hits = few.join(F.broadcast(words), "term")
+    single = few.groupBy("term").agg(F.count("*").alias("n"))
     both = hits.alias("x").join(hits.alias("y"), F.expr("x.doc = y.doc and x.topic = y.topic and x.term < y.term")).groupBy(F.col("x.topic").alias("topic"), F.col("x.term").alias("a"), F.col("y.term").alias("b")).agg(F.count("*").alias("nab"))
     pairs = words.alias("x").join(words.alias("y"), F.expr("x.topic = y.topic and x.term < y.term")).select(F.col("x.topic").alias("topic"), F.col("x.term").alias("a"), F.col("y.term").alias("b"))
     full = pairs.join(both, ["topic", "a", "b"], "left").join(single.select(F.col("term").alias("a"), F.col("n").alias("na")), "a", "left").join(single.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b", "left")

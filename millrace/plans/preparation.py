@@ -8,6 +8,7 @@ from ..functions import metrics, prepare
 from ..operators import ranking
 from ..operators.clustering import NearestNeighbors
 from ..operators.linear import AdditiveForecast, LeastSquares
+from ..operators.loop import written
 from ..sources.tables import read
 from .estimators import one
 from .lines import LINES, lines
@@ -81,8 +82,8 @@ def term_vocabulary(spark, d):
     return prepare.vocabulary(prepare.terms(docs, "doc_id", "text", 2), "doc_id", docs.count(), 5, 0.5, 200)
 
 
-def _top_words(counts, docs):
-    by_lang = counts.where("length(term) >= 4").join(docs.selectExpr("doc_id", "lang as topic"), "doc_id").where("topic is not null").groupBy("topic", "term").agg(F.count("*").alias("n"))
+def _top_words(counts):
+    by_lang = counts.where("length(term) >= 4").select("term", F.explode("lang").alias("topic")).groupBy("topic", "term").agg(F.count("*").alias("n"))
     return ranking.ranked(by_lang, "topic", "n", "term").where("position < 8")
 
 
@@ -96,8 +97,8 @@ select topic, round(avg(case when m.n is null then -1 when m.n >= total.n then 1
 from p join s sa on sa.term = a join s sb on sb.term = b left join m on m.a = p.a and m.b = p.b, total group by topic""")
 def topic_coherence(spark, d):
     docs = read(spark, d, "documents")
-    counts = prepare.terms(docs, "doc_id", "text").withColumn("doc", F.col("doc_id"))
-    return ranking.coherence(counts, _top_words(counts, docs)).select("topic", F.round("coherence", 5).alias("coherence"))
+    counts = written(prepare.terms(docs, "doc_id", "text", beside="lang").withColumnRenamed("doc_id", "doc"))
+    return ranking.coherence(counts, _top_words(counts)).select("topic", F.round("coherence", 5).alias("coherence"))
 
 
 @query(f"select cast(floor({DRAW.format(seed=7, key='o_orderkey')} * 5) as int) as fold, count(*) as n from orders group by 1")
