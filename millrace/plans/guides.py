@@ -16,6 +16,7 @@ from ..operators.itemsets import Apriori
 from ..operators.linear import AdditiveForecast, LeastSquares, PrincipalComponents
 from ..operators.trees import DecisionTree
 from ..sources.tables import baskets, read
+from .factoring import rated
 from .grown import draw_sql, factorization_sql
 from .lines import LINES, lines
 
@@ -207,8 +208,7 @@ def logistic_growth_steps(spark, d):
 @query(factorization_sql(3))
 def factorization_losses(spark, d):
     """Losses of the first epochs, at a falling rate."""
-    r = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item")).agg(F.expr("least(5D, greatest(1D, avg(l_quantity) / 10))").alias("rating"))
-    m = MatrixFactorization(2, learning_rate=0.05, decay=0.5, n_epochs=3, patience=3).fit(r)
+    m = MatrixFactorization(2, learning_rate=0.05, decay=0.5, n_epochs=3, patience=3).fit(rated(spark, d))
     return spark.createDataFrame([(k, round(v, 6)) for k, v in enumerate(m.losses)], "epoch int, loss double")
 
 
