@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.embedding import MatrixFactorization
 from ..operators.factors import ImplicitFactorization
+from ..operators.loop import removed, written
 from ..sources.tables import read
 from .grown import _RATED, draw_sql
 
@@ -30,7 +31,8 @@ def bought(spark: SparkSession, d: str) -> DataFrame:
 
 def rated(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.groupBy(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item")).agg(F.expr("least(5D, greatest(1D, avg(l_quantity) / 10))").alias("rating"))
+    # A customer's rows come to one task, so that grouped sums by customer are small ever after.
+    return rows.repartition("o_custkey").groupBy(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item")).agg(F.expr("least(5D, greatest(1D, avg(l_quantity) / 10))").alias("rating"))
 
 
 def normal_sql(c: str, side: str, j: int) -> str:
@@ -75,15 +77,14 @@ def implicit_factorization(spark, d):
 @query(", ".join(alternating_sql(2, 40.0, 0.1)) + ', p as (select u, i, x.f0 * y.f0 + x.f1 * y.f1 as p from u2 x, i2 y where not exists (select 1 from r where r.u = x.u and r.i = y.i)) select u as "user", i as item, round(p, 6) as prediction, cast(row_number() over (partition by u order by p desc, i) as int) as rank from p qualify rank <= 3')
 def implicit_recommendations(spark, d):
     """Each customer's first suppliers that it has not bought from."""
-    pairs = bought(spark, d)
-    m = ImplicitFactorization(2, n_epochs=2).fit(pairs)
-    return m.recommend(pairs.select("user"), 3).select("user", "item", F.round("prediction", 6).alias("prediction"), "rank")
+    m = ImplicitFactorization(2, n_epochs=2).fit(bought(spark, d))
+    return m.recommend(m.users, 3).select("user", "item", F.round("prediction", 6).alias("prediction"), "rank")
 
 
 def chained(rows: DataFrame) -> DataFrame:
-    """(user, friend): each user of an item and the next one by number, so an item of n users gives n - 1 edges."""
+    """(user, friend): each user of an item and the next one by number, so an item of n users gives n - 1 edges; a pair may come from several."""
     w = Window.partitionBy("item").orderBy("user")
-    return rows.select("user", F.lead("user").over(w).alias("friend")).where("friend is not null").distinct()
+    return rows.select("user", F.lead("user").over(w).alias("friend")).where("friend is not null")
 
 
 def _social_sql(epochs: int, rate: float, reg: float, social: float) -> str:
@@ -105,9 +106,10 @@ def _social_sql(epochs: int, rate: float, reg: float, social: float) -> str:
 @query(_social_sql(3, 0.01, 0.02, 5.0))
 def social_factorization(spark, d):
     """Losses of the first epochs, and how far customers of one supplier are apart after them."""
-    r = rated(spark, d)
+    r = written(rated(spark, d))
     edges = chained(r)
     m = MatrixFactorization(2, learning_rate=0.01, n_epochs=3, social=5.0).fit(r, edges)
-    both = edges.unionByName(edges.select(F.col("friend").alias("user"), F.col("user").alias("friend"))).distinct()
-    apart = both.join(m.users.select("user", F.col("u").alias("x")), "user").join(m.users.select(F.col("user").alias("friend"), F.col("u").alias("y")), "friend").agg(F.avg(F.expr("pow(x[0] - y[0], 2) + pow(x[1] - y[1], 2)"))).first()[0]
+    # A pair is as far apart one way as the other: each once.
+    apart = m.friends.where("user < friend").join(m.users.select("user", F.col("u").alias("x")), "user").join(m.users.select(F.col("user").alias("friend"), F.col("u").alias("y")), "friend").agg(F.avg(F.expr("pow(x[0] - y[0], 2) + pow(x[1] - y[1], 2)"))).first()[0]
+    removed(r)
     return spark.createDataFrame([(f"loss {k}", round(v, 6)) for k, v in enumerate(m.losses)] + [("distance of friends", round(apart, 6))], "what string, value double")
