@@ -89,7 +89,8 @@ class OrderedBoosting:
         removed(kept)
         shape = Boosting.catboost(names, label=y, max_depth=self.max_depth, reg_lambda=self.reg_lambda, random_strength=self.random_strength, seed=self.seed)
         gradient = lambda m: f"({sigmoid(m)} - {y})" if self.objective == "logistic" else f"({m} - {y})"
-        for t in range(self.n_estimators if splits is None else len(splits)):
+        rounds = self.n_estimators if splits is None else len(splits)
+        for t in range(rounds):
             tree = splits[t] if splits is not None else shape._oblivious(rows, {"n": "1D", "g": gradient("m_[0]")}, cuts, t)
             places = placed(tree)
             at = places.found(rows, names)
@@ -100,7 +101,8 @@ class OrderedBoosting:
                 values[r["model"], r["node_"]] = -self.learning_rate * r["g"] / (r["n"] + self.reg_lambda)
             self.trees.append({node: ({k: x for k, x in tree[node].items() if k != "stats"} | {"value": float(values[last, p])}) for p, (_, node) in enumerate(places.node)})
             moved = at.withColumn("v_", F.lit(values.reshape(-1))).withColumn("m_", F.expr(f"transform(m_, (m, i) -> m + v_[(block_ + i) * {len(places.node)} + node_])")).drop("v_", "node_")
-            old, rows = rows, written(moved)
+            # After the last tree only the margins are read.
+            old, rows = rows, written(moved if t + 1 < rounds else moved.select(self.key, "block_", "m_"))
             removed(old)
         self.margins = rows.select(self.key, F.col("block_").alias("block"), F.expr("m_[0]").alias("margin"), F.expr("element_at(m_, -1)").alias("last"))
         return self
