@@ -36,7 +36,9 @@ def test_same_topics_whatever_terms_are_frequent(spark, counts, monkeypatch):
     assert m.n_terms == n_ and found[0] == found[1] == found[2]
     tn = plain(m, counts)
     al = [sum(v[i] for v in tn.values()) for i in range(3)]
-    assert {t: [(n + 0.01) / (a + 0.01 * n_) for n, a in zip(v, al)] for t, v in tn.items()} == pytest.approx(found[0])
+    assert tn.keys() == found[0].keys()
+    for t, v in tn.items():
+        assert found[0][t] == pytest.approx([(n + 0.01) / (a + 0.01 * n_) for n, a in zip(v, al)])
 
 
 def test_tokens_of_frequent_terms_are_dealt_by_document_alone(spark, counts, monkeypatch):
